@@ -48,7 +48,7 @@ def month_start(ts: Column | str) -> Column:
 def month_end(ts: Column | str) -> Column:
     """23:59:59 on the last day of the month."""
     start = F.date_trunc("month", _c(ts)).cast("timestamp_ntz")
-    return F.timestampadd("SECOND", F.lit(-1), F.timestampadd("MONTH", F.lit(1), start))
+    return F.timestamp_add("SECOND", F.lit(-1), F.timestamp_add("MONTH", F.lit(1), start))
 
 
 def trim_time(ts: Column | str) -> Column:

@@ -19,7 +19,7 @@ def duration_ms(start: Column | str, end: Column | str) -> Column:
 
     A negative span is an error, as in the reference (I15).
     """
-    ms = F.timestampdiff("MILLISECOND", _c(start), _c(end))
+    ms = F.timestamp_diff("MILLISECOND", _c(start), _c(end))
     return F.when(ms < 0, F.raise_error(F.lit("duration must not be negative"))).otherwise(ms)
 
 

@@ -93,3 +93,52 @@ SELECT event_id,
   || '.log. Cause value ' || printf('%.2f', value) AS log_line
 FROM events
 """
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Task-store rows derived from events: one run per event.
+
+    Every tenth run is still open; every seventh failed, every eleventh was
+    stopped; failed ``purchase`` runs carry the invalid-date error, other
+    failures the unknown error.
+    """
+    e = table(spark, sf_dir, "events")
+    open_run = F.col("event_id") % 10 == 0
+    exit_code = (
+        F.when(F.col("event_id") % 7 == 0, 1).when(F.col("event_id") % 11 == 0, 2).otherwise(0)
+    )
+    month = F.date_format("ts", "yyyy-MM")
+    invalid_date = F.col("event_type") == "purchase"
+    return e.select(
+        F.col("event_type").alias("job_name"),
+        F.col("event_id").alias("execution_id"),
+        F.col("user_id").cast("string").alias("correlation_id"),
+        F.col("ts").alias("start_time"),
+        F.when(~open_run, F.timestamp_add("MILLISECOND", F.round(F.col("value") * 1000).cast("long"), F.col("ts"))).alias("end_time"),
+        exit_code.alias("exit_code"),
+        F.array(F.concat(F.lit("month="), month), F.concat(F.lit("user="), F.col("user_id").cast("string"))).alias("arguments"),
+        F.when(exit_code == 1, F.when(invalid_date, "sales.report.job.invalid.date").otherwise("spark.unknown.error")).alias("error_code"),
+        F.when((exit_code == 1) & ~invalid_date, F.concat(F.lit("exit code "), exit_code.cast("string"))).alias("error_cause"),
+        F.when(invalid_date, F.array(month, F.col("event_type"))).otherwise(F.array().cast("array<string>")).alias("error_args"),
+    )
+
+
+def stop_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stop requests: the correlation id of every error event."""
+    return table(spark, sf_dir, "events").where(F.col("event_type") == "error").select(
+        F.col("user_id").cast("string").alias("correlation_id")
+    )
+
+
+RUNS_SQL = """
+SELECT event_type AS job_name, event_id AS execution_id, CAST(user_id AS VARCHAR) AS correlation_id,
+  ts AS start_time,
+  CASE WHEN event_id % 10 = 0 THEN NULL
+       ELSE ts + to_milliseconds(CAST(round(value * 1000) AS BIGINT)) END AS end_time,
+  CASE WHEN event_id % 7 = 0 THEN 1 WHEN event_id % 11 = 0 THEN 2 ELSE 0 END AS exit_code,
+  strftime(ts, '%Y-%m') AS run_month,
+  CASE WHEN event_id % 7 = 0 THEN
+    CASE WHEN event_type = 'purchase' THEN 'sales.report.job.invalid.date' ELSE 'spark.unknown.error' END
+  END AS error_code
+FROM events
+"""

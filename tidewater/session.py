@@ -44,6 +44,7 @@ def build_session(
     conf.update(
         {
             "spark.ui.enabled": "false",
+            "spark.ui.showConsoleProgress": "false",
             "spark.checkpoint.compress": "true",
             "spark.sql.execution.arrow.pyspark.enabled": "true",
         }
