@@ -1 +1,190 @@
-"""Registered queries."""
+"""Registered relational queries."""
+
+from __future__ import annotations
+
+import datetime as _dt
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewater.operators.columns import drop_nulls, preview, project
+from tidewater.operators.incremental import absent_rows, days_to_load, high_water_mark
+from tidewater.operators.joins import join_keys, join_without_duplicates
+from tidewater.operators.quality import row_count_checks
+from tidewater.operators.scan import filtered_scan
+from tidewater.plans import views
+from tidewater.plans.queries_sales import REPORT_MONTH
+from tidewater.plans.registry import register
+from tidewater.plans.sales_report import month_filter, monthly_sales_report
+
+# "Yesterday" of the incremental load, pinned so results repeat.
+LOAD_UNTIL = _dt.date(2001, 12, 31)
+
+# Join inputs: customers of one market segment, and open orders.  Each side
+# then has rows without a partner, so outer, semi and anti joins all differ.
+SEGMENT = "BUILDING"
+OPEN = "O"
+_C = f"SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_mktsegment = '{SEGMENT}'"
+_O = f"SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderstatus = '{OPEN}'"
+_J_COLS = "c.c_custkey, c.c_name, c.c_mktsegment, o.o_orderkey, o.o_custkey, o.o_totalprice, o.o_orderstatus"
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customer = views.table(spark, sf_dir, "customer")
+    return customer.where(F.col("c_mktsegment") == SEGMENT).select("c_custkey", "c_name", "c_mktsegment")
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = views.table(spark, sf_dir, "orders")
+    return orders.where(F.col("o_orderstatus") == OPEN).select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+
+
+def _join_query(how: str, sql_how: str, rows: str) -> None:
+    @register(
+        f"join_{how}",
+        rows,
+        f"SELECT {_J_COLS} FROM ({_C}) c {sql_how} JOIN ({_O}) o ON c.c_custkey = o.o_custkey",
+    )
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return join_keys(_customers(spark, sf_dir), _orders(spark, sf_dir), ["c_custkey"], ["o_custkey"], how)
+
+    q.__name__ = f"q_join_{how}"
+
+
+_join_query("inner", "INNER", "D01 D08")
+_join_query("left", "LEFT", "D03")
+_join_query("right", "RIGHT", "D04")
+_join_query("full", "FULL OUTER", "D02")
+
+
+@register(
+    "join_semi",
+    "D05",
+    f"SELECT * FROM ({_C}) c WHERE EXISTS (SELECT 1 FROM ({_O}) o WHERE o.o_custkey = c.c_custkey)",
+)
+def q_join_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_keys(_customers(spark, sf_dir), _orders(spark, sf_dir), ["c_custkey"], ["o_custkey"], "left_semi")
+
+
+@register(
+    "join_anti",
+    "D06",
+    f"SELECT * FROM ({_C}) c WHERE NOT EXISTS (SELECT 1 FROM ({_O}) o WHERE o.o_custkey = c.c_custkey)",
+)
+def q_join_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_keys(_customers(spark, sf_dir), _orders(spark, sf_dir), ["c_custkey"], ["o_custkey"], "left_anti")
+
+
+@register(
+    "join_no_dup_columns",
+    "D09",
+    """SELECT o.*, c.c_name, c.c_nationkey, c.c_acctbal, c.c_mktsegment
+FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey""",
+)
+def q_join_no_dup_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = views.table(spark, sf_dir, "orders")
+    customer = views.table(spark, sf_dir, "customer")
+    return join_without_duplicates(orders, customer, ["o_custkey"], ["c_custkey"], "left")
+
+
+@register("project_columns", "C08 C09", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+def q_project_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return project(views.table(spark, sf_dir, "orders"), ["o_orderkey", "o_custkey", "o_totalprice"])
+
+
+@register(
+    "preview_rows",
+    "C10",
+    "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 8",
+)
+def q_preview_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = project(views.table(spark, sf_dir, "orders"), "o_orderkey", "o_custkey", "o_totalprice")
+    return preview(orders, 8, order_by=[F.col("o_totalprice").desc(), F.col("o_orderkey")])
+
+
+_LEFT_JOINED = f"SELECT {_J_COLS} FROM ({_C}) c LEFT JOIN ({_O}) o ON c.c_custkey = o.o_custkey"
+
+
+@register(
+    "drop_nulls",
+    "C11",
+    f"SELECT * FROM ({_LEFT_JOINED}) WHERE o_orderkey IS NOT NULL AND o_totalprice IS NOT NULL",
+)
+def q_drop_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = join_keys(_customers(spark, sf_dir), _orders(spark, sf_dir), ["c_custkey"], ["o_custkey"], "left")
+    return drop_nulls(joined, "any", ["o_orderkey", "o_totalprice"])
+
+
+@register(
+    "drop_nulls_all",
+    "C11",
+    f"SELECT * FROM ({_LEFT_JOINED}) WHERE NOT (o_orderkey IS NULL AND o_orderstatus IS NULL)",
+)
+def q_drop_nulls_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = join_keys(_customers(spark, sf_dir), _orders(spark, sf_dir), ["c_custkey"], ["o_custkey"], "left")
+    return drop_nulls(joined, "all", ["o_orderkey", "o_orderstatus"])
+
+
+@register(
+    "source_filter_project",
+    "A13 A14",
+    "SELECT p_partkey, upper(p_brand) AS brand, p_retailprice FROM part WHERE p_size > 40 AND p_retailprice < 1500",
+)
+def q_source_filter_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filtered_scan(
+        views.table(spark, sf_dir, "part"),
+        "p_size > 40 AND p_retailprice < 1500",
+        ["p_partkey", "upper(p_brand) AS brand", "p_retailprice"],
+    )
+
+
+@register(
+    "sales_high_water",
+    "E07 F04",
+    "SELECT max(CAST(l_shipdate AS DATE)) AS high_water_day FROM lineitem",
+)
+def q_sales_high_water(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return high_water_mark(views.sales(spark, sf_dir), "timestamp")
+
+
+@register(
+    "sales_missing_days",
+    "G02",
+    f"""SELECT CAST(d AS DATE) AS missing_day
+FROM generate_series((SELECT min(CAST(l_shipdate AS DATE)) FROM lineitem)::TIMESTAMP,
+                     DATE '{LOAD_UNTIL.isoformat()}'::TIMESTAMP, INTERVAL 1 DAY) t(d)
+WHERE CAST(d AS DATE) NOT IN (SELECT DISTINCT CAST(l_shipdate AS DATE) FROM lineitem)""",
+)
+def q_sales_missing_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return days_to_load(views.sales(spark, sf_dir), "timestamp", LOAD_UNTIL)
+
+
+@register(
+    "products_absent",
+    "G01",
+    f"""WITH p AS ({views.PRODUCTS_SQL})
+SELECT product_id, product_name FROM p
+WHERE product_id NOT IN (SELECT DISTINCT l_partkey FROM lineitem
+  WHERE starts_with(CAST(l_shipdate AS VARCHAR), '{REPORT_MONTH}'))""",
+)
+def q_products_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products not yet in the month's sales: the rows an insert-if-absent would add."""
+    sold = month_filter(views.sales(spark, sf_dir), REPORT_MONTH).select("product_id")
+    return absent_rows(views.products(spark, sf_dir), sold, ["product_id"])
+
+
+@register(
+    "quality_counts",
+    "E08",
+    f"""WITH r AS (SELECT count(*) AS n FROM (
+  SELECT l_partkey, CAST(l_shipdate AS DATE) FROM lineitem JOIN part ON l_partkey = p_partkey
+  WHERE starts_with(CAST(l_shipdate AS VARCHAR), '{REPORT_MONTH}') GROUP BY 1, 2))
+SELECT 'products' AS check_name, (SELECT count(*) FROM part) AS row_count, CAST(10 AS BIGINT) AS min_rows,
+       (SELECT count(*) FROM part) >= 10 AS passed
+UNION ALL
+SELECT 'sales_report', n, CAST(1 AS BIGINT), n >= 1 FROM r""",
+)
+def q_quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    products = views.products(spark, sf_dir)
+    report = monthly_sales_report(views.sales(spark, sf_dir), products, REPORT_MONTH)
+    return row_count_checks({"products": (products, 10), "sales_report": (report, 1)})
