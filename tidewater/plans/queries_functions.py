@@ -1 +1,164 @@
-"""Registered queries."""
+"""Registered scalar-function queries over whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewater.functions import datetime as D
+from tidewater.functions import text as X
+from tidewater.plans import views
+from tidewater.plans.registry import register
+from tidewater.sources.kafka import parse_json_payload
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.table(spark, sf_dir, "events")
+
+
+@register(
+    "ts_zone",
+    "I01 I02 I03 I12",
+    """SELECT event_id,
+  ts + INTERVAL 330 MINUTE AS ts_ist,
+  ts - INTERVAL 330 MINUTE AS ts_utc_from_ist,
+  strftime(ts + INTERVAL 330 MINUTE, '%Y-%m-%dT%H:%M:%S.%g') AS ist_text
+FROM events""",
+)
+def q_ts_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Asia/Kolkata has kept +05:30 since 1945, so the oracle can add the offset.
+    return _events(spark, sf_dir).select(
+        "event_id",
+        D.utc_to_ist("ts").alias("ts_ist"),
+        D.ist_to_utc("ts").alias("ts_utc_from_ist"),
+        D.format_in_zone("ts", D.IST).alias("ist_text"),
+    )
+
+
+@register(
+    "ts_month_bounds",
+    "I04 I05 I06 I07 I08",
+    """SELECT event_id,
+  date_trunc('month', ts) AS month_start,
+  date_trunc('month', ts) + INTERVAL 1 MONTH - INTERVAL 1 SECOND AS month_end,
+  date_trunc('day', ts) AS day_start,
+  CAST(ts AS DATE) AS day,
+  CAST(CAST(ts AS DATE) AS TIMESTAMP) AS day_midnight,
+  strftime(ts, '%Y-%m') AS year_month,
+  strftime(CAST(ts AS DATE) - INTERVAL 1 MONTH, '%Y-%m') AS previous_month
+FROM events""",
+)
+def q_ts_month_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir).select(
+        "event_id",
+        D.month_start("ts").alias("month_start"),
+        D.month_end("ts").alias("month_end"),
+        D.trim_time("ts").alias("day_start"),
+        D.to_date("ts").alias("day"),
+        D.to_midnight(D.to_date("ts")).alias("day_midnight"),
+        D.year_month("ts").alias("year_month"),
+        D.previous_year_month("ts").alias("previous_month"),
+    )
+
+
+@register(
+    "ts_formats",
+    "I09 I10 I11 I13 I14",
+    """SELECT event_id,
+  strftime(ts, '%Y-%m-%d') AS date_text,
+  strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') AS datetime_text,
+  strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS instant_text,
+  strftime(ts, '%H:%M:%S') AS time_text,
+  strftime(ts, '%Y%m%d_%H%M%S%g') AS compact_text,
+  strftime(ts, '%d/%m/%Y %H:%M') AS custom_text
+FROM events""",
+)
+def q_ts_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir).select(
+        "event_id",
+        D.format_date(D.to_date("ts")).alias("date_text"),
+        D.format_date_time("ts").alias("datetime_text"),
+        D.format_utc_offset("ts").alias("instant_text"),
+        D.format_time("ts").alias("time_text"),
+        D.compact_stamp("ts").alias("compact_text"),
+        D.format_date_time("ts", "dd/MM/yyyy HH:mm").alias("custom_text"),
+    )
+
+
+_TRIM = r"^[\x00-\x20]+|[\x00-\x20]+$"
+
+
+@register(
+    "text_last_segment",
+    "I18",
+    f"""SELECT page_id, regexp_replace(regexp_replace(url, '{_TRIM}', '', 'g'), '.*/', '') AS last_segment
+FROM pages""",
+)
+def q_text_last_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.table(spark, sf_dir, "pages").select("page_id", X.after_last_slash("url").alias("last_segment"))
+
+
+@register(
+    "text_fold_lines",
+    "I23",
+    r"SELECT doc_id, regexp_replace(text, ' ?[\t\r\n]+', ' ', 'g') AS folded FROM documents",
+)
+def q_text_fold_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.table(spark, sf_dir, "documents").select("doc_id", X.fold_lines("text").alias("folded"))
+
+
+_TEMPLATE = "doc ${doc_id} (${lang}) from ${source}: ${n_chars} chars, ${missing} kept"
+
+
+@register(
+    "text_template",
+    "I19",
+    """SELECT doc_id,
+  replace(replace(replace(replace('doc ${doc_id} (${lang}) from ${source}: ${n_chars} chars, ${missing} kept',
+    '${doc_id}', CAST(doc_id AS VARCHAR)), '${lang}', lang), '${source}', source),
+    '${n_chars}', CAST(n_chars AS VARCHAR)) AS filled
+FROM documents""",
+)
+def q_text_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = X.pairs_to_mapping("doc_id", "doc_id", "lang", "lang", "source", "source", "n_chars", "n_chars")
+    return views.table(spark, sf_dir, "documents").select(
+        "doc_id", X.fill_template(_TEMPLATE, {k: F.col(v) for k, v in values.items()}).alias("filled")
+    )
+
+
+_WS = (
+    r"\t\n\x0B\f\r\x1C-\x1F \x{1680}\x{2000}-\x{2006}\x{2008}-\x{200A}"
+    r"\x{2028}\x{2029}\x{205F}\x{3000}"
+)
+
+
+@register(
+    "text_wrap",
+    "I20 I21 I22",
+    f"""SELECT conv_id, turn,
+  '(' || regexp_replace(role, '{_TRIM}', '', 'g') || ')' AS wrapped_role,
+  CASE WHEN text IS NULL OR regexp_matches(text, '^[{_WS}]*$') THEN ''
+       ELSE '> ' || regexp_replace(text, '{_TRIM}', '', 'g') END AS quoted_text,
+  replace(role || '-' || CAST(turn AS VARCHAR), '-', '_') AS key
+FROM conversations""",
+)
+def q_text_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = views.table(spark, sf_dir, "conversations")
+    return conv.select(
+        "conv_id",
+        "turn",
+        X.bracket_wrap("role").alias("wrapped_role"),
+        X.prepend_if_not_blank("text", "> ").alias("quoted_text"),
+        X.dash_to_underscore(F.concat(F.col("role"), F.lit("-"), F.col("turn").cast("string"))).alias("key"),
+    )
+
+
+@register(
+    "kafka_payload_json",
+    "A16 C06",
+    """SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events""",
+)
+def q_kafka_payload_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The payload arrives as bytes, as a message value does; the schema goes on the value.
+    raw = _events(spark, sf_dir).select("event_id", F.col("props").cast("binary").alias("value"))
+    return parse_json_payload(raw, "k INT", keep=["event_id"]).select("event_id", "k")

@@ -1 +1,90 @@
-"""Registered queries."""
+"""Registered source/sink round trips.
+
+Each writes a whole table below the shared checkpoint folder and reads it
+back; the oracle is the input table itself.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewater.plans import views
+from tidewater.plans.registry import register
+from tidewater.session import scratch_path
+from tidewater.sources import files
+from tidewater.sources.registry import read_with
+
+PART_DDL = "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE"
+PART_SQL = "SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part"
+# Codecs available without extra native libraries.
+WORKING_CODECS = ("uncompressed", "snappy", "gzip", "lz4", "zstd", "none")
+
+
+def _part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.table(spark, sf_dir, "part")
+
+
+@register("file_csv_roundtrip", "A01 A03 B01 B02 B05 A18", PART_SQL)
+def q_file_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    opts = files.FileOptions(path=scratch_path(spark, "csv"), format="csv")
+    files.write(_part(spark, sf_dir), opts, extra={"quoteAll": "true"})
+    return read_with("file", spark, opts, PART_DDL)
+
+
+@register("file_json_roundtrip", "A02 A04 B01", PART_SQL)
+def q_file_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Spark writes JSON Lines; ``multiline`` is for reading whole-document files.
+    opts = files.FileOptions(path=scratch_path(spark, "json"), format="json")
+    files.write(_part(spark, sf_dir), opts)
+    # Inferred: JSON numbers come back as BIGINT / DOUBLE; cast to the table's types.
+    back = files.read(spark, opts)
+    return back.select(
+        "p_partkey", "p_name", "p_brand", "p_type", F.col("p_size").cast("int").alias("p_size"), "p_retailprice"
+    )
+
+
+@register(
+    "file_parquet_codecs",
+    "A05 B04 B05",
+    "SELECT codec, count(*) AS row_count, round(sum(p_retailprice), 2) AS total_price, "
+    "sum(p_partkey) AS key_sum FROM part, (VALUES "
+    + ", ".join(f"('{c}')" for c in WORKING_CODECS)
+    + ") v(codec) GROUP BY codec",
+)
+def q_file_parquet_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _part(spark, sf_dir)
+    outs = []
+    for codec in WORKING_CODECS:
+        opts = files.FileOptions(path=scratch_path(spark, "parquet", codec), compression=codec)
+        files.write(part, opts)
+        outs.append(files.read(spark, opts).withColumn("codec", F.lit(codec)))
+    allback = reduce(DataFrame.unionByName, outs)
+    return allback.groupBy("codec").agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.round(F.sum("p_retailprice"), 2).alias("total_price"),
+        F.sum("p_partkey").alias("key_sum"),
+    )
+
+
+@register(
+    "file_save_modes",
+    "B05",
+    f"SELECT * FROM ({PART_SQL}) UNION ALL SELECT * FROM ({PART_SQL})",
+)
+def q_file_save_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """overwrite, then ignore (no-op), then append: two copies of the table."""
+    path = scratch_path(spark, "modes")
+    part = _part(spark, sf_dir).select(*[c.split()[0] for c in PART_DDL.split(", ")])
+    for mode in ("overwrite", "ignore", "append"):
+        files.write(part, files.FileOptions(path=path, save_mode=mode))
+    try:
+        files.write(part, files.FileOptions(path=path, save_mode="errorifexists"))
+        raise AssertionError("errorifexists wrote into an existing path")
+    except AssertionError:
+        raise
+    except Exception:  # noqa: BLE001 - expected: the path exists
+        pass
+    return files.read(spark, files.FileOptions(path=path))
