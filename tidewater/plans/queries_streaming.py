@@ -1 +1,99 @@
-"""Registered queries."""
+"""Registered streaming queries (J01-J09, A15 by file, B12, B13, B17).
+
+Each renders the whole ``events`` table as log lines into a landing folder
+below the shared checkpoint folder (the stand-in for the topic), runs the
+stream over it with its own checkpoint, and returns what the sink holds.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tidewater.plans import views
+from tidewater.plans.error_logs import error_counts
+from tidewater.plans.queries_logs import PARSE_SQL
+from tidewater.plans.registry import register
+from tidewater.session import scratch_path
+from tidewater.sources import files
+from tidewater.streaming.error_stream import error_stream, file_log_source, start_error_job
+from tidewater.streaming.launcher import QueryGroup, run_with_restart, start_once
+from tidewater.streaming.sinks import foreach_batch_sink, idempotent_table_writer, snapshot_writer
+
+LINES_PER_FILE = 5000
+FILES_PER_TRIGGER = 4
+
+
+def land_log_lines(spark: SparkSession, sf_dir: str) -> str:
+    """Write every rendered line as text; ``maxRecordsPerFile`` splits files without a shuffle."""
+    path = scratch_path(spark, "landing")
+    views.log_lines(spark, sf_dir).write.option("maxRecordsPerFile", LINES_PER_FILE).text(path)
+    return path
+
+
+@register("log_stream_errors", "A15 B13 J01 J03 J04 J07 J08 J09", PARSE_SQL)
+def q_log_stream_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    landing = land_log_lines(spark, sf_dir)
+    table, checkpoint = scratch_path(spark, "error_logs"), scratch_path(spark, "checkpoint")
+
+    def start():
+        return start_error_job(
+            file_log_source(spark, landing, FILES_PER_TRIGGER),
+            lambda df: foreach_batch_sink(df, idempotent_table_writer(table), checkpoint),
+            available_now=True,
+        )
+
+    run_with_restart(start, max_attempts=3, delay_s=1.0)
+    # A second start resumes from the checkpoint: nothing is read or written twice.
+    run_with_restart(start, max_attempts=3, delay_s=1.0)
+    return spark.read.parquet(table).drop("batch_id")
+
+
+@register("log_stream_file_sink", "B12 J02 J03 J05", PARSE_SQL)
+def q_log_stream_file_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    landing = land_log_lines(spark, sf_dir)
+    out = files.FileOptions(path=scratch_path(spark, "error_files"), format="parquet")
+    checkpoint = scratch_path(spark, "checkpoint")
+    q = start_once(
+        lambda: start_error_job(
+            file_log_source(spark, landing, FILES_PER_TRIGGER),
+            lambda df: files.write_stream(df, out, checkpoint),
+            available_now=True,
+        )
+    )
+    if q is None:
+        raise RuntimeError("file-sink stream failed")
+    return files.read(spark, out)
+
+
+@register(
+    "stream_multi_query_stop",
+    "J02 J06",
+    f"SELECT application, count(*) AS error_count FROM ({PARSE_SQL}) GROUP BY application",
+)
+def q_stream_multi_query_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two queries on one source: rows to files (append) and counts per
+    application (complete mode, state bounded by the number of applications);
+    then both are stopped together."""
+    landing = land_log_lines(spark, sf_dir)
+    counts_path = scratch_path(spark, "error_counts")
+    group = QueryGroup()
+    rows = start_error_job(
+        file_log_source(spark, landing, FILES_PER_TRIGGER),
+        lambda df: files.write_stream(
+            df, files.FileOptions(path=scratch_path(spark, "rows")), scratch_path(spark, "checkpoint")
+        ),
+        available_now=True,
+    )
+    counts_stream = error_counts(error_stream(file_log_source(spark, landing, FILES_PER_TRIGGER)))
+    counts = (
+        foreach_batch_sink(counts_stream, snapshot_writer(counts_path), scratch_path(spark, "checkpoint"), "complete")
+        .trigger(processingTime="1 second")
+        .start()
+    )
+    group.add(rows, counts)
+    rows.awaitTermination()
+    counts.processAllAvailable()
+    errors = group.stop_all()
+    if errors:
+        raise RuntimeError(f"queries failed to stop: {errors}")
+    return spark.read.parquet(counts_path)
