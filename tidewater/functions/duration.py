@@ -23,13 +23,18 @@ def duration_ms(start: Column | str, end: Column | str) -> Column:
     return F.when(ms < 0, F.raise_error(F.lit("duration must not be negative"))).otherwise(ms)
 
 
+def _div(a: Column, b: int) -> Column:
+    # Integer division of a non-negative long; no floating point.
+    return (a - a % b) / b
+
+
 def duration_parts(ms: Column | str) -> dict[str, Column]:
     """Hours (unbounded), minutes, seconds, milliseconds by successive division."""
-    ms = _c(ms)
+    ms = _c(ms).cast("long")
     return {
-        "hours": F.floor(ms / MS_PER_HOUR).cast("long"),
-        "minutes": F.floor((ms % MS_PER_HOUR) / MS_PER_MINUTE).cast("long"),
-        "seconds": F.floor((ms % MS_PER_MINUTE) / MS_PER_SECOND).cast("long"),
+        "hours": _div(ms, MS_PER_HOUR).cast("long"),
+        "minutes": _div(ms % MS_PER_HOUR, MS_PER_MINUTE).cast("long"),
+        "seconds": _div(ms % MS_PER_MINUTE, MS_PER_SECOND).cast("long"),
         "millis": (ms % MS_PER_SECOND).cast("long"),
     }
 

@@ -1,0 +1,25 @@
+"""Parallelism guard for row-heavy stages.
+
+A Parquet file with a single row group is read by a single task, whatever
+``spark.sql.files.maxPartitionBytes`` says.  When such an input feeds
+expensive per-row work (regular expressions, text formatting), spreading it
+over the cluster first pays for the small shuffle.  On large inputs the scan
+already yields at least as many partitions as there are cores, and this is a
+no-op: no shuffle is added.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    spark = df.sparkSession
+    try:
+        target = min_partitions or spark.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. remote sessions): leave as is
+        return df
+    if current >= target:
+        return df
+    return df.repartition(target)

@@ -13,7 +13,7 @@ from tidewater.sources.kafka import parse_json_payload
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.table(spark, sf_dir, "events")
+    return views.row_table(spark, sf_dir, "events")
 
 
 @register(
@@ -95,7 +95,7 @@ _TRIM = r"^[\x00-\x20]+|[\x00-\x20]+$"
 FROM pages""",
 )
 def q_text_last_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.table(spark, sf_dir, "pages").select("page_id", X.after_last_slash("url").alias("last_segment"))
+    return views.row_table(spark, sf_dir, "pages").select("page_id", X.after_last_slash("url").alias("last_segment"))
 
 
 @register(
@@ -104,7 +104,7 @@ def q_text_last_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     r"SELECT doc_id, regexp_replace(text, ' ?[\t\r\n]+', ' ', 'g') AS folded FROM documents",
 )
 def q_text_fold_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.table(spark, sf_dir, "documents").select("doc_id", X.fold_lines("text").alias("folded"))
+    return views.row_table(spark, sf_dir, "documents").select("doc_id", X.fold_lines("text").alias("folded"))
 
 
 _TEMPLATE = "doc ${doc_id} (${lang}) from ${source}: ${n_chars} chars, ${missing} kept"
@@ -121,7 +121,7 @@ FROM documents""",
 )
 def q_text_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = X.pairs_to_mapping("doc_id", "doc_id", "lang", "lang", "source", "source", "n_chars", "n_chars")
-    return views.table(spark, sf_dir, "documents").select(
+    return views.row_table(spark, sf_dir, "documents").select(
         "doc_id", X.fill_template(_TEMPLATE, {k: F.col(v) for k, v in values.items()}).alias("filled")
     )
 
@@ -143,7 +143,7 @@ _WS = (
 FROM conversations""",
 )
 def q_text_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    conv = views.table(spark, sf_dir, "conversations")
+    conv = views.row_table(spark, sf_dir, "conversations")
     return conv.select(
         "conv_id",
         "turn",

@@ -20,7 +20,7 @@ from tidewater.streaming.launcher import QueryGroup, run_with_restart, start_onc
 from tidewater.streaming.sinks import foreach_batch_sink, idempotent_table_writer, snapshot_writer
 
 LINES_PER_FILE = 5000
-FILES_PER_TRIGGER = 4
+FILES_PER_TRIGGER = 8
 
 
 def land_log_lines(spark: SparkSession, sf_dir: str) -> str:
@@ -87,7 +87,7 @@ def q_stream_multi_query_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts_stream = error_counts(error_stream(file_log_source(spark, landing, FILES_PER_TRIGGER)))
     counts = (
         foreach_batch_sink(counts_stream, snapshot_writer(counts_path), scratch_path(spark, "checkpoint"), "complete")
-        .trigger(processingTime="1 second")
+        .trigger(processingTime="0 seconds")
         .start()
     )
     group.add(rows, counts)

@@ -92,20 +92,24 @@ def _slot_count(template: str) -> int:
 
 def job_executions(runs: DataFrame) -> DataFrame:
     """Run record projection (C16): status, duration text (NULL while running),
-    exit message and error reason (I24)."""
+    exit message and error reason (I24).
+
+    The millisecond span is computed once in its own projection; the text is
+    then built from that column.
+    """
     end, code = F.col("end_time"), F.col("exit_code")
-    ms = duration_ms(F.col("start_time"), end)
+    with_ms = runs.withColumn("_duration_ms", duration_ms(F.col("start_time"), end))
     title, message = message_lookup(F.col("error_code"), F.col("error_args"))
     reason = problem_reason(F.col("error_code"), title, message, F.col("error_cause"), F.col("error_args"))
     failed = end.isNotNull() & (code == EXIT_FAILED) & F.col("error_code").isNotNull()
-    return runs.select(
+    return with_ms.select(
         "job_name",
         "execution_id",
         "correlation_id",
         run_status(end, code).alias("status"),
         "start_time",
         "end_time",
-        duration_text(ms).alias("duration"),
+        duration_text("_duration_ms").alias("duration"),
         exit_message(end, code).alias("exit_message"),
         F.when(failed, reason).alias("error_message"),
         "arguments",

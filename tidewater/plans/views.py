@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.datetime import format_utc_offset
 from tidewater.functions.logs import render_log_line
+from tidewater.operators.partitioning import spread
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -24,6 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def row_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table about to get expensive per-row work: spread when the scan is narrow."""
+    return spread(table(spark, sf_dir, name))
+
+
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``sales`` documents: one row per line item."""
     return table(spark, sf_dir, "lineitem").select(
@@ -68,7 +74,7 @@ def log_fields(events: DataFrame) -> DataFrame:
 
 def log_lines(spark: SparkSession, sf_dir: str, with_id: bool = False) -> DataFrame:
     """Rendered log lines (I25), one per event."""
-    f = log_fields(table(spark, sf_dir, "events"))
+    f = log_fields(row_table(spark, sf_dir, "events"))
     line = render_log_line(
         F.col("stamp"), F.col("level"), F.col("pid"), F.col("application"),
         F.col("thread"), F.col("clazz"), F.col("message"),
@@ -102,7 +108,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     stopped; failed ``purchase`` runs carry the invalid-date error, other
     failures the unknown error.
     """
-    e = table(spark, sf_dir, "events")
+    e = row_table(spark, sf_dir, "events")
     open_run = F.col("event_id") % 10 == 0
     exit_code = (
         F.when(F.col("event_id") % 7 == 0, 1).when(F.col("event_id") % 11 == 0, 2).otherwise(0)
