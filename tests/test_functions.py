@@ -85,3 +85,17 @@ def test_problem_reason(spark):
                                "code STRING, title STRING, message STRING, cause STRING, args ARRAY<STRING>")
     out = [r.o for r in df.select(X.problem_reason("code", "title", "message", "cause", "args").alias("o")).collect()]
     assert out == ["code: c, title: t, message: m, cause: , args: {1,2}", "code: c, title: t, message: m, cause: x, args: "]
+
+
+def test_offset_formatting(spark):
+    df = spark.createDataFrame(
+        [(dt.datetime(2024, 2, 10, 20, 0),), (dt.datetime(2024, 7, 1, 12, 0),)], "ts TIMESTAMP_NTZ"
+    )
+    out = df.select(
+        D.format_with_offset("ts", D.IST).alias("ist"),
+        D.format_with_offset("ts", "America/New_York").alias("ny"),
+        D.format_with_offset("ts", D.UTC).alias("utc"),
+    ).collect()
+    assert out[0].ist == "2024-02-11T01:30:00.000+05:30"
+    assert out[0].ny == "2024-02-10T15:00:00.000-05:00" and out[1].ny == "2024-07-01T08:00:00.000-04:00"
+    assert out[0].utc == "2024-02-10T20:00:00.000Z"

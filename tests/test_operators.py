@@ -111,3 +111,20 @@ def test_filtered_scan_pushdown(spark):
     assert out.columns == ["p_partkey", "p_name"]
     plan = explain_text(out)
     assert "GreaterThan(p_size,40)" in plan and "ReadSchema: struct<p_partkey:bigint,p_name:string,p_size:int>" in plan
+
+
+def test_log_preview_prints_schema_and_rows(spark, capsys):
+    df = spark.createDataFrame([(1, "a")], "k INT, v STRING")
+    assert C.log_preview(df, "demo", 5) is df
+    out = capsys.readouterr().out
+    assert "== demo ==" in out and "|-- k: integer" in out
+    C.log_preview(df, "off", enabled=False)
+    assert capsys.readouterr().out == ""
+
+
+def test_scale_settings():
+    from tidewater.session import scale_settings
+
+    s = scale_settings(100 * 1024**4, 8000)
+    assert int(s["spark.sql.shuffle.partitions"]) == 409600
+    assert scale_settings(10, 8)["spark.sql.shuffle.partitions"] == "16"

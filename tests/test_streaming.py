@@ -79,3 +79,17 @@ def test_output_modes():
     assert output_mode("Complete") == "complete"
     with pytest.raises(ValueError):
         output_mode("upsert")
+
+
+def test_memory_and_console_sinks(spark, tmp_dir, capsys):
+    from tidewater.streaming.sinks import console_sink, memory_sink
+
+    landing = os.path.join(tmp_dir, "in")
+    _land(landing, "a.txt", [GOOD.format(1), INFO])
+    errors = file_log_source(spark, landing).transform(lambda df: __import__(
+        "tidewater.functions.logs", fromlist=["x"]).parse_error_lines(df))
+    q = memory_sink(errors, "errors_mem").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.sql("SELECT * FROM errors_mem").count() == 1
+    c = console_sink(errors).trigger(availableNow=True).start()
+    c.awaitTermination()

@@ -86,6 +86,23 @@ def format_in_zone(ts: Column | str, zone: str, pattern: str = ISO_DATE_TIME) ->
     return F.date_format(convert_zone(ts, UTC, zone), pattern)
 
 
+def zone_offset(ts_utc: Column | str, zone: str) -> Column:
+    """``+05:30`` / ``-04:00`` / ``Z``: the offset of ``zone`` at the UTC instant ``ts_utc``."""
+    local = convert_zone(ts_utc, UTC, zone)
+    minutes = F.timestamp_diff("MINUTE", _c(ts_utc), local)
+    sign = F.when(minutes < 0, F.lit("-")).otherwise(F.lit("+"))
+    mag = F.abs(minutes)
+    text = F.concat(sign, F.lpad(((mag - mag % 60) / 60).cast("int").cast("string"), 2, "0"), F.lit(":"),
+                    F.lpad((mag % 60).cast("string"), 2, "0"))
+    return F.when(minutes == 0, F.lit("Z")).otherwise(text)
+
+
+def format_with_offset(ts_utc: Column | str, zone: str, pattern: str = ISO_DATE_TIME) -> Column:
+    """A UTC instant shown as local time in ``zone`` with its offset (I11, I12),
+    e.g. ``2024-02-11T01:30:00.000+05:30``; DST changes of the zone are respected."""
+    return F.concat(F.date_format(convert_zone(ts_utc, UTC, zone), pattern), zone_offset(ts_utc, zone))
+
+
 def format_time(ts: Column | str) -> Column:
     """Time of day ``HH:mm:ss``."""
     return F.date_format(_c(ts), TIME_OF_DAY)

@@ -63,10 +63,15 @@ def parse_error_lines(
     """Keep matching lines and extract datetime / application / message.
 
     Pure per-row expressions: a narrow stage, no shuffle, runs unchanged on a
-    streaming frame.  NULL lines drop out of the filter.
+    streaming frame.  NULL lines drop out of the filter.  With the default
+    pattern a plain substring test runs first: every match contains
+    ``ERROR``, so lines without it never reach the regular expression.
     """
     line = F.col(line_column)
-    return lines.filter(line.rlike(pattern)).select(
+    keep_row = line.rlike(pattern)
+    if pattern == ERROR_LINE_PATTERN:
+        keep_row = line.contains("ERROR") & keep_row
+    return lines.filter(keep_row).select(
         *keep,
         F.regexp_extract(line, pattern, DATETIME_GROUP).alias("datetime"),
         F.regexp_extract(line, pattern, APPLICATION_GROUP).alias("application"),

@@ -70,6 +70,19 @@ def preview(df: DataFrame, n: int = 8, order_by: Iterable[str | Column] | None =
     return df.limit(n)
 
 
+def log_preview(df: DataFrame, name: str, n: int = 8, enabled: bool = True) -> DataFrame:
+    """Print the schema and the first ``n`` rows (C10), then return ``df`` unchanged.
+
+    Opt-in: every preview runs the plan up to a limit, so keep it off in
+    production jobs (the reference's three previews re-read their sources).
+    """
+    if enabled:
+        print(f"== {name} ==")
+        df.printSchema()
+        df.show(n, truncate=False)
+    return df
+
+
 NULL_DROP_MODES = ("any", "all")
 
 

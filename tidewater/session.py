@@ -59,6 +59,29 @@ def build_session(
     return spark
 
 
+def scale_settings(
+    input_bytes: int,
+    total_cores: int,
+    partition_bytes: int = 256 * 1024 * 1024,
+) -> dict[str, str]:
+    """Partition sizing for a cluster run over ``input_bytes`` of input.
+
+    Scan splits and shuffle partitions target ``partition_bytes`` each so a
+    task's input fits executor memory without spilling much; AQE starts from
+    that many shuffle partitions and coalesces the small ones.  At 100 TB and
+    256 MB this is about 400k initial partitions, never fewer than 2 per core.
+    """
+    shuffle = max(2 * total_cores, -(-input_bytes // partition_bytes))
+    size = f"{partition_bytes // (1024 * 1024)}MB"
+    return {
+        "spark.sql.files.maxPartitionBytes": size,
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(shuffle),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": size,
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * partition_bytes),
+    }
+
+
 def apply_sql_defaults(spark: SparkSession, overrides: dict[str, str] | None = None) -> None:
     """Apply the runtime SQL settings to an existing session."""
     conf = dict(SQL_DEFAULTS)
