@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.plan_utils import explain_text
 
@@ -134,3 +135,13 @@ def test_build_report_rounds_and_sorts(spark):
     assert [r.date for r in out] == ["2024-11-01", "2024-11-03", "2024-11-02"]
     assert out[2].sale == 0.3
     assert build_report(daily, products).columns == ["product", "date", "sale"]
+
+
+def test_partition_pruning_on_month_partitioned_sales(spark, tmp_dir):
+    rows = [(dt.datetime(2024, m, 3), "1", 1, float(m)) for m in (10, 11, 12)]
+    sales = _sales(spark, rows).withColumn("sale_month", F.date_format("timestamp", "yyyy-MM"))
+    sales.write.partitionBy("sale_month").parquet(tmp_dir + "/sales")
+    stored = spark.read.parquet(tmp_dir + "/sales")
+    report = monthly_sales_report(stored, _products(spark, [("1", "TV")]), "2024-11", partition_col="sale_month")
+    assert [tuple(r) for r in report.collect()] == [("TV", "2024-11-03", 11.0)]
+    assert "PartitionFilters: [isnotnull(sale_month" in explain_text(report)

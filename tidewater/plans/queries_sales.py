@@ -80,7 +80,9 @@ def q_report_partitioned_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the month twice; dynamic partition overwrite leaves one copy."""
     path = scratch_path(spark, "sales_report")
     for _ in range(2):
-        report = monthly_sales_report(views.sales(spark, sf_dir), views.products(spark, sf_dir), REPORT_MONTH)
+        report = monthly_sales_report(
+            views.sales(spark, sf_dir), views.products(spark, sf_dir), REPORT_MONTH, sort=False
+        )
         persist_report(report, path, REPORT_MONTH)
     return read_report(spark, path, REPORT_MONTH).withColumn(
         "target", report_target_column(F.lit(REPORT_MONTH))

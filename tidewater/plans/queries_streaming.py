@@ -48,6 +48,42 @@ def q_log_stream_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(table).drop("batch_id")
 
 
+def _crash_after_write(body, batch_id: int):
+    """Wrap a batch body: the first attempt of ``batch_id`` writes, then dies
+    before the commit, as a lost driver or executor would."""
+    crashed = {"done": False}
+
+    def run(df, i):
+        body(df, i)
+        if i == batch_id and not crashed["done"]:
+            crashed["done"] = True
+            raise RuntimeError(f"simulated failure after writing batch {i}")
+
+    return run
+
+
+@register("log_stream_recovery", "J03 J04 J09", PARSE_SQL)
+def q_log_stream_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sink fails after writing batch 0; the restart loop resumes from the
+    checkpoint, batch 0 is replayed and replaces its first attempt."""
+    landing = land_log_lines(spark, sf_dir)
+    table, checkpoint = scratch_path(spark, "error_logs"), scratch_path(spark, "checkpoint")
+    body = _crash_after_write(idempotent_table_writer(table), 0)
+    failures: list[int] = []
+
+    def start():
+        return start_error_job(
+            file_log_source(spark, landing, FILES_PER_TRIGGER),
+            lambda df: foreach_batch_sink(df, body, checkpoint),
+            available_now=True,
+        )
+
+    run_with_restart(start, max_attempts=3, delay_s=0.5, on_failure=lambda n, e: failures.append(n))
+    if failures != [1]:
+        raise RuntimeError(f"expected exactly one failed attempt, saw {failures}")
+    return spark.read.parquet(table).drop("batch_id")
+
+
 @register("log_stream_file_sink", "B12 J02 J03 J05", PARSE_SQL)
 def q_log_stream_file_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     landing = land_log_lines(spark, sf_dir)
