@@ -93,3 +93,25 @@ def test_memory_and_console_sinks(spark, tmp_dir, capsys):
     assert spark.sql("SELECT * FROM errors_mem").count() == 1
     c = console_sink(errors).trigger(availableNow=True).start()
     c.awaitTermination()
+
+
+def test_stop_requests_stream(spark, tmp_dir):
+    import datetime as dt
+
+    from tidewater.streaming.sinks import foreach_batch_sink
+    from tidewater.streaming.stop_requests import stop_matcher, stop_request_source
+
+    runs = spark.createDataFrame(
+        [("j", 1, "c1", dt.datetime(2024, 1, 1), None), ("j", 2, "c1", dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2)),
+         ("j", 3, "c2", dt.datetime(2024, 1, 1), None)],
+        "job_name STRING, execution_id BIGINT, correlation_id STRING, start_time TIMESTAMP_NTZ, end_time TIMESTAMP_NTZ",
+    )
+    landing, table, ckpt = (os.path.join(tmp_dir, d) for d in ("in", "out", "ckpt"))
+    _land(landing, "a.txt", ["c1", " c1 ", "zz"])
+    _land(landing, "b.txt", ["c2", "c1"])
+    q = foreach_batch_sink(stop_request_source(spark, landing, 1), stop_matcher(lambda: runs, table), ckpt).trigger(
+        availableNow=True
+    ).start()
+    q.awaitTermination()
+    out = sorted((r.batch_id, r.execution_id) for r in spark.read.parquet(table).collect())
+    assert out == [(0, 1), (1, 1), (1, 3)]

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.plans import views
+from tidewater.plans import queries_runs, views
 from tidewater.plans.error_logs import error_counts
 from tidewater.plans.queries_logs import PARSE_SQL
 from tidewater.plans.registry import register
@@ -18,6 +18,7 @@ from tidewater.sources import files
 from tidewater.streaming.error_stream import error_stream, file_log_source, start_error_job
 from tidewater.streaming.launcher import QueryGroup, run_with_restart, start_once
 from tidewater.streaming.sinks import foreach_batch_sink, idempotent_table_writer, snapshot_writer
+from tidewater.streaming.stop_requests import stop_matcher, stop_request_source
 
 LINES_PER_FILE = 5000
 FILES_PER_TRIGGER = 8
@@ -133,3 +134,28 @@ def q_stream_multi_query_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     if errors:
         raise RuntimeError(f"queries failed to stop: {errors}")
     return spark.read.parquet(counts_path)
+
+
+_STOP_SQL = f"""{queries_runs._RUNS} SELECT {queries_runs._BASE_COLS} FROM runs WHERE end_time IS NULL AND correlation_id IN
+  (SELECT CAST(user_id AS VARCHAR) FROM events WHERE event_type = 'error')"""
+
+
+@register("runs_stop_stream", "D10 J01 J03", _STOP_SQL)
+def q_runs_stop_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stop requests arrive as a stream; every open run they name is matched.
+
+    The same run can be named in several batches (several requests); the
+    result is the set of runs to stop, so it is made distinct at the end.
+    """
+    landing = scratch_path(spark, "stop_requests")
+    views.stop_requests(spark, sf_dir).write.option("maxRecordsPerFile", LINES_PER_FILE).text(landing)
+    table, checkpoint = scratch_path(spark, "stop_actions"), scratch_path(spark, "checkpoint")
+    body = stop_matcher(lambda: views.runs(spark, sf_dir), table)
+    q = start_once(
+        lambda: foreach_batch_sink(stop_request_source(spark, landing, FILES_PER_TRIGGER), body, checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    if q is None:
+        raise RuntimeError("stop-request stream failed")
+    return spark.read.parquet(table).drop("batch_id").select(*queries_runs._BASE_COLS.split(", ")).distinct()
