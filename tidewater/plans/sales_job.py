@@ -1,6 +1,6 @@
 """spark-submit entry point of the monthly sales report.
 
-    spark-submit -m tidewater.plans.sales_job --month 2024-11 \\
+    spark-submit --py-files tidewater.zip tidewater/plans/sales_job.py --month 2024-11 \\
         --sales s3a://lake/sales --products s3a://lake/products --output s3a://lake/sales_report
 """
 

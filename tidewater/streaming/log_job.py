@@ -1,6 +1,6 @@
 """spark-submit entry point of the error-log stream.
 
-    spark-submit -m tidewater.streaming.log_job --source kafka --bootstrap b:9092 --topic logs \\
+    spark-submit --py-files tidewater.zip tidewater/streaming/log_job.py --source kafka --bootstrap b:9092 --topic logs \\
         --sink-path s3a://lake/error_logs
 """
 
