@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.plans import views
+from tidewater.plans.error_logs import error_counts, extract_errors
+from tidewater.plans.queries_logs import PARSE_SQL
 from tidewater.plans.registry import register
 from tidewater.session import scratch_path
 from tidewater.sources import files
@@ -88,3 +90,20 @@ def q_file_save_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     except Exception:  # noqa: BLE001 - expected: the path exists
         pass
     return files.read(spark, files.FileOptions(path=path))
+
+
+@register(
+    "file_merge_summary",
+    "B03 B01 A01 A03",
+    f"SELECT application, count(*) AS error_count FROM ({PARSE_SQL}) GROUP BY application",
+)
+def q_file_merge_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A summary bounded by the number of applications, written as one CSV file.
+
+    ``merge`` narrows the last stage to one task, so it is used on an
+    aggregate whose size does not grow with the input.
+    """
+    summary = error_counts(extract_errors(views.log_lines(spark, sf_dir)))
+    opts = files.FileOptions(path=scratch_path(spark, "summary"), format="csv", merge=True)
+    files.write(summary, opts)
+    return files.read(spark, opts, "application STRING, error_count BIGINT")
