@@ -52,7 +52,7 @@ def q_file_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     "file_parquet_codecs",
     "A05 B04 B05",
     "SELECT codec, count(*) AS row_count, round(sum(p_retailprice), 2) AS total_price, "
-    "sum(p_partkey) AS key_sum FROM part, (VALUES "
+    "CAST(sum(p_partkey) AS BIGINT) AS key_sum FROM part, (VALUES "
     + ", ".join(f"('{c}')" for c in WORKING_CODECS)
     + ") v(codec) GROUP BY codec",
 )
