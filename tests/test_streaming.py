@@ -82,12 +82,12 @@ def test_output_modes():
 
 
 def test_memory_and_console_sinks(spark, tmp_dir, capsys):
+    from tidewater.functions.logs import parse_error_lines
     from tidewater.streaming.sinks import console_sink, memory_sink
 
     landing = os.path.join(tmp_dir, "in")
     _land(landing, "a.txt", [GOOD.format(1), INFO])
-    errors = file_log_source(spark, landing).transform(lambda df: __import__(
-        "tidewater.functions.logs", fromlist=["x"]).parse_error_lines(df))
+    errors = file_log_source(spark, landing).transform(parse_error_lines)
     q = memory_sink(errors, "errors_mem").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("SELECT * FROM errors_mem").count() == 1

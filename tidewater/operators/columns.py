@@ -8,33 +8,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def to_columns(*names: str | Iterable[str]) -> list[Column]:
-    """Names (varargs or one collection) to column objects."""
-    flat: list[str] = []
+def _flatten(names: tuple[str | Iterable[str], ...]) -> list[str]:
+    out: list[str] = []
     for name in names:
         if isinstance(name, str):
-            flat.append(name)
+            out.append(name)
         else:
-            flat.extend(name)
-    return [F.col(n) for n in flat]
+            out.extend(name)
+    return out
+
+
+def to_columns(*names: str | Iterable[str]) -> list[Column]:
+    """Names (varargs or one collection) to column objects."""
+    return [F.col(n) for n in _flatten(names)]
 
 
 def project(df: DataFrame, *names: str | Iterable[str]) -> DataFrame:
     """Keep only the named columns; Catalyst prunes the scan to them."""
-    require_columns(df, *[n for n in _flatten(names)])
+    require_columns(df, *_flatten(names))
     return df.select(*to_columns(*names))
 
 
-def _flatten(names) -> list[str]:
-    out: list[str] = []
-    for name in names:
-        if isinstance(name, str):
-            out.append(name)
-        else:
-            out.extend(name)
-    return out
-
-
 def require_columns(df: DataFrame, *names: str) -> DataFrame:
     """Fail early unless every named column is present (C09, all)."""
     missing = [n for n in names if n not in df.columns]

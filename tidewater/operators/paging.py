@@ -33,11 +33,13 @@ def page(df: DataFrame, number: int, size: int, keys: Sequence[tuple[str, bool]]
 def page_after(df: DataFrame, size: int, keys: Sequence[tuple[str, bool]], last: Sequence | None) -> DataFrame:
     """The ``size`` rows that follow the row whose key values are ``last`` (keyset paging)."""
     if last is not None:
+        # (k1, k2, ...) strictly after ``last`` in the sort order:
+        # k1 beyond, or k1 equal and k2 beyond, or ...
         cond = None
         for i, (k, asc) in enumerate(keys):
             step = F.col(k) > F.lit(last[i]) if asc else F.col(k) < F.lit(last[i])
-            for k2, _ in keys[:i]:
-                step = step & (F.col(k2) == F.lit(last[[kk for kk, _ in keys].index(k2)]))
+            for j in range(i):
+                step = step & (F.col(keys[j][0]) == F.lit(last[j]))
             cond = step if cond is None else cond | step
         df = df.filter(cond)
     return df.orderBy(*_sort_cols(keys)).limit(size)
