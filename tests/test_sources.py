@@ -123,3 +123,10 @@ def test_registry():
         connector("ftp")
     with pytest.raises(LookupError):
         connector("mongodb", enabled={"file"})
+
+
+def test_query_reads(spark):
+    with pytest.raises(ValueError):
+        jdbc.read_query(spark, jdbc.JdbcOptions(url="u", partition_column="id", lower_bound=0, upper_bound=9, num_partitions=2), "SELECT 1")
+    with pytest.raises(ConnectorUnavailable):
+        documents.arango_read_query(spark, documents.ArangoOptions(endpoints="h:8529"), "FOR d IN products RETURN d")

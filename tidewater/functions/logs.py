@@ -49,8 +49,14 @@ def payload_to_text(df: DataFrame, source: str = "value", target: str = LOG_LINE
 
 
 def is_error_line(line: Column | str = LOG_LINE_COLUMN, pattern: str = ERROR_LINE_PATTERN) -> Column:
-    """Row filter by regular expression."""
+    """Row filter by regular expression.
+
+    With the default pattern a plain substring test runs first: every match
+    contains ``ERROR``, so lines without it never reach the regular expression.
+    """
     c = F.col(line) if isinstance(line, str) else line
+    if pattern == ERROR_LINE_PATTERN:
+        return c.contains("ERROR") & c.rlike(pattern)
     return c.rlike(pattern)
 
 
@@ -63,15 +69,10 @@ def parse_error_lines(
     """Keep matching lines and extract datetime / application / message.
 
     Pure per-row expressions: a narrow stage, no shuffle, runs unchanged on a
-    streaming frame.  NULL lines drop out of the filter.  With the default
-    pattern a plain substring test runs first: every match contains
-    ``ERROR``, so lines without it never reach the regular expression.
+    streaming frame.  NULL lines drop out of the filter.
     """
     line = F.col(line_column)
-    keep_row = line.rlike(pattern)
-    if pattern == ERROR_LINE_PATTERN:
-        keep_row = line.contains("ERROR") & keep_row
-    return lines.filter(keep_row).select(
+    return lines.filter(is_error_line(line, pattern)).select(
         *keep,
         F.regexp_extract(line, pattern, DATETIME_GROUP).alias("datetime"),
         F.regexp_extract(line, pattern, APPLICATION_GROUP).alias("application"),

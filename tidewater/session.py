@@ -6,7 +6,6 @@ pin the SQL session time zone to UTC so textual date semantics are stable.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -111,16 +110,3 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     """A fresh, unique location below the shared checkpoint folder."""
     root = checkpoint_root(spark).rstrip("/")
     return "/".join([root, "tidewater", *parts, uuid.uuid4().hex])
-
-
-def is_local_path(path: str) -> bool:
-    return "://" not in path or path.startswith("file:")
-
-
-def local_dir(path: str) -> str:
-    """Strip a ``file:`` scheme for Python-side file checks in tests."""
-    if path.startswith("file:"):
-        path = path[len("file:") :]
-        while path.startswith("//"):
-            path = path[1:]
-    return os.path.abspath(path)
