@@ -117,3 +117,18 @@ def test_stop_requests_stream(spark, tmp_dir):
     rows = spark.read.parquet(table).collect()
     per_batch = sorted(sorted(r.execution_id for r in rows if r.batch_id == b) for b in (0, 1))
     assert per_batch == [[1], [1, 3]]
+
+
+def test_file_source_archives_processed_files(spark, tmp_dir):
+    from tidewater.sources import files as fs
+
+    landing, archive, out, ckpt = (os.path.join(tmp_dir, d) for d in ("in", "arch", "out", "ck"))
+    _land(landing, "a.txt", [GOOD.format(1)])
+    src = fs.read_stream(spark, fs.FileOptions(path=landing, format="text"), clean_source="archive", archive_dir=archive)
+    q = src.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt).trigger(
+        availableNow=True
+    ).start()
+    q.awaitTermination()
+    assert spark.read.parquet(out).count() == 1
+    with pytest.raises(ValueError):
+        fs.read_stream(spark, fs.FileOptions(path=landing, format="text"), clean_source="archive")

@@ -80,18 +80,36 @@ def write(df: DataFrame, opts: FileOptions, extra: dict[str, str] | None = None)
     writer.save(opts.path)
 
 
+CLEAN_SOURCE = ("off", "archive", "delete")
+
+
 def read_stream(
     spark: SparkSession,
     opts: FileOptions,
     schema: StructType | str | None = None,
     max_files_per_trigger: int | None = None,
+    clean_source: str = "off",
+    archive_dir: str | None = None,
 ) -> DataFrame:
-    """Streaming file source; new files in ``path`` become micro-batches."""
+    """Streaming file source; new files in ``path`` become micro-batches.
+
+    For long-running sources ``clean_source="archive"`` (with
+    ``archive_dir``) or ``"delete"`` removes processed files, so listing the
+    folder does not grow with the history.
+    """
+    if clean_source not in CLEAN_SOURCE:
+        raise ValueError(f"clean_source must be one of {CLEAN_SOURCE}")
+    if clean_source == "archive" and not archive_dir:
+        raise ValueError("archive needs archive_dir")
     reader = spark.readStream.format(opts.format).options(**opts.read_options())
     if schema is not None:
         reader = reader.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    if clean_source != "off":
+        reader = reader.option("cleanSource", clean_source)
+        if archive_dir:
+            reader = reader.option("sourceArchiveDir", archive_dir)
     return reader.load(opts.path)
 
 
