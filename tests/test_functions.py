@@ -75,6 +75,8 @@ def test_template_and_pairs(spark):
     df = spark.createDataFrame([("a", None)], "x STRING, y STRING")
     out = df.select(X.fill_template("${x}-${y}-${z}", {"x": F.col("x"), "y": F.col("y")}).alias("o")).first().o
     assert out == "a-${y}-${z}"
+    esc = df.select(X.fill_template("$${x}=${x}", {"x": F.col("x")}).alias("o")).first().o
+    assert esc == "${x}=a"
     assert X.pairs_to_mapping("a", "1", "b", "2") == {"a": "1", "b": "2"}
     with pytest.raises(ValueError):
         X.pairs_to_mapping("a")

@@ -78,7 +78,10 @@ def test_string_timestamps_use_prefix(spark):
     )
     assert month_filter(df, "2024-11").count() == 1
     daily = daily_sales(df, "2024-11").collect()
-    assert [(r.sale_date, r.daily_sale_amount) for r in daily] == [(dt.date(2024, 11, 30), 2.0)]
+    assert [(r.sale_date, r.daily_sale_amount) for r in daily] == [("2024-11-30", 2.0)]
+    odd = spark.createDataFrame([("2024-11-3x junk", "1", 1, 2.0)], "timestamp STRING, product_id STRING, quantity INT, price DOUBLE")
+    report = monthly_sales_report(odd, _products(spark, [("1", "TV")]), "2024-11").collect()
+    assert [tuple(r) for r in report] == [("TV", "2024-11-3x", 2.0)]
 
 
 def test_text_in_price_fails_strict_and_nulls_lenient(spark):

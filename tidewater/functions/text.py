@@ -39,16 +39,23 @@ def after_last_slash(col: Column | str) -> Column:
     return F.regexp_replace(java_trim(col), ".*/", "")
 
 
+# Stand-in for an escaped ``$${`` while slots are filled; not expected in text.
+_ESCAPED = "\u0000\u0001"
+
+
 def fill_template(template: Column | str, values: Mapping[str, Column | str]) -> Column:
     """Fill ``${name}`` slots from columns (I19); unknown slots stay as they are.
 
-    A NULL value leaves its slot untouched, like a missing variable.
+    ``$${name}`` is an escape and comes out as the literal ``${name}``.  A
+    NULL value leaves its slot untouched, like a missing variable.  Values
+    are inserted as they are (a ``${..}`` inside a value is not expanded).
     """
     out = F.lit(template) if isinstance(template, str) else template
+    out = F.replace(out, F.lit("$${"), F.lit(_ESCAPED))
     for name, value in values.items():
         v = _c(value) if isinstance(value, Column) else F.col(value)
         out = F.when(v.isNull(), out).otherwise(F.replace(out, F.lit("${" + name + "}"), v.cast("string")))
-    return out
+    return F.replace(out, F.lit(_ESCAPED), F.lit("${"))
 
 
 def pairs_to_mapping(*pairs: str) -> dict[str, str]:

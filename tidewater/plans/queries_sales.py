@@ -9,6 +9,7 @@ from tidewater.plans import views
 from tidewater.plans.registry import register
 from tidewater.plans.sales_report import (
     daily_sales,
+    day_text,
     month_filter,
     monthly_sales_report,
     persist_report,
@@ -65,7 +66,7 @@ def q_sales_daily_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
     daily = daily_sales(views.sales(spark, sf_dir), REPORT_MONTH)
     return daily.select(
         "product_id",
-        F.date_format("sale_date", "yyyy-MM-dd").alias("date"),
+        day_text("sale_date", daily.schema["sale_date"].dataType).alias("date"),
         F.round("daily_sale_amount", 2).alias("daily_sale_amount"),
     )
 

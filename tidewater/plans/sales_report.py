@@ -64,16 +64,23 @@ def month_filter(df: DataFrame, month: str, ts_col: str = "timestamp") -> DataFr
 def sale_day(df: DataFrame, ts_col: str = "timestamp") -> Column:
     """Calendar day of the sale.
 
-    Grouped as a DATE (4 bytes) instead of a 10-character string; it is
-    rendered ``yyyy-MM-dd`` only after aggregation, on far fewer rows.
+    Timestamps are grouped as a DATE (4 bytes) instead of a 10-character
+    string and rendered ``yyyy-MM-dd`` only after aggregation, on far fewer
+    rows.  Text timestamps keep their first ten characters as they are.
     """
     dtype = df.schema[ts_col].dataType
     c = F.col(ts_col)
     if isinstance(dtype, T.StringType):
-        return F.to_date(F.substring(c, 1, 10))
+        return F.substring(c, 1, 10)
     return F.to_date(c)
 
 
+def day_text(day: Column | str, dtype: T.DataType) -> Column:
+    """The ``yyyy-MM-dd`` text of a day key from ``sale_day``."""
+    c = F.col(day) if isinstance(day, str) else day
+    return c if isinstance(dtype, T.StringType) else F.date_format(c, "yyyy-MM-dd")
+
+
 def sale_amount(price: Column | str = "price", quantity: Column | str = "quantity", lenient: bool = False) -> Column:
     """``price`` as double times ``quantity`` as int.
 
@@ -90,7 +97,8 @@ def sale_amount(price: Column | str = "price", quantity: Column | str = "quantit
 def daily_sales(sales: DataFrame, month: str, lenient: bool = False, partition_col: str | None = None) -> DataFrame:
     """Sum of sale amounts per product and day of ``month``.
 
-    Output: ``product_id``, ``sale_date`` (DATE), ``daily_sale_amount``.
+    Output: ``product_id``, ``sale_date`` (DATE, or text for text timestamps),
+    ``daily_sale_amount``.
     """
     require_columns(sales, "timestamp", "product_id", "price", "quantity")
     in_month = month_filter(sales, month)
@@ -122,7 +130,7 @@ def build_report(daily: DataFrame, products: DataFrame, decimals: int | None = 2
         sale = F.round(sale, decimals)
     report = daily.join(products.select("product_id", "product_name"), "product_id", "inner").select(
         F.col("product_name").alias("product"),
-        F.date_format("sale_date", "yyyy-MM-dd").alias("date"),
+        day_text("sale_date", daily.schema["sale_date"].dataType).alias("date"),
         sale.alias("sale"),
     )
     return report.orderBy("product", "date") if sort else report
