@@ -92,8 +92,9 @@ def apply_sql_defaults(spark: SparkSession, overrides: dict[str, str] | None = N
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the deployment and points at shared storage.
-    Only when it is unset (local tests) do we create a local one.
+    On a cluster this is set by the deployment and points at shared storage;
+    if it is missing there, this fails rather than fall back to a folder that
+    only one machine sees.  Only in local mode (tests) is a folder created.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -101,6 +102,10 @@ def checkpoint_root(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir")
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError(
+                "spark.checkpoint.dir is not set: point it at shared storage (for example an s3a:// or hdfs:// folder)"
+            )
         configured = tempfile.mkdtemp(prefix="tidewater-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
