@@ -88,3 +88,12 @@ def q_report_partitioned_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_report(spark, path, REPORT_MONTH).withColumn(
         "target", report_target_column(F.lit(REPORT_MONTH))
     )
+
+
+@register("monthly_sales_report_text", "C01 C03 K02", _REPORT_SQL)
+def q_monthly_sales_report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report over text timestamps (as a document store may deliver them):
+    the month filter is then the reference's own prefix test and the day is the
+    first ten characters."""
+    sales = views.sales(spark, sf_dir).withColumn("timestamp", F.col("timestamp").cast("string"))
+    return monthly_sales_report(sales, views.products(spark, sf_dir), validate_month(REPORT_MONTH))
