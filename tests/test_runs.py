@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from tidewater.plans import runs as R
 
 DDL = (
@@ -94,3 +96,20 @@ def test_stop_match_only_open_runs(spark):
     runs = _runs(spark)
     stops = spark.createDataFrame([("c1",), ("c1",), ("c2",), ("zz",), (None,)], "correlation_id STRING")
     assert [r.execution_id for r in R.match_stop_requests(runs, stops).collect()] == [1]
+
+
+def test_keyset_paging_walks_the_whole_history(spark):
+    from tidewater.operators.paging import page_after
+    from tidewater.plans import views
+
+    runs = views.runs(spark, "/root/testdata/sf0.001").select("execution_id", "start_time")
+    keys = [("start_time", False), ("execution_id", False)]
+    expected = [r.execution_id for r in runs.orderBy(F.col("start_time").desc(), F.col("execution_id").desc()).collect()]
+    seen, last = [], None
+    while True:
+        page_rows = page_after(runs, 250, keys, last).collect()
+        if not page_rows:
+            break
+        seen += [r.execution_id for r in page_rows]
+        last = (page_rows[-1].start_time, page_rows[-1].execution_id)
+    assert seen == expected
