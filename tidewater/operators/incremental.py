@@ -16,8 +16,13 @@ def high_water_mark(df: DataFrame, ts_col: str, alias: str = "high_water_day") -
 
 def absent_rows(candidates: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Candidates whose key is not loaded yet (G01): a left-anti join, so an
-    append of the result never duplicates a key that is already present."""
-    return candidates.join(existing.select(*keys), on=list(keys), how="left_anti")
+    append of the result never duplicates a key that is already present.
+
+    The loaded keys are de-duplicated first (a partial aggregate before the
+    shuffle), so a key repeated in a third of the loaded rows reaches the
+    join once.
+    """
+    return candidates.join(existing.select(*keys).distinct(), on=list(keys), how="left_anti")
 
 
 def days_to_load(
