@@ -113,3 +113,13 @@ def test_keyset_paging_walks_the_whole_history(spark):
         seen += [r.execution_id for r in page_rows]
         last = (page_rows[-1].start_time, page_rows[-1].execution_id)
     assert seen == expected
+
+
+def test_parse_sort():
+    assert R.parse_sort(None) == [("start_time", False), ("execution_id", False)]
+    assert R.parse_sort(["job_name", "start_time,desc"]) == [("job_name", True), ("start_time", False), ("execution_id", True)]
+    assert R.parse_sort(["execution_id,desc"]) == [("execution_id", False)]
+    import pytest
+
+    with pytest.raises(ValueError):
+        R.parse_sort(["job_name,sideways"])

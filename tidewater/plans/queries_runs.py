@@ -167,6 +167,16 @@ def q_runs_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _base(R.history_page(_runs(spark, sf_dir), PAGE, PAGE_SIZE))
 
 
+@register(
+    "runs_page_sorted",
+    "F05",
+    f"""{_RUNS} SELECT {_BASE_COLS} FROM runs ORDER BY job_name ASC, start_time DESC, execution_id ASC
+LIMIT {PAGE_SIZE} OFFSET {PAGE * PAGE_SIZE}""",
+)
+def q_runs_page_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _base(R.history_page(_runs(spark, sf_dir), PAGE, PAGE_SIZE, ["job_name", "start_time,desc"]))
+
+
 @register(
     "runs_page_facts",
     "F06 F07",

@@ -160,9 +160,29 @@ def latest_runs(runs: DataFrame, names: Sequence[str]) -> DataFrame:
     return latest_per_group(runs.filter(F.col("job_name").isin(list(names))), "job_name", HISTORY_ORDER)
 
 
-def history_page(runs: DataFrame, number: int, size: int) -> DataFrame:
-    """One page of the history, newest first."""
-    return page(runs, number, size, [(k, False) for k in HISTORY_ORDER])
+def parse_sort(sort: Sequence[str] | None) -> list[tuple[str, bool]]:
+    """``["job_name", "start_time,desc"]`` -> keys; ascending by default.
+
+    ``execution_id`` is appended as the unique last key so pages repeat.
+    Without a sort the history is newest first.
+    """
+    if not sort:
+        return [(k, False) for k in HISTORY_ORDER]
+    keys: list[tuple[str, bool]] = []
+    for item in sort:
+        name, _, direction = item.partition(",")
+        direction = direction.strip().lower() or "asc"
+        if direction not in ("asc", "desc"):
+            raise ValueError(f"sort direction must be asc or desc: {item!r}")
+        keys.append((name.strip(), direction == "asc"))
+    if "execution_id" not in [k for k, _ in keys]:
+        keys.append(("execution_id", True))
+    return keys
+
+
+def history_page(runs: DataFrame, number: int, size: int, sort: Sequence[str] | None = None) -> DataFrame:
+    """One page of the history (F05): newest first, or by ``sort`` keys."""
+    return page(runs, number, size, parse_sort(sort))
 
 
 def history_page_facts(runs: DataFrame, number: int, size: int) -> DataFrame:
