@@ -9,7 +9,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import StructType
 
 # Formats, save modes and Parquet codecs the connector accepts.
-FORMATS = ("csv", "json", "parquet", "orc", "text", "avro")
+FORMATS = ("csv", "json", "parquet", "orc", "text")
 SAVE_MODES = ("append", "overwrite", "errorifexists", "ignore")
 PARQUET_CODECS = ("none", "uncompressed", "snappy", "gzip", "lzo", "brotli", "lz4", "zstd")
 NULL_TOKEN = "null"
