@@ -123,3 +123,10 @@ def test_parse_sort():
 
     with pytest.raises(ValueError):
         R.parse_sort(["job_name,sideways"])
+
+
+def test_deep_offset_is_refused(spark):
+    import pytest
+
+    with pytest.raises(ValueError, match="page_after"):
+        R.history_page(_runs(spark), 20_000, 10)

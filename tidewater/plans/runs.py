@@ -181,7 +181,10 @@ def parse_sort(sort: Sequence[str] | None) -> list[tuple[str, bool]]:
 
 
 def history_page(runs: DataFrame, number: int, size: int, sort: Sequence[str] | None = None) -> DataFrame:
-    """One page of the history (F05): newest first, or by ``sort`` keys."""
+    """One page of the history (F05): newest first, or by ``sort`` keys.
+
+    Deep pages: ``operators.paging.page_after`` with the last key seen.
+    """
     return page(runs, number, size, parse_sort(sort))
 
 
