@@ -31,3 +31,19 @@ def test_log_job_on_files(spark, tmp_dir):
     log_job.run(spark, args)
     expected = views.table(spark, SF, "events").where("event_type = 'error'").count()
     assert spark.read.parquet(out).count() == expected
+
+
+def test_sales_job_document_output_needs_connector(spark, tmp_dir):
+    import pytest
+
+    from tidewater.sources.errors import ConnectorUnavailable
+
+    sales, products = os.path.join(tmp_dir, "s"), os.path.join(tmp_dir, "p")
+    views.sales(spark, SF).write.parquet(sales)
+    views.products(spark, SF).write.parquet(products)
+    args = sales_job.parse_args(
+        ["--month", "1998-03", "--sales", sales, "--products", products, "--output-kind", "arangodb",
+         "--arango-endpoints", "h:8529"]
+    )
+    with pytest.raises(ConnectorUnavailable):
+        sales_job.run(spark, args)

@@ -10,7 +10,7 @@ import argparse
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.plans.sales_report import monthly_sales_report, persist_report, validate_month
+from tidewater.plans.sales_report import monthly_sales_report, persist_report, report_target_name, validate_month
 from tidewater.session import build_session
 from tidewater.sources import documents, files
 
@@ -35,7 +35,11 @@ def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--products", required=True)
     p.add_argument("--products-kind", default="file", choices=["file", "mongodb", "arangodb"])
     p.add_argument("--products-format", default="parquet")
-    p.add_argument("--output", required=True, help="report root; one month=YYYY-MM folder per run")
+    p.add_argument("--output", help="report root for files; one month=YYYY-MM folder per run")
+    p.add_argument(
+        "--output-kind", default="file", choices=["file", "mongodb", "arangodb"],
+        help="document stores get one collection per month, sales_report_YYYY_MM, replaced on rerun",
+    )
     p.add_argument("--output-format", default="parquet")
     p.add_argument("--partition-col", help="yyyy-MM partition column of the sales source")
     p.add_argument("--lenient", action="store_true", help="dirty numbers become NULL instead of failing")
@@ -55,7 +59,16 @@ def run(spark: SparkSession, args: argparse.Namespace) -> str:
     report = monthly_sales_report(
         sales, products, month, lenient=args.lenient, sort=False, partition_col=args.partition_col
     )
-    persist_report(report, args.output, month, args.output_format)
+    if args.output_kind == "file":
+        if not args.output:
+            raise ValueError("--output is required for file output")
+        persist_report(report, args.output, month, args.output_format)
+    elif args.output_kind == "mongodb":
+        opts = documents.MongoOptions(args.mongo_uri, args.mongo_database)
+        documents.mongo_write(report, opts, report_target_name(month), mode="overwrite")
+    else:
+        opts = documents.ArangoOptions(args.arango_endpoints, args.arango_database, args.arango_user, args.arango_password)
+        documents.arango_write(report, opts, report_target_name(month), mode="overwrite")
     return month
 
 
