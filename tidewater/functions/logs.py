@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The error-line pattern and its group numbers.  The line must
-# start with the stamp; group 4 starts at the LAST colon (greedy ``.*`` before
-# it) and keeps it.
-ERROR_LINE_PATTERN = r"^(\S+T\S+)(\s+ERROR\s+\d+\s+---\s+\[([a-zA-Z0-9-]+)\].*)(:.*)"
+# start with the stamp (the look-behind on ``^``); group 4 starts at the LAST
+# colon (greedy ``.*`` before it) and keeps it.
+ERROR_LINE_PATTERN = r"(?<=^)(\S+T\S+)(\s+ERROR\s+\d+\s+---\s+\[([a-zA-Z0-9-]+)\].*)(:.*)"
 DATETIME_GROUP = 1
 APPLICATION_GROUP = 3
 MESSAGE_GROUP = 4

@@ -10,13 +10,15 @@ from tidewater.plans import views
 from tidewater.plans.error_logs import error_counts, extract_errors
 from tidewater.plans.registry import register
 
-# DuckDB's RE2 pattern is the same text: ``^`` anchors the stamp.
+# DuckDB's RE2 has no look-behind; a look-behind on ``^`` means "at the start",
+# which RE2 writes as ``^``.
+_RE2_PATTERN = ERROR_LINE_PATTERN.replace("(?<=^)", "^", 1)
 PARSE_SQL = f"""
 WITH lines AS ({views.LOG_LINES_SQL})
-SELECT regexp_extract(log_line, '{ERROR_LINE_PATTERN}', 1) AS datetime,
-       regexp_extract(log_line, '{ERROR_LINE_PATTERN}', 3) AS application,
-       regexp_extract(log_line, '{ERROR_LINE_PATTERN}', 4) AS error_message
-FROM lines WHERE regexp_matches(log_line, '{ERROR_LINE_PATTERN}')
+SELECT regexp_extract(log_line, '{_RE2_PATTERN}', 1) AS datetime,
+       regexp_extract(log_line, '{_RE2_PATTERN}', 3) AS application,
+       regexp_extract(log_line, '{_RE2_PATTERN}', 4) AS error_message
+FROM lines WHERE regexp_matches(log_line, '{_RE2_PATTERN}')
 """
 
 
