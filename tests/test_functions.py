@@ -101,3 +101,27 @@ def test_offset_formatting(spark):
     assert out[0].ist == "2024-02-11T01:30:00.000+05:30"
     assert out[0].ny == "2024-02-10T15:00:00.000-05:00" and out[1].ny == "2024-07-01T08:00:00.000-04:00"
     assert out[0].utc == "2024-02-10T20:00:00.000Z"
+
+
+def test_renderers_follow_their_templates(spark):
+    from tidewater.functions.logs import LOG_TEMPLATE, render_log_line
+
+    df = spark.createDataFrame(
+        [("2024-01-01T00:00:00.000Z", "ERROR", 7, "App1", "main", "a.B", "boom: x", "c", "t", "m", None, ["1", "2"])],
+        "ts STRING, level STRING, pid INT, app STRING, thread STRING, cls STRING, msg STRING, "
+        "code STRING, title STRING, message STRING, cause STRING, args ARRAY<STRING>",
+    )
+    row = df.select(
+        render_log_line(F.col("ts"), F.col("level"), F.col("pid"), F.col("app"), F.col("thread"), F.col("cls"), F.col("msg")).alias("a"),
+        X.fill_template(LOG_TEMPLATE, {
+            "timestamp": F.col("ts"), "level": F.col("level"), "pid": F.col("pid"), "application": F.col("app"),
+            "thread": F.col("thread"), "class": F.col("cls"), "message": F.col("msg"),
+        }).alias("b"),
+        X.problem_reason("code", "title", "message", "cause", "args").alias("c"),
+        X.fill_template(X.REASON_TEMPLATE, {
+            "code": F.col("code"), "title": F.col("title"), "message": F.col("message"),
+            "cause": F.coalesce(F.col("cause"), F.lit("")), "args": X.array_text(F.col("args")),
+        }).alias("d"),
+    ).first()
+    assert row.a == row.b
+    assert row.c == row.d

@@ -9,6 +9,12 @@ MS_PER_SECOND = 1000
 MS_PER_MINUTE = 60 * MS_PER_SECOND
 MS_PER_HOUR = 60 * MS_PER_MINUTE
 
+# The unit labels of the duration text, each with its spacing.
+HOURS_LABEL = " Hours "
+MINUTES_LABEL = " Minutes "
+SECONDS_LABEL = " Seconds "
+MILLIS_LABEL = " Milli Seconds"
+
 
 def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
@@ -51,10 +57,10 @@ def duration_text(ms: Column | str) -> Column:
         return F.when(value != 0, F.concat(value.cast("string"), F.lit(label))).otherwise(F.lit(""))
 
     text = F.concat(
-        part(p["hours"], " Hours "),
-        part(p["minutes"], " Minutes "),
-        part(p["seconds"], " Seconds "),
-        part(p["millis"], " Milli Seconds"),
+        part(p["hours"], HOURS_LABEL),
+        part(p["minutes"], MINUTES_LABEL),
+        part(p["seconds"], SECONDS_LABEL),
+        part(p["millis"], MILLIS_LABEL),
     )
     return F.when(_c(ms).isNotNull(), text)
 

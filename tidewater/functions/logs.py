@@ -17,8 +17,9 @@ DATETIME_GROUP = 1
 APPLICATION_GROUP = 3
 MESSAGE_GROUP = 4
 
-# Fixed value: separators of the rendered line
-#   <stamp> <level> <pid> --- [<application>] [  <thread>] <class>     : <message>
+# Fixed value: the layout of a log line.  ``render_log_line`` builds the same
+# text with one concat (tests check it against this template).
+LOG_TEMPLATE = "${timestamp} ${level} ${pid} --- [${application}] [  ${thread}] ${class}     : ${message}"
 LOG_LINE_COLUMN = "log_line"
 
 

@@ -91,7 +91,8 @@ def fold_lines(col: Column | str) -> Column:
     return F.regexp_replace(_c(col), " ?[\\t\\r\\n]+", " ")
 
 
-# Fixed value: the reason layout of a job problem.
+# Fixed value: the reason layout of a job problem.  ``problem_reason`` builds
+# the same text with one concat (tests check it against this template).
 REASON_TEMPLATE = "code: ${code}, title: ${title}, message: ${message}, cause: ${cause}, args: ${args}"
 
 
