@@ -125,3 +125,21 @@ def test_renderers_follow_their_templates(spark):
     ).first()
     assert row.a == row.b
     assert row.c == row.d
+
+
+@pytest.mark.parametrize("session_zone", ["UTC", "America/New_York"])
+def test_now_in_zone_matches_python(spark, session_zone):
+    from zoneinfo import ZoneInfo
+
+    prev = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", session_zone)
+    try:
+        row = spark.range(1).select(
+            D.now_in_zone(D.IST).alias("now"), D.today_in_zone(D.IST).alias("today"), D.current_month_in_zone().alias("m")
+        ).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", prev)
+    py_now = dt.datetime.now(ZoneInfo(D.IST)).replace(tzinfo=None)
+    assert abs((row.now - py_now).total_seconds()) < 120
+    assert row.today == row.now.date() and row.m == row.now.strftime("%Y-%m")
+    assert row.m == D.current_year_month(D.IST, row.today)

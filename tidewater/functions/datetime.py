@@ -122,6 +122,26 @@ def previous_year_month(ts: Column | str) -> Column:
     return F.date_format(F.add_months(F.to_date(_c(ts)), -1), YEAR_MONTH)
 
 
+def now_in_zone(zone: str = IST) -> Column:
+    """The current wall clock in ``zone`` as TIMESTAMP_NTZ.
+
+    ``current_timestamp`` is read once per query, so every row sees the same
+    instant; the conversion starts from the session zone, which is how Spark
+    renders that instant.
+    """
+    return F.convert_timezone(None, F.lit(zone), F.current_timestamp())
+
+
+def today_in_zone(zone: str = IST) -> Column:
+    """Today's date in ``zone``."""
+    return F.to_date(now_in_zone(zone))
+
+
+def current_month_in_zone(zone: str = IST) -> Column:
+    """This month in ``zone`` as ``yyyy-MM``."""
+    return F.date_format(now_in_zone(zone), YEAR_MONTH)
+
+
 def month_range(month: str) -> tuple[_dt.datetime, _dt.datetime]:
     """``'YYYY-MM'`` -> [first instant, first instant of next month).
 
