@@ -81,6 +81,16 @@ def test_jdbc_batch_writer_skips_committed_batches(spark):
     assert calls == [7]
 
 
+def test_jdbc_at_least_once_never_skips(spark):
+    calls = []
+    body = jdbc.batch_writer(
+        jdbc.JdbcOptions(url="jdbc:none:"), "t", exactly_once=False, committed_batches=lambda b: calls.append(b) or True
+    )
+    with pytest.raises(Exception):
+        body(spark.range(1), 7)  # goes straight to the (unreachable) database
+    assert calls == []
+
+
 def test_kafka_options_and_payload(spark):
     o = kafka.KafkaOptions(bootstrap_servers="b:9092", topic="logs", starting_offsets="earliest", max_offsets_per_trigger=100)
     r = o.read_options()

@@ -113,43 +113,46 @@ def batch_writer(
     opts: JdbcOptions,
     table: str,
     extra: dict[str, str] | None = None,
+    exactly_once: bool = True,
     committed_batches: Callable[[int], bool] | None = None,
 ) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` body that appends each micro-batch.
+    """``foreachBatch`` body that appends each micro-batch.
 
     The options are applied inside the body, on the batch write itself.
-    Each row carries ``batch_id``; ``committed_batches(batch_id)`` lets a
-    replayed batch be skipped when it is already in the table (J09).  The
-    default asks the table itself with a one-row ``query`` read.
+
+    ``exactly_once`` (default): every row carries ``batch_id`` and the batch
+    is written through one connection, so it commits as one transaction -
+    all of it or nothing.  A replayed batch that is already in the table is
+    then skipped, which cannot lose rows.  ``committed_batches(batch_id)``
+    replaces the default check, a one-row ``query`` read of the table.
+
+    ``exactly_once=False`` writes in parallel (``numPartitions`` connections,
+    one transaction each); a failure part-way can leave part of a batch, so
+    nothing is skipped and a replay may duplicate rows: at-least-once, like
+    a plain append.
     """
     write_opts = dict(opts.write_options())
     write_opts.update(extra or {})
+    if exactly_once:
+        write_opts["numPartitions"] = "1"
+    probe_opts = {k: v for k, v in opts.read_options().items()
+                  if k not in ("partitionColumn", "lowerBound", "upperBound", "numPartitions")}
 
     def seen(batch_df: DataFrame, batch_id: int) -> bool:
         if committed_batches is not None:
             return committed_batches(batch_id)
         spark = batch_df.sparkSession
-        probe = (
-            spark.read.format("jdbc")
-            .options(**opts.read_options())
-            .option("query", f"SELECT 1 AS hit FROM {table} WHERE {BATCH_ID_COLUMN} = {int(batch_id)}")
-            .load()
-        )
+        query = f"SELECT 1 AS hit FROM {table} WHERE {BATCH_ID_COLUMN} = {int(batch_id)}"
         try:
+            probe = spark.read.format("jdbc").options(**probe_opts).option("query", query).load()
             return bool(probe.limit(1).count())
         except Exception:  # noqa: BLE001 - the table does not exist yet
             return False
 
     def write_batch(batch_df: DataFrame, batch_id: int) -> None:
-        if seen(batch_df, batch_id):
+        if exactly_once and seen(batch_df, batch_id):
             return
-        (
-            batch_df.withColumn(BATCH_ID_COLUMN, F.lit(batch_id).cast("long"))
-            .write.format("jdbc")
-            .mode("append")
-            .options(**write_opts)
-            .option("dbtable", table)
-            .save()
-        )
+        out = batch_df.withColumn(BATCH_ID_COLUMN, F.lit(batch_id).cast("long")) if exactly_once else batch_df
+        out.write.format("jdbc").mode("append").options(**write_opts).option("dbtable", table).save()
 
     return write_batch
