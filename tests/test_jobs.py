@@ -22,15 +22,18 @@ def test_sales_job(spark, tmp_dir):
 
 
 def test_log_job_on_files(spark, tmp_dir):
-    landing, out = os.path.join(tmp_dir, "in"), os.path.join(tmp_dir, "out")
+    landing = os.path.join(tmp_dir, "in")
     views.log_lines(spark, SF).write.text(landing)
-    args = log_job.parse_args(
-        ["--source", "files", "--path", landing, "--sink-path", out, "--checkpoint", os.path.join(tmp_dir, "ck"),
-         "--available-now", "--max-attempts", "1"]
-    )
-    log_job.run(spark, args)
     expected = views.table(spark, SF, "events").where("event_type = 'error'").count()
-    assert spark.read.parquet(out).count() == expected
+    for sink in ("files", "table"):
+        out = os.path.join(tmp_dir, "out-" + sink)
+        args = log_job.parse_args(
+            ["--source", "files", "--path", landing, "--sink", sink, "--sink-path", out,
+             "--checkpoint", os.path.join(tmp_dir, "ck-" + sink), "--available-now", "--max-attempts", "1"]
+        )
+        log_job.run(spark, args)
+        log_job.run(spark, args)  # restart from the checkpoint: nothing new, nothing twice
+        assert spark.read.parquet(out).count() == expected
 
 
 def test_sales_job_document_output_needs_connector(spark, tmp_dir):

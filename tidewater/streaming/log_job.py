@@ -9,10 +9,11 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidewater.session import build_session, checkpoint_root
-from tidewater.sources import jdbc, kafka
+from tidewater.sources import files, jdbc, kafka
 from tidewater.streaming.error_stream import file_log_source, kafka_log_source, start_error_job
 from tidewater.streaming.launcher import run_with_restart
 from tidewater.streaming.sinks import foreach_batch_sink, idempotent_table_writer
@@ -26,8 +27,12 @@ def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--starting-offsets", default="latest")
     p.add_argument("--path", help="folder of text files (files source)")
     p.add_argument("--max-files", type=int, default=None)
-    p.add_argument("--sink", default="table", choices=["table", "jdbc"])
-    p.add_argument("--sink-path", help="error table root (table sink)")
+    p.add_argument(
+        "--sink", default="files", choices=["files", "table", "jdbc"],
+        help="files: Spark's file sink, exactly-once through its commit log, partitioned by day; "
+        "table: foreachBatch into batch_id partitions; jdbc: foreachBatch JDBC append",
+    )
+    p.add_argument("--sink-path", help="error table root (files and table sinks)")
     p.add_argument("--jdbc-url")
     p.add_argument("--jdbc-table", default="error_logs")
     p.add_argument("--jdbc-user")
@@ -53,16 +58,29 @@ def _body(args: argparse.Namespace):
     return idempotent_table_writer(args.sink_path)
 
 
+def _file_sink(args: argparse.Namespace, checkpoint: str):
+    opts = files.FileOptions(path=args.sink_path, format="parquet", partition_by=("log_day",))
+
+    def sink(df: DataFrame):
+        return files.write_stream(
+            df.withColumn("log_day", F.substring("datetime", 1, 10)), opts, checkpoint, query_name="error_logs"
+        )
+
+    return sink
+
+
 def run(spark: SparkSession, args: argparse.Namespace) -> StreamingQuery:
     checkpoint = args.checkpoint or checkpoint_root(spark).rstrip("/") + "/tidewater/error_logs"
-    body = _body(args)
+    if args.sink == "files":
+        sink = _file_sink(args, checkpoint)
+    else:
+        body = _body(args)
+
+        def sink(df: DataFrame):
+            return foreach_batch_sink(df, body, checkpoint, query_name="error_logs")
 
     def start() -> StreamingQuery:
-        return start_error_job(
-            _source(spark, args),
-            lambda df: foreach_batch_sink(df, body, checkpoint, query_name="error_logs"),
-            available_now=args.available_now,
-        )
+        return start_error_job(_source(spark, args), sink, available_now=args.available_now)
 
     return run_with_restart(start, max_attempts=args.max_attempts, delay_s=args.restart_delay)
 
