@@ -132,3 +132,27 @@ def test_file_source_archives_processed_files(spark, tmp_dir):
     assert spark.read.parquet(out).count() == 1
     with pytest.raises(ValueError):
         fs.read_stream(spark, fs.FileOptions(path=landing, format="text"), clean_source="archive")
+
+
+def test_update_mode_emits_changed_counts(spark, tmp_dir):
+    from tidewater.plans.error_logs import error_counts
+    from tidewater.streaming.error_stream import error_stream
+
+    landing, ckpt = os.path.join(tmp_dir, "in"), os.path.join(tmp_dir, "ck")
+    _land(landing, "a.txt", [GOOD.format(1), GOOD.format(2).replace("AppOne", "AppTwo")])
+    emitted = []
+
+    def body(df, batch_id):
+        emitted.append(sorted((r.application, r.error_count) for r in df.collect()))
+
+    counts = error_counts(error_stream(file_log_source(spark, landing, 1)))
+
+    def run_once():
+        q = foreach_batch_sink(counts, body, ckpt, mode="update").trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    run_once()
+    _land(landing, "b.txt", [GOOD.format(3)])
+    run_once()
+    # the second batch re-emits only the application whose count changed
+    assert emitted == [[("AppOne", 1), ("AppTwo", 1)], [("AppOne", 2)]]
