@@ -156,3 +156,18 @@ def test_update_mode_emits_changed_counts(spark, tmp_dir):
     run_once()
     # the second batch re-emits only the application whose count changed
     assert emitted == [[("AppOne", 1), ("AppTwo", 1)], [("AppOne", 2)]]
+
+
+def test_stop_request_stops_the_group(spark, tmp_dir):
+    from tidewater.streaming.stop_requests import stop_request_source, stop_when_requested
+
+    group = QueryGroup()
+    group.add(spark.readStream.format("rate").load().writeStream.format("noop").start())
+    landing = os.path.join(tmp_dir, "stops")
+    _land(landing, "a.txt", ["other-job"])
+    watcher = stop_when_requested(stop_request_source(spark, landing), "job-42", group, os.path.join(tmp_dir, "ck"))
+    watcher.trigger(availableNow=True).start().awaitTermination()
+    assert group.queries[0].isActive  # another id: ignored
+    _land(landing, "b.txt", [" job-42 "])
+    watcher.trigger(availableNow=True).start().awaitTermination()
+    assert not group.queries[0].isActive

@@ -12,9 +12,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from tidewater.plans.runs import match_stop_requests
 from tidewater.sources import files
+from tidewater.streaming.launcher import QueryGroup
 from tidewater.streaming.sinks import idempotent_table_writer
 
 
@@ -38,3 +40,24 @@ def stop_matcher(runs: Callable[[], DataFrame], table: str) -> Callable[[DataFra
         write(match_stop_requests(runs(), batch), batch_id)
 
     return body
+
+
+def stop_when_requested(
+    requests: DataFrame,
+    correlation_id: str,
+    group: QueryGroup,
+    checkpoint: str,
+) -> DataStreamWriter:
+    """Unstarted watcher: when a request names ``correlation_id``, stop ``group``.
+
+    Each micro-batch asks only whether one matching request exists (a
+    ``limit(1)`` probe), so the check is bounded whatever the batch size.
+    Other ids are ignored.  Stopping goes on when one query fails to stop.
+    """
+
+    def body(batch: DataFrame, batch_id: int) -> None:
+        hit = batch.where(F.col("correlation_id") == correlation_id).limit(1).count() > 0
+        if hit:
+            group.stop_all()
+
+    return requests.writeStream.foreachBatch(body).option("checkpointLocation", checkpoint)
