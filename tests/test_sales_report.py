@@ -148,3 +148,20 @@ def test_partition_pruning_on_month_partitioned_sales(spark, tmp_dir):
     report = monthly_sales_report(stored, _products(spark, [("1", "TV")]), "2024-11", partition_col="sale_month")
     assert [tuple(r) for r in report.collect()] == [("TV", "2024-11-03", 11.0)]
     assert "PartitionFilters: [isnotnull(sale_month" in explain_text(report)
+
+
+@pytest.mark.parametrize("as_text", [False, True])
+def test_backfill_equals_single_months(spark, as_text):
+    from tidewater.plans import views
+    from tidewater.plans.sales_report import backfill_reports
+
+    sales = views.sales(spark, "/root/testdata/sf0.001")
+    if as_text:
+        sales = sales.withColumn("timestamp", F.col("timestamp").cast("string"))
+    products = views.products(spark, "/root/testdata/sf0.001")
+    months = ["1997-12", "1998-01", "1998-03"]
+    got = sorted(tuple(r) for r in backfill_reports(sales, products, months).collect())
+    want = sorted(
+        (*tuple(r), m) for m in months for r in monthly_sales_report(sales, products, m).collect()
+    )
+    assert got == want and len(got) > 0

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from tidewater.plans import views
 from tidewater.plans.registry import register
 from tidewater.plans.sales_report import (
+    backfill_reports,
     daily_sales,
     day_text,
     month_filter,
     monthly_sales_report,
     persist_report,
+    persist_reports,
     read_report,
     report_target_column,
     validate_month,
@@ -97,3 +99,30 @@ def q_monthly_sales_report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     first ten characters."""
     sales = views.sales(spark, sf_dir).withColumn("timestamp", F.col("timestamp").cast("string"))
     return monthly_sales_report(sales, views.products(spark, sf_dir), validate_month(REPORT_MONTH))
+
+
+BACKFILL_MONTHS = [f"1998-{m:02d}" for m in range(1, 13)]
+_BACKFILL_IN = ", ".join(f"'{m}'" for m in BACKFILL_MONTHS)
+
+
+@register(
+    "report_backfill_write",
+    "K02 E01 D01 B05 B11",
+    f"""WITH sales AS ({views.SALES_SQL}), products AS ({views.PRODUCTS_SQL}),
+daily AS (
+  SELECT product_id, substring(CAST("timestamp" AS VARCHAR), 1, 10) AS date,
+         substring(CAST("timestamp" AS VARCHAR), 1, 7) AS month,
+         sum(CAST(price AS DOUBLE) * CAST(quantity AS INTEGER)) AS daily_sale_amount
+  FROM sales WHERE substring(CAST("timestamp" AS VARCHAR), 1, 7) IN ({_BACKFILL_IN})
+  GROUP BY 1, 2, 3
+)
+SELECT p.product_name AS product, d.date AS date, round(d.daily_sale_amount, 2) AS sale, d.month AS month
+FROM daily d JOIN products p ON d.product_id = p.product_id""",
+)
+def q_report_backfill_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve months in one scan and one write; a rerun replaces them, never duplicates."""
+    path = scratch_path(spark, "sales_report_backfill")
+    for _ in range(2):
+        reports = backfill_reports(views.sales(spark, sf_dir), views.products(spark, sf_dir), BACKFILL_MONTHS)
+        persist_reports(reports, path)
+    return spark.read.parquet(path).select("product", "date", "sale", F.col("month").cast("string").alias("month"))

@@ -176,6 +176,66 @@ def monthly_sales_report(
     ).run()
 
 
+def backfill_reports(
+    sales: DataFrame,
+    products: DataFrame,
+    months: list[str],
+    decimals: int | None = 2,
+    lenient: bool = False,
+) -> DataFrame:
+    """Reports of several months in one pass: ``product, date, sale, month``.
+
+    One scan bounded by the first and last month (pushed down), one
+    aggregate on (month, product, day), one join.  Each month's rows equal
+    ``monthly_sales_report`` for that month; ``persist_report``-style
+    dynamic overwrite then replaces exactly those months.
+    """
+    if not months:
+        raise ValueError("at least one month is required")
+    ordered = sorted({validate_month(m) for m in months})
+    require_columns(sales, "timestamp", "product_id", "price", "quantity")
+    dtype = sales.schema["timestamp"].dataType
+    first, _ = month_range(ordered[0])
+    _, last = month_range(ordered[-1])
+    if isinstance(dtype, T.StringType):
+        scoped = sales.filter(F.substring("timestamp", 1, 7).isin(ordered))
+    else:
+        lit = (lambda d: F.lit(d).cast("timestamp_ntz")) if isinstance(dtype, T.TimestampNTZType) else (
+            lambda d: F.lit(d.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp")
+        )
+        c = F.col("timestamp")
+        scoped = sales.filter((c >= lit(first)) & (c < lit(last)))
+    day = sale_day(scoped)
+    month = F.substring(day.cast("string"), 1, 7)
+    daily = (
+        scoped.select("product_id", day.alias("sale_date"), month.alias("month"), sale_amount(lenient=lenient).alias("sale_amount"))
+        .where(F.col("month").isin(ordered))
+        .groupBy("month", "product_id", "sale_date")
+        .agg(F.sum("sale_amount").alias("daily_sale_amount"))
+    )
+    sale = F.col("daily_sale_amount")
+    if decimals is not None:
+        sale = F.round(sale, decimals)
+    return daily.join(products.select("product_id", "product_name"), "product_id", "inner").select(
+        F.col("product_name").alias("product"),
+        day_text("sale_date", daily.schema["sale_date"].dataType).alias("date"),
+        sale.alias("sale"),
+        "month",
+    )
+
+
+def persist_reports(reports: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Write several months at once under ``month=YYYY-MM``; only those months are replaced."""
+    (
+        reports.sortWithinPartitions("month", "product", "date")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("month")
+        .format(fmt)
+        .save(path)
+    )
+
+
 def report_target_name(month: str) -> str:
     """``sales_report_2024_11``."""
     parse_year_month(month)
