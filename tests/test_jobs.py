@@ -50,3 +50,14 @@ def test_sales_job_document_output_needs_connector(spark, tmp_dir):
     )
     with pytest.raises(ConnectorUnavailable):
         sales_job.run(spark, args)
+
+
+def test_sales_job_backfill(spark, tmp_dir):
+    sales, products, out = (os.path.join(tmp_dir, d) for d in ("sales", "products", "out"))
+    views.sales(spark, SF).write.parquet(sales)
+    views.products(spark, SF).write.parquet(products)
+    args = sales_job.parse_args(
+        ["--months", "1998-02,1998-03", "--sales", sales, "--products", products, "--output", out]
+    )
+    assert sales_job.run(spark, args) == "1998-02,1998-03"
+    assert read_report(spark, out, "1998-03").count() == 72

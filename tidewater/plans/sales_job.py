@@ -10,7 +10,14 @@ import argparse
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.plans.sales_report import monthly_sales_report, persist_report, report_target_name, validate_month
+from tidewater.plans.sales_report import (
+    backfill_reports,
+    monthly_sales_report,
+    persist_report,
+    persist_reports,
+    report_target_name,
+    validate_month,
+)
 from tidewater.session import build_session
 from tidewater.sources import documents, files
 
@@ -29,6 +36,7 @@ def _load(spark: SparkSession, kind: str, location: str, fmt: str, args: argpars
 def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
     p = argparse.ArgumentParser(prog="sales-report", description="Monthly sales report")
     p.add_argument("--month", help="YYYY-MM; default: this month in Asia/Kolkata")
+    p.add_argument("--months", help="comma list of YYYY-MM: all in one scan and one write (file output)")
     p.add_argument("--sales", required=True, help="path, or collection for document stores")
     p.add_argument("--sales-kind", default="file", choices=["file", "mongodb", "arangodb"])
     p.add_argument("--sales-format", default="parquet")
@@ -53,9 +61,15 @@ def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> str:
-    month = validate_month(args.month)
     sales = _load(spark, args.sales_kind, args.sales, args.sales_format, args)
     products = _load(spark, args.products_kind, args.products, args.products_format, args)
+    if args.months:
+        if args.output_kind != "file" or not args.output:
+            raise ValueError("--months writes files: give --output")
+        months = [m.strip() for m in args.months.split(",") if m.strip()]
+        persist_reports(backfill_reports(sales, products, months, lenient=args.lenient), args.output, args.output_format)
+        return ",".join(sorted(set(months)))
+    month = validate_month(args.month)
     report = monthly_sales_report(
         sales, products, month, lenient=args.lenient, sort=False, partition_col=args.partition_col
     )
