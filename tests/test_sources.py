@@ -140,3 +140,9 @@ def test_query_reads(spark):
         jdbc.read_query(spark, jdbc.JdbcOptions(url="u", partition_column="id", lower_bound=0, upper_bound=9, num_partitions=2), "SELECT 1")
     with pytest.raises(ConnectorUnavailable):
         documents.arango_read_query(spark, documents.ArangoOptions(endpoints="h:8529"), "FOR d IN products RETURN d")
+
+
+def test_sampling_ratio_only_for_inference():
+    o = files.FileOptions(path="x", format="json", sampling_ratio=0.1)
+    assert o.read_options(infer_schema=True)["samplingRatio"] == "0.1"
+    assert "samplingRatio" not in o.read_options(infer_schema=False)
