@@ -25,6 +25,8 @@ def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--bootstrap")
     p.add_argument("--topic")
     p.add_argument("--starting-offsets", default="latest")
+    p.add_argument("--max-offsets", type=int, default=None, help="records per micro-batch at most (Kafka)")
+    p.add_argument("--trigger", default=None, help="processing-time interval, e.g. '30 seconds'")
     p.add_argument("--path", help="folder of text files (files source)")
     p.add_argument("--max-files", type=int, default=None)
     p.add_argument(
@@ -47,7 +49,11 @@ def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
 def _source(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     if args.source == "kafka":
         return kafka_log_source(
-            spark, kafka.KafkaOptions(args.bootstrap, args.topic, starting_offsets=args.starting_offsets)
+            spark,
+            kafka.KafkaOptions(
+                args.bootstrap, args.topic, starting_offsets=args.starting_offsets,
+                max_offsets_per_trigger=args.max_offsets,
+            ),
         )
     return file_log_source(spark, args.path, args.max_files)
 
@@ -80,7 +86,9 @@ def run(spark: SparkSession, args: argparse.Namespace) -> StreamingQuery:
             return foreach_batch_sink(df, body, checkpoint, query_name="error_logs")
 
     def start() -> StreamingQuery:
-        return start_error_job(_source(spark, args), sink, available_now=args.available_now)
+        return start_error_job(
+            _source(spark, args), sink, available_now=args.available_now, processing_time=args.trigger
+        )
 
     return run_with_restart(start, max_attempts=args.max_attempts, delay_s=args.restart_delay)
 
