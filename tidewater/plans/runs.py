@@ -99,9 +99,14 @@ def job_executions(runs: DataFrame) -> DataFrame:
     """
     end, code = F.col("end_time"), F.col("exit_code")
     with_ms = runs.withColumn("_duration_ms", duration_ms(F.col("start_time"), end))
-    title, message = message_lookup(F.col("error_code"), F.col("error_args"))
-    reason = problem_reason(F.col("error_code"), title, message, F.col("error_cause"), F.col("error_args"))
-    failed = end.isNotNull() & (code == EXIT_FAILED) & F.col("error_code").isNotNull()
+    if "error_message" in runs.columns:
+        # A store that keeps the formatted text (a task store) is taken as it is.
+        error_text = F.col("error_message")
+    else:
+        title, message = message_lookup(F.col("error_code"), F.col("error_args"))
+        reason = problem_reason(F.col("error_code"), title, message, F.col("error_cause"), F.col("error_args"))
+        failed = end.isNotNull() & (code == EXIT_FAILED) & F.col("error_code").isNotNull()
+        error_text = F.when(failed, reason)
     return with_ms.select(
         "job_name",
         "execution_id",
@@ -111,7 +116,7 @@ def job_executions(runs: DataFrame) -> DataFrame:
         "end_time",
         duration_text("_duration_ms").alias("duration"),
         exit_message(end, code).alias("exit_message"),
-        F.when(failed, reason).alias("error_message"),
+        error_text.alias("error_message"),
         "arguments",
     )
 
