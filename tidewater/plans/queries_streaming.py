@@ -1,8 +1,9 @@
-"""Registered streaming queries (J01-J09, A15 by file, B12, B13, B17).
+"""Registered streaming queries (J01-J09, A15 by file, B12, B13, D10).
 
-Each renders the whole ``events`` table as log lines into a landing folder
-below the shared checkpoint folder (the stand-in for the topic), runs the
-stream over it with its own checkpoint, and returns what the sink holds.
+Each lands data derived from the whole ``events`` table (rendered log lines,
+or stop requests) as text files below the shared checkpoint folder - the
+stand-in for the topic - runs the stream over it with its own checkpoint,
+and returns what the sink holds.
 """
 
 from __future__ import annotations
