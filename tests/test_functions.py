@@ -83,10 +83,14 @@ def test_template_and_pairs(spark):
 
 
 def test_problem_reason(spark):
-    df = spark.createDataFrame([("c", "t", "m", None, ["1", "2"]), ("c", "t", "m", "x", [])],
+    df = spark.createDataFrame([("c", "t", "m", None, ["1", "2"]), ("c", "t", "m", "x", []), ("c", "t", "m", None, ["a", None])],
                                "code STRING, title STRING, message STRING, cause STRING, args ARRAY<STRING>")
     out = [r.o for r in df.select(X.problem_reason("code", "title", "message", "cause", "args").alias("o")).collect()]
-    assert out == ["code: c, title: t, message: m, cause: , args: {1,2}", "code: c, title: t, message: m, cause: x, args: "]
+    assert out == [
+        "code: c, title: t, message: m, cause: , args: {1,2}",
+        "code: c, title: t, message: m, cause: x, args: ",
+        "code: c, title: t, message: m, cause: , args: {a,<null>}",
+    ]
 
 
 def test_offset_formatting(spark):

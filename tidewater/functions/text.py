@@ -96,11 +96,16 @@ def fold_lines(col: Column | str) -> Column:
 REASON_TEMPLATE = "code: ${code}, title: ${title}, message: ${message}, cause: ${cause}, args: ${args}"
 
 
+# Fixed value: how a NULL element of the argument list is shown.
+NULL_ELEMENT = "<null>"
+
+
 def array_text(values: Column) -> Column:
-    """``{a,b}`` for a non-empty array, ``''`` for NULL or empty."""
+    """``{a,b}`` for a non-empty array (a NULL element shows as ``<null>``),
+    ``''`` for NULL or empty."""
     return F.when(
         values.isNull() | (F.size(values) == 0), F.lit("")
-    ).otherwise(F.concat(F.lit("{"), F.array_join(values, ",", "null"), F.lit("}")))
+    ).otherwise(F.concat(F.lit("{"), F.array_join(values, ",", NULL_ELEMENT), F.lit("}")))
 
 
 def problem_reason(

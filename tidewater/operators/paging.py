@@ -47,7 +47,11 @@ def page(
 
 
 def page_after(df: DataFrame, size: int, keys: Sequence[tuple[str, bool]], last: Sequence | None) -> DataFrame:
-    """The ``size`` rows that follow the row whose key values are ``last`` (keyset paging)."""
+    """The ``size`` rows that follow the row whose key values are ``last`` (keyset paging).
+
+    The keys must be non-NULL: a comparison with NULL is unknown, so such
+    rows would never be reached by a walk.
+    """
     if last is not None:
         # (k1, k2, ...) strictly after ``last`` in the sort order:
         # k1 beyond, or k1 equal and k2 beyond, or ...
