@@ -35,7 +35,11 @@ def is_blank(col: Column | str) -> Column:
 
 
 def after_last_slash(col: Column | str) -> Column:
-    """Text after the last slash of the trimmed value."""
+    """Text after the last slash of the trimmed value.
+
+    A per-value helper may reject blank input; as a column function a blank
+    value simply yields ``''`` and NULL stays NULL, so one row cannot fail a job.
+    """
     return F.regexp_replace(java_trim(col), ".*/", "")
 
 
@@ -68,12 +72,12 @@ def pairs_to_mapping(*pairs: str) -> dict[str, str]:
 
 
 def bracket_wrap(col: Column | str) -> Column:
-    """``(value)`` after trimming."""
+    """``(value)`` after trimming (I20); a blank value gives ``()`` rather than an error."""
     return F.concat(F.lit("("), java_trim(col), F.lit(")"))
 
 
 def prepend_if_not_blank(col: Column | str, prefix: str) -> Column:
-    """``prefix + trim(value)`` unless blank, else empty."""
+    """``prefix + trim(value)`` unless blank, else empty (I21); NULL counts as blank."""
     return F.when(is_blank(col), F.lit("")).otherwise(F.concat(F.lit(prefix), java_trim(col)))
 
 
