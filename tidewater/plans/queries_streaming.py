@@ -129,9 +129,12 @@ def q_stream_multi_query_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
         .start()
     )
     group.add(rows, counts)
-    rows.awaitTermination()
-    counts.processAllAvailable()
-    errors = group.stop_all()
+    try:
+        rows.awaitTermination()
+        counts.processAllAvailable()
+    finally:
+        # Whatever happened, no query of this group is left running.
+        errors = group.stop_all()
     if errors:
         raise RuntimeError(f"queries failed to stop: {errors}")
     return spark.read.parquet(counts_path)
