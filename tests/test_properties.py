@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 
 from hypothesis import HealthCheck, given, settings
@@ -108,3 +109,30 @@ def test_skew_safe_join_matches_plain(spark, left_keys, right_keys, how):
     got = sorted((tuple(r) for r in safe.collect()), key=_nulls_first)
     want = sorted((tuple(r) for r in plain.collect()), key=_nulls_first)
     assert got == want
+
+
+edge_times = st.one_of(
+    st.datetimes(min_value=dt.datetime(1990, 1, 1), max_value=dt.datetime(2030, 12, 31)),
+    st.builds(
+        lambda y, m, d: dt.datetime(y, m, 1) + d,
+        st.integers(1995, 2005), st.integers(1, 12),
+        st.sampled_from([dt.timedelta(microseconds=-1), dt.timedelta(0),
+                         dt.timedelta(microseconds=1)]),
+    ),
+)
+
+
+@FAST
+@given(st.lists(edge_times, min_size=1, max_size=30), st.integers(1995, 2005), st.integers(1, 12))
+def test_month_range_equals_text_prefix(spark, times, year, mon):
+    from pyspark.sql import functions as F
+
+    from tidewater.plans.sales_report import month_filter
+
+    month = f"{year:04d}-{mon:02d}"
+    start = dt.datetime(year, mon, 1)
+    times = times + [start, start - dt.timedelta(microseconds=1), start + dt.timedelta(days=27)]
+    df = spark.createDataFrame([(t,) for t in times], "timestamp TIMESTAMP_NTZ")
+    ranged = sorted(r.timestamp for r in month_filter(df, month).collect())
+    prefixed = sorted(r.timestamp for r in df.where(F.col("timestamp").cast("string").startswith(month)).collect())
+    assert ranged == prefixed and len(ranged) >= 2
