@@ -130,3 +130,20 @@ def test_deep_offset_is_refused(spark):
 
     with pytest.raises(ValueError, match="page_after"):
         R.history_page(_runs(spark), 20_000, 10)
+
+
+def test_keyset_paging_in_a_non_utc_session(spark):
+    from tidewater.operators.paging import page_after
+    from tidewater.plans import views
+
+    prev = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    try:
+        runs = views.runs(spark, "/root/testdata/sf0.001").select("execution_id", "start_time")
+        keys = [("start_time", False), ("execution_id", False)]
+        first = page_after(runs, 100, keys, None).collect()
+        nxt = page_after(runs, 100, keys, (first[-1].start_time, first[-1].execution_id)).collect()
+        expected = [r.execution_id for r in R.history_page(runs, 1, 100).collect()]
+        assert [r.execution_id for r in nxt] == expected
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", prev)

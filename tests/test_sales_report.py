@@ -165,3 +165,18 @@ def test_backfill_equals_single_months(spark, as_text):
         (*tuple(r), m) for m in months for r in monthly_sales_report(sales, products, m).collect()
     )
     assert got == want and len(got) > 0
+
+
+def test_wall_clock_range_ignores_session_zone(spark):
+    prev = spark.conf.get("spark.sql.session.timeZone")
+    df = spark.createDataFrame(
+        [(dt.datetime(1998, 3, 1, 0, 0),), (dt.datetime(1998, 3, 31, 23, 59, 59, 999999),), (dt.datetime(1998, 4, 1),)],
+        "timestamp TIMESTAMP_NTZ",
+    )
+    try:
+        for zone in ("Asia/Kolkata", "America/New_York", "UTC"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            got = sorted(r.timestamp for r in month_filter(df, "1998-03").collect())
+            assert got == [dt.datetime(1998, 3, 1), dt.datetime(1998, 3, 31, 23, 59, 59, 999999)], zone
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", prev)

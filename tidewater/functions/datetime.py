@@ -142,6 +142,21 @@ def current_month_in_zone(zone: str = IST) -> Column:
     return F.date_format(now_in_zone(zone), YEAR_MONTH)
 
 
+def wall_clock_literal(value: _dt.datetime) -> Column:
+    """A TIMESTAMP_NTZ literal holding exactly ``value``'s wall clock.
+
+    ``F.lit(datetime)`` would make a zoned literal read in the Python
+    process's zone; casting that to NTZ shifts it by the session zone.
+    Going through text avoids both zones.
+    """
+    return F.lit(value.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
+
+
+def zoned_literal(value: _dt.datetime) -> Column:
+    """A TIMESTAMP literal for ``value`` read as a wall clock in the session zone."""
+    return F.lit(value.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp")
+
+
 def month_range(month: str) -> tuple[_dt.datetime, _dt.datetime]:
     """``'YYYY-MM'`` -> [first instant, first instant of next month).
 

@@ -8,10 +8,14 @@ not grow with the page number.
 
 from __future__ import annotations
 
+import datetime as _dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidewater.functions.datetime import wall_clock_literal
 
 
 def _sort_cols(keys: Sequence[tuple[str, bool]]) -> list[Column]:
@@ -46,6 +50,17 @@ def page(
     return ordered.offset(number * size).limit(size) if number else ordered.limit(size)
 
 
+def _key_literal(df: DataFrame, column: str, value) -> Column:
+    """A literal for a key value as collected from ``column``.
+
+    Wall-clock (NTZ) keys come back as naive datetimes; they are rebuilt
+    from text so no time zone can shift them.
+    """
+    if isinstance(df.schema[column].dataType, T.TimestampNTZType) and isinstance(value, _dt.datetime):
+        return wall_clock_literal(value)
+    return F.lit(value)
+
+
 def page_after(df: DataFrame, size: int, keys: Sequence[tuple[str, bool]], last: Sequence | None) -> DataFrame:
     """The ``size`` rows that follow the row whose key values are ``last`` (keyset paging).
 
@@ -55,11 +70,12 @@ def page_after(df: DataFrame, size: int, keys: Sequence[tuple[str, bool]], last:
     if last is not None:
         # (k1, k2, ...) strictly after ``last`` in the sort order:
         # k1 beyond, or k1 equal and k2 beyond, or ...
+        values = [_key_literal(df, k, v) for (k, _), v in zip(keys, last)]
         cond = None
         for i, (k, asc) in enumerate(keys):
-            step = F.col(k) > F.lit(last[i]) if asc else F.col(k) < F.lit(last[i])
+            step = F.col(k) > values[i] if asc else F.col(k) < values[i]
             for j in range(i):
-                step = step & (F.col(keys[j][0]) == F.lit(last[j]))
+                step = step & (F.col(keys[j][0]) == values[j])
             cond = step if cond is None else cond | step
         df = df.filter(cond)
     return df.orderBy(*_sort_cols(keys)).limit(size)

@@ -126,3 +126,12 @@ def q_report_backfill_write(spark: SparkSession, sf_dir: str) -> DataFrame:
         reports = backfill_reports(views.sales(spark, sf_dir), views.products(spark, sf_dir), BACKFILL_MONTHS)
         persist_reports(reports, path)
     return spark.read.parquet(path).select("product", "date", "sale", F.col("month").cast("string").alias("month"))
+
+
+@register("monthly_sales_report_zoned", "C01 C03 K02", _REPORT_SQL)
+def q_monthly_sales_report_zoned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report over zoned timestamps (TIMESTAMP with the session's zone, as a
+    document store returns them): the month range and the day are read in the
+    session zone, as the text of such a timestamp is."""
+    sales = views.sales(spark, sf_dir).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    return monthly_sales_report(sales, views.products(spark, sf_dir), validate_month(REPORT_MONTH))

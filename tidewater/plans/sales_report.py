@@ -17,7 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.functions.datetime import IST, current_year_month, month_range, parse_year_month
+from tidewater.functions.datetime import (
+    IST,
+    current_year_month,
+    month_range,
+    parse_year_month,
+    wall_clock_literal,
+    zoned_literal,
+)
 from tidewater.functions.text import dash_to_underscore
 from tidewater.operators.columns import require_columns
 
@@ -50,14 +57,13 @@ def month_filter(df: DataFrame, month: str, ts_col: str = "timestamp") -> DataFr
         return df.filter(c.startswith(month))
     start, end = month_range(month)
     if isinstance(dtype, T.TimestampNTZType):
-        lo, hi = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
+        lo, hi = wall_clock_literal(start), wall_clock_literal(end)
     elif isinstance(dtype, T.DateType):
         lo, hi = F.lit(start.date()), F.lit(end.date())
     else:
         # TIMESTAMP (with local time zone): a literal wall clock read in the
         # session zone, the same zone the reference's string cast uses.
-        lo = F.lit(start.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp")
-        hi = F.lit(end.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp")
+        lo, hi = zoned_literal(start), zoned_literal(end)
     return df.filter((c >= lo) & (c < hi))
 
 
@@ -200,9 +206,7 @@ def backfill_reports(
     if isinstance(dtype, T.StringType):
         scoped = sales.filter(F.substring("timestamp", 1, 7).isin(ordered))
     else:
-        lit = (lambda d: F.lit(d).cast("timestamp_ntz")) if isinstance(dtype, T.TimestampNTZType) else (
-            lambda d: F.lit(d.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp")
-        )
+        lit = wall_clock_literal if isinstance(dtype, T.TimestampNTZType) else zoned_literal
         c = F.col("timestamp")
         scoped = sales.filter((c >= lit(first)) & (c < lit(last)))
     day = sale_day(scoped)
