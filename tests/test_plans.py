@@ -29,3 +29,20 @@ def test_report_plan_shape(spark):
 def test_latest_per_job_aggregates_partially(spark):
     plan = explain_text(entry.queries()["runs_latest_per_job"](spark, SF))
     assert "partial_max" in plan and "PushedFilters: [In(event_type" in plan
+
+
+@pytest.mark.parametrize(
+    "name, hash_exchanges, range_exchanges",
+    [
+        ("monthly_sales_report", 1, 1),  # partial -> final sum, then the sort
+        ("sales_daily_amount", 1, 0),
+        ("log_parse_errors", 0, 0),  # per-row work only
+        ("runs_count_by_job", 1, 0),
+        ("runs_latest_per_job", 1, 0),  # one exchange of partial results, no window
+        ("runs_page", 0, 0),  # top-k, no global sort exchange
+    ],
+)
+def test_exchange_counts(spark, name, hash_exchanges, range_exchanges):
+    plan = explain_text(entry.queries()[name](spark, "/root/testdata/sf0.01"), "simple")
+    assert plan.count("Exchange hashpartitioning") == hash_exchanges, plan
+    assert plan.count("Exchange rangepartitioning") == range_exchanges, plan
