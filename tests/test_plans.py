@@ -46,3 +46,17 @@ def test_exchange_counts(spark, name, hash_exchanges, range_exchanges):
     plan = explain_text(entry.queries()[name](spark, "/root/testdata/sf0.01"), "simple")
     assert plan.count("Exchange hashpartitioning") == hash_exchanges, plan
     assert plan.count("Exchange rangepartitioning") == range_exchanges, plan
+
+
+@pytest.mark.parametrize(
+    "name, read_schema",
+    [
+        # counting open runs needs only what decides end_time
+        ("runs_count", "struct<event_id:bigint,ts:timestamp_ntz,value:double>"),
+        ("runs_job_names", "struct<event_type:string>"),
+        ("project_columns", "struct<o_orderkey:bigint,o_custkey:bigint,o_totalprice:double>"),
+    ],
+)
+def test_scans_read_only_needed_columns(spark, name, read_schema):
+    plan = explain_text(entry.queries()[name](spark, SF), "simple")
+    assert f"ReadSchema: {read_schema}" in plan, plan
