@@ -180,3 +180,12 @@ def test_wall_clock_range_ignores_session_zone(spark):
             assert got == [dt.datetime(1998, 3, 1), dt.datetime(1998, 3, 31, 23, 59, 59, 999999)], zone
     finally:
         spark.conf.set("spark.sql.session.timeZone", prev)
+
+
+def test_lenient_reads_numeric_text(spark):
+    df = spark.createDataFrame(
+        [("2024-11-01 00:00:00", "1", "17.0", "2.5"), ("2024-11-01 00:00:00", "1", "x", "1.0")],
+        "timestamp STRING, product_id STRING, quantity STRING, price STRING",
+    )
+    rows = daily_sales(df, "2024-11", lenient=True).collect()
+    assert [r.daily_sale_amount for r in rows] == [42.5]

@@ -135,3 +135,14 @@ def q_monthly_sales_report_zoned(spark: SparkSession, sf_dir: str) -> DataFrame:
     session zone, as the text of such a timestamp is."""
     sales = views.sales(spark, sf_dir).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
     return monthly_sales_report(sales, views.products(spark, sf_dir), validate_month(REPORT_MONTH))
+
+
+@register("monthly_sales_report_lenient", "C04 K02", _REPORT_SQL)
+def q_monthly_sales_report_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report over text-typed numbers (as loosely typed documents deliver
+    them), read with ``try_cast`` so a malformed value would be NULL, not fatal."""
+    sales = views.sales(spark, sf_dir).select(
+        "timestamp", "product_id", F.col("quantity").cast("string").alias("quantity"),
+        F.col("price").cast("string").alias("price"),
+    )
+    return monthly_sales_report(sales, views.products(spark, sf_dir), validate_month(REPORT_MONTH), lenient=True)

@@ -91,12 +91,14 @@ def sale_amount(price: Column | str = "price", quantity: Column | str = "quantit
     """``price`` as double times ``quantity`` as int.
 
     ``lenient`` uses ``try_cast`` so dirty text becomes NULL instead of
-    failing the job under ANSI mode.
+    failing the job under ANSI mode.  Numeric text such as ``"17.0"`` is read
+    as a number first and then truncated to an int, as a numeric column is;
+    only text that is no number at all becomes NULL.
     """
     p = F.col(price) if isinstance(price, str) else price
     q = F.col(quantity) if isinstance(quantity, str) else quantity
     if lenient:
-        return p.try_cast("double") * q.try_cast("int")
+        return p.try_cast("double") * q.try_cast("double").try_cast("int")
     return p.cast("double") * q.cast("int")
 
 
