@@ -146,3 +146,14 @@ def test_sampling_ratio_only_for_inference():
     o = files.FileOptions(path="x", format="json", sampling_ratio=0.1)
     assert o.read_options(infer_schema=True)["samplingRatio"] == "0.1"
     assert "samplingRatio" not in o.read_options(infer_schema=False)
+
+
+def test_registry_dispatch(spark, tmp_dir):
+    from tidewater.sources.registry import read_with
+
+    spark.range(3).write.parquet(tmp_dir + "/p")
+    assert read_with("file", spark, files.FileOptions(path=tmp_dir + "/p")).count() == 3
+    with pytest.raises(ConnectorUnavailable):
+        read_with("mongodb", spark, documents.MongoOptions("mongodb://h", "db"), "sales")
+    with pytest.raises(LookupError):
+        read_with("kafka", spark)  # a stream-only connector has no batch reader
