@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewater.llm import mixing, packing, simhash, token_counts
+from tidewater.llm import extraction, fingerprints, mixing, packing, simhash, token_counts, topk
 from tidewater.llm.common import read_table
 
 BPE_FILE = "byte_bpe_50k.json"
@@ -26,6 +27,19 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), width=4, distance=4)
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_likeness(read_table(spark, sf_dir, "documents"))
+
+
+def op10_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = extraction.extract(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE), limit=1024)
 
@@ -34,7 +48,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pack": op2_pack,
     "op3_mix": op3_mix,
     "op4_simhash": op4_simhash,
+    "op5_top_k": op5_top_k,
+    "op6_fingerprints": op6_fingerprints,
     "op9_token_counts": op9_token_counts,
+    "op10_extract": op10_extract,
 }
 
 #: Oracles where SQL can express the operator.
