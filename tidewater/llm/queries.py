@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import extraction, fingerprints, mixing, packing, simhash, token_counts, topk
+from tidewater.llm import extraction, fingerprints, mixing, packing, quality, simhash, token_counts, topk, toxicity
 from tidewater.llm.common import read_table
 
 BPE_FILE = "byte_bpe_50k.json"
@@ -35,6 +35,14 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_likeness(read_table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op10_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = extraction.extract(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
@@ -50,6 +58,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_top_k": op5_top_k,
     "op6_fingerprints": op6_fingerprints,
+    "op7_toxicity": op7_toxicity,
+    "op8_quality": op8_quality,
     "op9_token_counts": op9_token_counts,
     "op10_extract": op10_extract,
 }
