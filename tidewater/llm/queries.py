@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import extraction, fingerprints, mixing, packing, quality, simhash, token_counts, topk, toxicity
+from tidewater.llm import extraction, fingerprints, language_model, mixing, packing, quality, simhash, token_counts, topk, toxicity
 from tidewater.llm.common import read_table
 
 BPE_FILE = "byte_bpe_50k.json"
 
 
+def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(read_table(spark, sf_dir, "documents"))
+
+
 def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return packing.pack(docs, public_tokenizers.path(BPE_FILE), end_id=2, capacity=1024, payload="crc32")
@@ -53,6 +57,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_model": op1_language_model,
     "op2_pack": op2_pack,
     "op3_mix": op3_mix,
     "op4_simhash": op4_simhash,

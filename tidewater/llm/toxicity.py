@@ -77,7 +77,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", graded: bool
     """Fit on labelled documents; ``graded``: the label is a severity grade already, else toxic (1) or clean (0)."""
     ship_package(docs.sparkSession)
     rows, y = collect_features(labelled_sample(docs, labels, label, limit, key, text), _features)
-    return fit(rows, y if graded else severity_grades(rows, y))
+    return fit(rows, y if graded else severity_grades(rows, y), l1=5e-5)
 
 
 def with_severity(docs: DataFrame, model: Ordinal, text: str = "text", out: str = "severity") -> DataFrame:
