@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +50,12 @@ def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 
+def slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most ``rows`` rows; none if it is empty."""
+    for a in range(0, batch.num_rows, rows):
+        yield batch.slice(a, rows)
+
+
 def ascii_words(text: str) -> list[bytes]:
     """Words of a text with A-Z lowered, as UTF-8; ``bytes.split`` cuts at exactly the six ASCII white-space bytes."""
     return text.encode("utf-8", "surrogatepass").lower().split()
