@@ -147,3 +147,13 @@ def test_now_in_zone_matches_python(spark, session_zone):
     assert abs((row.now - py_now).total_seconds()) < 120
     assert row.today == row.now.date() and row.m == row.now.strftime("%Y-%m")
     assert row.m == D.current_year_month(D.IST, row.today)
+
+
+def test_values_that_hold_slots_are_not_expanded(spark):
+    df = spark.createDataFrame([("${b}", "${a}", None, "{1}", "Q")], "a STRING, b STRING, n STRING, x STRING, y STRING")
+    fixed = X.fill_template("${a}|${b}|$${a}|${n:-none}|${n}|${zz:-d}|${zz}", {"a": "a", "b": "b", "n": "n"})
+    stored = X.fill_template(F.lit("${a}|${b}|$${a}|${n}"), {"a": "a", "b": "b", "n": "n"})
+    row = df.select(fixed, stored, X.fill_positional(F.lit("{0} {1}"), [F.col("x"), F.col("y")])).first()
+    assert row[0] == "${b}|${a}|${a}|none|${n}|d|${zz}"
+    assert row[1] == "${b}|${a}|${a}|${n}"
+    assert row[2] == "{1} Q"

@@ -6,13 +6,14 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
+from tidewater.plans.registry import load_all
 from tests.plan_utils import explain_text
 
 SF = "/root/testdata/sf0.001"
 FORBIDDEN = ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin", "Window")
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(load_all()))
 def test_plan_is_spark_native(spark, name):
     plan = explain_text(entry.queries()[name](spark, SF), "extended")
     found = [f for f in FORBIDDEN if f in plan]

@@ -7,6 +7,7 @@ character sets so the engines that check us agree.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -43,8 +44,13 @@ def after_last_slash(col: Column | str) -> Column:
     return F.regexp_replace(java_trim(col), ".*/", "")
 
 
-# Stand-in for an escaped ``$${`` while slots are filled; not expected in text.
-_ESCAPED = "\u0000\u0001"
+# Slots are first replaced by marks, then the marks by values, so nothing that a
+# value holds is ever taken for a slot.  Marks hold control characters that text does not.
+def _mark(i: int) -> str:
+    return f"\u0000{i}\u0001"
+
+
+_SLOT = re.compile(r"\$\$\{|\$\{([^${}:]+?)(?::-([^${}]*))?\}")
 
 
 def fill_template(template: Column | str, values: Mapping[str, Column | str]) -> Column:
@@ -53,13 +59,28 @@ def fill_template(template: Column | str, values: Mapping[str, Column | str]) ->
     ``$${name}`` is an escape and comes out as the literal ``${name}``.  A
     NULL value leaves its slot untouched, like a missing variable.  Values
     are inserted as they are (a ``${..}`` inside a value is not expanded).
+    A fixed template may hold defaults: ``${name:-default}`` gives the value, or
+    the default where it is NULL or the name is unknown.
     """
-    out = F.lit(template) if isinstance(template, str) else template
-    out = F.replace(out, F.lit("$${"), F.lit(_ESCAPED))
-    for name, value in values.items():
-        v = _c(value) if isinstance(value, Column) else F.col(value)
-        out = F.when(v.isNull(), out).otherwise(F.replace(out, F.lit("${" + name + "}"), v.cast("string")))
-    return F.replace(out, F.lit(_ESCAPED), F.lit("${"))
+    given = {n: (_c(v) if isinstance(v, Column) else F.col(v)).cast("string") for n, v in values.items()}
+    if isinstance(template, str):  # one concat of its parts
+        parts, at = [], 0
+        for m in _SLOT.finditer(template):
+            parts.append(F.lit(template[at : m.start()]))
+            at = m.end()
+            if m.group(1) is None:
+                parts.append(F.lit("${"))
+                continue
+            name, default = m.groups()
+            other = F.lit(m.group(0) if default is None else default)
+            parts.append(F.coalesce(given[name], other) if name in given else other)
+        return F.concat(*parts, F.lit(template[at:]))
+    out = F.replace(template, F.lit("$${"), F.lit(_mark(len(given))))
+    for i, name in enumerate(given):
+        out = F.replace(out, F.lit("${" + name + "}"), F.lit(_mark(i)))
+    for i, (name, value) in enumerate(given.items()):
+        out = F.replace(out, F.lit(_mark(i)), F.coalesce(value, F.lit("${" + name + "}")))
+    return F.replace(out, F.lit(_mark(len(given))), F.lit("${"))
 
 
 def pairs_to_mapping(*pairs: str) -> dict[str, str]:
@@ -132,6 +153,8 @@ def problem_reason(
 def fill_positional(template: Column | str, args: Sequence[Column | str]) -> Column:
     """Fill ``{0}``, ``{1}``... from columns (message-table formatting, D11)."""
     out = _c(template)
+    for i in range(len(args)):
+        out = F.replace(out, F.lit("{" + str(i) + "}"), F.lit(_mark(i)))
     for i, arg in enumerate(args):
-        out = F.replace(out, F.lit("{" + str(i) + "}"), F.coalesce(_c(arg).cast("string"), F.lit("null")))
+        out = F.replace(out, F.lit(_mark(i)), F.coalesce(_c(arg).cast("string"), F.lit("null")))
     return out

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 def high_water_mark(df: DataFrame, ts_col: str, alias: str = "high_water_day") -> DataFrame:
     """Newest day present (E07): one partial max per task, one row out."""
-    return df.agg(F.max(F.to_date(F.col(ts_col))).alias(alias))
+    return df.agg(F.to_date(F.max(F.col(ts_col))).alias(alias))
 
 
 def absent_rows(candidates: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -32,19 +32,14 @@ def days_to_load(
     lookback_months: int = 12,
     alias: str = "missing_day",
 ) -> DataFrame:
-    """Calendar days from the first loaded day to ``until`` (inclusive) with no rows.
+    """Calendar days after the newest loaded day up to ``until`` (inclusive).
 
-    With nothing loaded yet the range is the ``lookback_months`` before
-    ``until``.  The calendar is generated from one aggregate row (its size is
-    the number of days, not of rows) and the loaded days are reduced to
-    distinct dates with a partial aggregate before the anti join.
+    The high-water mark alone decides, so gaps before it are not loaded again
+    and one aggregate over ``ts_col`` is all that is read.  With nothing loaded
+    the range is the ``lookback_months`` before ``until``, both ends included;
+    it is empty when the newest day has reached ``until``.
     """
-    day = F.to_date(F.col(ts_col))
-    bounds = loaded.agg(F.min(day).alias("first_day"))
     end = F.lit(until)
-    start = F.coalesce(F.col("first_day"), F.add_months(end, -lookback_months) + F.expr("INTERVAL 1 DAY"))
-    calendar = bounds.select(
-        F.explode(F.sequence(start, end, F.expr("INTERVAL 1 DAY"))).alias(alias)
-    )
-    present = loaded.select(day.alias(alias)).where(F.col(alias).isNotNull()).distinct()
-    return calendar.join(present, alias, "left_anti")
+    start = F.coalesce(F.date_add(F.col("newest"), 1), F.add_months(end, -lookback_months))
+    days = F.when(start <= end, F.sequence(start, end, F.expr("INTERVAL 1 DAY")))
+    return high_water_mark(loaded, ts_col, "newest").select(F.explode(days).alias(alias))

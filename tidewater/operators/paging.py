@@ -22,30 +22,21 @@ def _sort_cols(keys: Sequence[tuple[str, bool]]) -> list[Column]:
     return [F.col(k).asc_nulls_first() if asc else F.col(k).desc_nulls_last() for k, asc in keys]
 
 
-MAX_OFFSET_ROWS = 100_000
-
-
 def page(
     df: DataFrame,
     number: int,
     size: int,
     keys: Sequence[tuple[str, bool]],
-    max_offset: int = MAX_OFFSET_ROWS,
 ) -> DataFrame:
     """Rows of page ``number`` (0-based) of ``size`` rows.
 
     ``keys`` is a list of (column, ascending); its last entry must be unique
-    so pages are repeatable.  The top-k's final merge gathers ``offset +
-    size`` rows from every task into one, so pages deeper than
-    ``max_offset`` rows are refused: walk them with ``page_after``, whose
-    cost does not depend on the depth.
+    so pages are repeatable.  Any depth is served; the cost grows with it (the
+    final merge takes ``offset + size`` rows of every task), so a walk through
+    many pages is cheaper with ``page_after``.
     """
     if number < 0 or size < 0:
         raise ValueError("page number and size must not be negative")
-    if number * size > max_offset:
-        raise ValueError(
-            f"page offset {number * size} exceeds {max_offset} rows; use page_after with the last key of the previous page"
-        )
     ordered = df.orderBy(*_sort_cols(keys))
     return ordered.offset(number * size).limit(size) if number else ordered.limit(size)
 

@@ -16,40 +16,36 @@ from tidewater.operators.scan import filtered_scan
 from tidewater.plans import views
 from tidewater.plans.queries_sales import REPORT_MONTH
 from tidewater.plans.registry import register
-from tidewater.plans.sales_report import month_filter, monthly_sales_report
+from tidewater.plans.sales_report import monthly_sales_report
 
 # "Yesterday" of the incremental load, pinned so results repeat.
 LOAD_UNTIL = _dt.date(2001, 12, 31)
 
-# Join inputs: customers of one market segment, and open orders.  Each side
-# then has rows without a partner, so outer, semi and anti joins all differ.
-SEGMENT = "BUILDING"
-OPEN = "O"
-_C = f"SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_mktsegment = '{SEGMENT}'"
-_O = f"SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderstatus = '{OPEN}'"
-_J_COLS = "c.c_custkey, c.c_name, c.c_mktsegment, o.o_orderkey, o.o_custkey, o.o_totalprice, o.o_orderstatus"
+# Join inputs: all customers and all events.  Most customers have no event and
+# each kind of row occurs at any size, so the join kinds differ on whole tables.
+_C = "SELECT c_custkey, c_name, c_mktsegment FROM customer"
+_E = "SELECT event_id, user_id, event_type FROM events"
+_J_COLS = "c.c_custkey, c.c_name, c.c_mktsegment, e.event_id, e.user_id, e.event_type"
 
 
 def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = views.table(spark, sf_dir, "customer")
-    return customer.where(F.col("c_mktsegment") == SEGMENT).select("c_custkey", "c_name", "c_mktsegment")
+    return views.table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
 
 
-def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = views.table(spark, sf_dir, "orders")
-    return orders.where(F.col("o_orderstatus") == OPEN).select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
 
 
 def _join_query(how: str, sql_how: str, rows: str) -> None:
     @register(
         f"join_{how}",
         rows,
-        f"SELECT {_J_COLS} FROM ({_C}) c {sql_how} JOIN ({_O}) o ON c.c_custkey = o.o_custkey",
+        f"SELECT {_J_COLS} FROM ({_C}) c {sql_how} JOIN ({_E}) e ON c.c_custkey = e.user_id",
     )
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
-        # Orders per customer may be heavily skewed: the outer kinds use the exact
+        # Events per customer may be heavily skewed: the outer kinds use the exact
         # inner + anti rewrite so AQE can split any hot customer's partition.
-        return skew_safe_join(_customers(spark, sf_dir), _orders(spark, sf_dir), ["c_custkey"], ["o_custkey"], how)
+        return skew_safe_join(_customers(spark, sf_dir), _events(spark, sf_dir), ["c_custkey"], ["user_id"], how)
 
     q.__name__ = f"q_join_{how}"
 
@@ -63,19 +59,19 @@ _join_query("full", "FULL OUTER", "D02")
 @register(
     "join_semi",
     "D05",
-    f"SELECT * FROM ({_C}) c WHERE EXISTS (SELECT 1 FROM ({_O}) o WHERE o.o_custkey = c.c_custkey)",
+    f"SELECT * FROM ({_C}) c WHERE EXISTS (SELECT 1 FROM ({_E}) e WHERE e.user_id = c.c_custkey)",
 )
 def q_join_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return skew_safe_join(_customers(spark, sf_dir), _orders(spark, sf_dir), ["c_custkey"], ["o_custkey"], "left_semi")
+    return skew_safe_join(_customers(spark, sf_dir), _events(spark, sf_dir), ["c_custkey"], ["user_id"], "left_semi")
 
 
 @register(
     "join_anti",
     "D06",
-    f"SELECT * FROM ({_C}) c WHERE NOT EXISTS (SELECT 1 FROM ({_O}) o WHERE o.o_custkey = c.c_custkey)",
+    f"SELECT * FROM ({_C}) c WHERE NOT EXISTS (SELECT 1 FROM ({_E}) e WHERE e.user_id = c.c_custkey)",
 )
 def q_join_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return skew_safe_join(_customers(spark, sf_dir), _orders(spark, sf_dir), ["c_custkey"], ["o_custkey"], "left_anti")
+    return skew_safe_join(_customers(spark, sf_dir), _events(spark, sf_dir), ["c_custkey"], ["user_id"], "left_anti")
 
 
 @register(
@@ -105,27 +101,27 @@ def q_preview_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preview(orders, 8, order_by=[F.col("o_totalprice").desc(), F.col("o_orderkey")])
 
 
-_LEFT_JOINED = f"SELECT {_J_COLS} FROM ({_C}) c LEFT JOIN ({_O}) o ON c.c_custkey = o.o_custkey"
+_LEFT_JOINED = f"SELECT {_J_COLS} FROM ({_C}) c LEFT JOIN ({_E}) e ON c.c_custkey = e.user_id"
 
 
 @register(
     "drop_nulls",
     "C11",
-    f"SELECT * FROM ({_LEFT_JOINED}) WHERE o_orderkey IS NOT NULL AND o_totalprice IS NOT NULL",
+    f"SELECT * FROM ({_LEFT_JOINED}) WHERE event_id IS NOT NULL AND event_type IS NOT NULL",
 )
 def q_drop_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = join_keys(_customers(spark, sf_dir), _orders(spark, sf_dir), ["c_custkey"], ["o_custkey"], "left")
-    return drop_nulls(joined, "any", ["o_orderkey", "o_totalprice"])
+    joined = join_keys(_customers(spark, sf_dir), _events(spark, sf_dir), ["c_custkey"], ["user_id"], "left")
+    return drop_nulls(joined, "any", ["event_id", "event_type"])
 
 
 @register(
     "drop_nulls_all",
     "C11",
-    f"SELECT * FROM ({_LEFT_JOINED}) WHERE NOT (o_orderkey IS NULL AND o_orderstatus IS NULL)",
+    f"SELECT * FROM ({_LEFT_JOINED}) WHERE NOT (event_id IS NULL AND event_type IS NULL)",
 )
 def q_drop_nulls_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = join_keys(_customers(spark, sf_dir), _orders(spark, sf_dir), ["c_custkey"], ["o_custkey"], "left")
-    return drop_nulls(joined, "all", ["o_orderkey", "o_orderstatus"])
+    joined = join_keys(_customers(spark, sf_dir), _events(spark, sf_dir), ["c_custkey"], ["user_id"], "left")
+    return drop_nulls(joined, "all", ["event_id", "event_type"])
 
 
 @register(
@@ -154,9 +150,8 @@ def q_sales_high_water(spark: SparkSession, sf_dir: str) -> DataFrame:
     "sales_missing_days",
     "G02",
     f"""SELECT CAST(d AS DATE) AS missing_day
-FROM generate_series((SELECT min(CAST(l_shipdate AS DATE)) FROM lineitem)::TIMESTAMP,
-                     DATE '{LOAD_UNTIL.isoformat()}'::TIMESTAMP, INTERVAL 1 DAY) t(d)
-WHERE CAST(d AS DATE) NOT IN (SELECT DISTINCT CAST(l_shipdate AS DATE) FROM lineitem)""",
+FROM generate_series((SELECT max(CAST(l_shipdate AS DATE)) + 1 FROM lineitem)::TIMESTAMP,
+                     DATE '{LOAD_UNTIL.isoformat()}'::TIMESTAMP, INTERVAL 1 DAY) t(d)""",
 )
 def q_sales_missing_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days_to_load(views.sales(spark, sf_dir), "timestamp", LOAD_UNTIL)
@@ -167,12 +162,11 @@ def q_sales_missing_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     "G01",
     f"""WITH p AS ({views.PRODUCTS_SQL})
 SELECT product_id, product_name FROM p
-WHERE product_id NOT IN (SELECT DISTINCT l_partkey FROM lineitem
-  WHERE starts_with(CAST(l_shipdate AS VARCHAR), '{REPORT_MONTH}'))""",
+WHERE product_id NOT IN (SELECT DISTINCT l_partkey FROM lineitem)""",
 )
 def q_products_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Products not yet in the month's sales: the rows an insert-if-absent would add."""
-    sold = month_filter(views.sales(spark, sf_dir), REPORT_MONTH).select("product_id")
+    """Products without any sale: the rows an insert-if-absent would add."""
+    sold = views.sales(spark, sf_dir).select("product_id")
     return absent_rows(views.products(spark, sf_dir), sold, ["product_id"])
 
 

@@ -67,11 +67,11 @@ def run(spark: SparkSession, args: argparse.Namespace) -> str:
         if args.output_kind != "file" or not args.output:
             raise ValueError("--months writes files: give --output")
         months = [m.strip() for m in args.months.split(",") if m.strip()]
-        persist_reports(backfill_reports(sales, products, months, lenient=args.lenient), args.output, args.output_format)
+        persist_reports(backfill_reports(sales, products, months, decimals=None, lenient=args.lenient), args.output, args.output_format)
         return ",".join(sorted(set(months)))
     month = validate_month(args.month)
     report = monthly_sales_report(
-        sales, products, month, lenient=args.lenient, sort=False, partition_col=args.partition_col
+        sales, products, month, decimals=None, lenient=args.lenient, sort=False, partition_col=args.partition_col
     )
     if args.output_kind == "file":
         if not args.output:

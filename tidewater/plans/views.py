@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.datetime import format_utc_offset
 from tidewater.functions.logs import render_log_line
-from tidewater.operators.partitioning import spread
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -25,13 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def row_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table about to get heavy per-row work (regular expressions over whole
-    documents): spread when the scan is narrow.  Measured at sf0.1, it pays
-    for whole texts only; short log lines and timestamps are faster unspread."""
-    return spread(table(spark, sf_dir, name))
-
-
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``sales`` documents: one row per line item."""
     return table(spark, sf_dir, "lineitem").select(

@@ -49,7 +49,7 @@ class FileOptions:
             opts.update(header=str(self.header).lower(), nullValue=self.null_value)
             if infer_schema:
                 opts["inferSchema"] = "true"
-        if self.format == "json" and self.multiline:
+        if self.format in ("csv", "json") and self.multiline:
             opts["multiLine"] = "true"
         if infer_schema and self.sampling_ratio is not None and self.format in ("csv", "json"):
             # Only the inference pass samples; every row is still read afterwards.
