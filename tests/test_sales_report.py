@@ -127,6 +127,28 @@ def test_persist_is_idempotent_per_month(spark, tmp_dir):
     assert read_report(spark, tmp_dir, "2024-10").count() == 1
 
 
+def test_rerun_without_rows_empties_the_month(spark, tmp_dir):
+    from tidewater.plans.sales_report import backfill_reports, persist_reports
+
+    sales = _sales(spark, [(dt.datetime(2024, 11, 1), "1", 1, 1.0), (dt.datetime(2024, 10, 1), "1", 2, 1.0)])
+    products = _products(spark, [("1", "TV")])
+    months = ["2024-10", "2024-11"]
+    persist_reports(backfill_reports(sales, products, months), tmp_dir, months=months)
+    persist_report(monthly_sales_report(sales.limit(0), products, "2024-11"), tmp_dir, "2024-11")
+    assert read_report(spark, tmp_dir, "2024-11").count() == 0
+    assert read_report(spark, tmp_dir, "2024-10").count() == 1
+    persist_reports(backfill_reports(sales.filter("quantity = 1"), products, months), tmp_dir, months=months)
+    assert read_report(spark, tmp_dir, "2024-11").count() == 1
+    assert read_report(spark, tmp_dir, "2024-10").count() == 0
+
+
+def test_backfill_pushes_each_span_of_months():
+    from tidewater.plans.sales_report import month_spans
+
+    spans = month_spans(["1996-01", "2000-11", "2000-12", "2001-01"])
+    assert spans == [(dt.datetime(1996, 1, 1), dt.datetime(1996, 2, 1)), (dt.datetime(2000, 11, 1), dt.datetime(2001, 2, 1))]
+
+
 def test_build_report_rounds_and_sorts(spark):
     daily = spark.createDataFrame(
         [("2", dt.date(2024, 11, 2), 0.1 + 0.2), ("1", dt.date(2024, 11, 3), 1.005), ("1", dt.date(2024, 11, 1), 3.0)],

@@ -91,6 +91,56 @@ def test_jdbc_at_least_once_never_skips(spark):
     assert calls == []
 
 
+class _Cause:
+    def __init__(self, state=None, cause=None):
+        self.state, self.cause = state, cause
+
+    def getSQLState(self):
+        return self.state
+
+    def getErrorCode(self):
+        return 0
+
+    def getCause(self):
+        return self.cause
+
+
+def test_jdbc_probe_forgives_only_a_missing_table():
+    def failed(cause):
+        error = RuntimeError("read failed")
+        error.java_exception = cause
+        return error
+
+    assert jdbc.is_missing_table(failed(_Cause("42P01")))
+    assert jdbc.is_missing_table(failed(_Cause(None, _Cause("42S02"))))
+    assert not jdbc.is_missing_table(failed(_Cause("08001")))  # no connection
+    assert not jdbc.is_missing_table(failed(_Cause("28000")))  # refused login
+    assert not jdbc.is_missing_table(RuntimeError("time-out"))
+
+
+def test_jdbc_failed_probe_fails_the_batch(spark):
+    from unittest import mock
+
+    body = jdbc.batch_writer(jdbc.JdbcOptions(url="jdbc:none:"), "t")
+    with mock.patch("pyspark.sql.DataFrameWriter.save") as save, pytest.raises(Exception):
+        body(spark.range(1), 0)  # no such driver: not the same as "nothing written yet"
+    save.assert_not_called()
+
+
+def test_jdbc_replayed_batch_appends_only_what_is_missing(spark):
+    rows = [("a", 1), ("a", 1), ("a", 1), ("b", None), (None, 2)]
+    batch = jdbc.stamped(spark.createDataFrame(rows, "v STRING, n INT"), "s1", 4)
+    assert batch.select("stream_id", "batch_id").distinct().collect() == [("s1", 4)]
+    digests = {(r.v, r.n): r.row_digest for r in batch.collect()}
+    assert len(set(digests.values())) == 3
+    written = spark.createDataFrame([(digests["a", 1],), (digests["a", 1],), (digests[None, 2],)], "row_digest STRING")
+    left = jdbc.missing_rows(batch, written)
+    assert left.columns == batch.columns
+    assert sorted((r.v, r.n) for r in left.collect()) == [("a", 1), ("b", None)]
+    assert jdbc.missing_rows(batch, batch.select("row_digest")).count() == 0
+    assert jdbc.missing_rows(batch, written.limit(0)).count() == 5
+
+
 def test_kafka_options_and_payload(spark):
     o = kafka.KafkaOptions(bootstrap_servers="b:9092", topic="logs", starting_offsets="earliest", max_offsets_per_trigger=100)
     r = o.read_options()

@@ -51,6 +51,33 @@ def test_replayed_batch_overwrites(spark, tmp_dir):
     assert spark.read.parquet(os.path.join(tmp_dir, "t")).count() == 4
 
 
+def test_two_streams_and_a_new_checkpoint_keep_apart(spark, tmp_dir):
+    table = os.path.join(tmp_dir, "out")
+    landings = [os.path.join(tmp_dir, d) for d in ("in1", "in2")]
+    for i, landing in enumerate(landings):
+        _land(landing, "a.txt", [GOOD.format(i)])
+
+    def run(landing, checkpoint):
+        return run_with_restart(
+            lambda: start_error_job(
+                file_log_source(spark, landing),
+                lambda df: foreach_batch_sink(df, idempotent_table_writer(table), os.path.join(tmp_dir, checkpoint)),
+                available_now=True,
+            ),
+            max_attempts=1,
+            delay_s=0,
+        )
+
+    run(landings[0], "ck1")
+    run(landings[1], "ck2")  # another stream, also its batch 0
+    assert spark.read.parquet(table).count() == 2
+    run(landings[0], "ck3")  # a new checkpoint reads the file again, as its own batch 0
+    out = spark.read.parquet(table)
+    assert out.count() == 3
+    assert out.select("stream_id").distinct().count() == 3
+    assert not out.filter("stream_id = 'manual'").count()  # the id of the query, not the fallback
+
+
 def test_restart_loop_gives_up_after_limit(spark):
     attempts = []
 

@@ -80,7 +80,7 @@ def q_sales_daily_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT product, date, sale, 'sales_report_' || replace('{REPORT_MONTH}', '-', '_') AS target FROM r""",
 )
 def q_report_partitioned_write(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write the month twice; dynamic partition overwrite leaves one copy."""
+    """Write the month twice; its folder is replaced, which leaves one copy."""
     path = scratch_path(spark, "sales_report")
     for _ in range(2):
         report = monthly_sales_report(
@@ -124,7 +124,35 @@ def q_report_backfill_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "sales_report_backfill")
     for _ in range(2):
         reports = backfill_reports(views.sales(spark, sf_dir), views.products(spark, sf_dir), BACKFILL_MONTHS)
-        persist_reports(reports, path)
+        persist_reports(reports, path, months=BACKFILL_MONTHS)
+    return spark.read.parquet(path).select("product", "date", "sale", F.col("month").cast("string").alias("month"))
+
+
+EMPTIED_MONTH = "1998-03"
+
+
+@register(
+    "report_empty_rerun",
+    "K02 B05 B11",
+    f"""WITH sales AS ({views.SALES_SQL}), products AS ({views.PRODUCTS_SQL}),
+daily AS (
+  SELECT product_id, substring(CAST("timestamp" AS VARCHAR), 1, 10) AS date,
+         substring(CAST("timestamp" AS VARCHAR), 1, 7) AS month,
+         sum(CAST(price AS DOUBLE) * CAST(quantity AS INTEGER)) AS daily_sale_amount
+  FROM sales WHERE substring(CAST("timestamp" AS VARCHAR), 1, 7) IN ({_BACKFILL_IN})
+    AND substring(CAST("timestamp" AS VARCHAR), 1, 7) <> '{EMPTIED_MONTH}'
+  GROUP BY 1, 2, 3
+)
+SELECT p.product_name AS product, d.date AS date, round(d.daily_sale_amount, 2) AS sale, d.month AS month
+FROM daily d JOIN products p ON d.product_id = p.product_id""",
+)
+def q_report_empty_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All months are written, then again after the sales of one month were withdrawn: that month ends empty."""
+    path = scratch_path(spark, "sales_report_emptied")
+    sales, products = views.sales(spark, sf_dir), views.products(spark, sf_dir)
+    withdrawn = F.date_format("timestamp", "yyyy-MM") == EMPTIED_MONTH
+    for source in (sales, sales.filter(~withdrawn)):
+        persist_reports(backfill_reports(source, products, BACKFILL_MONTHS), path, months=BACKFILL_MONTHS)
     return spark.read.parquet(path).select("product", "date", "sale", F.col("month").cast("string").alias("month"))
 
 

@@ -18,7 +18,7 @@ from tidewater.session import scratch_path
 from tidewater.sources import files
 from tidewater.streaming.error_stream import error_stream, file_log_source, start_error_job
 from tidewater.streaming.launcher import QueryGroup, run_with_restart, start_once
-from tidewater.streaming.sinks import foreach_batch_sink, idempotent_table_writer, snapshot_writer
+from tidewater.streaming.sinks import SINK_COLUMNS, foreach_batch_sink, idempotent_table_writer, snapshot_writer
 from tidewater.streaming.stop_requests import stop_matcher, stop_request_source
 
 LINES_PER_FILE = 5000
@@ -47,7 +47,7 @@ def q_log_stream_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     run_with_restart(start, max_attempts=3, delay_s=1.0)
     # A second start resumes from the checkpoint: nothing is read or written twice.
     run_with_restart(start, max_attempts=3, delay_s=1.0)
-    return spark.read.parquet(table).drop("batch_id")
+    return spark.read.parquet(table).drop(*SINK_COLUMNS)
 
 
 def _crash_after_write(body, batch_id: int):
@@ -83,7 +83,7 @@ def q_log_stream_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     run_with_restart(start, max_attempts=3, delay_s=0.5, on_failure=lambda n, e: failures.append(n))
     if failures != [1]:
         raise RuntimeError(f"expected exactly one failed attempt, saw {failures}")
-    return spark.read.parquet(table).drop("batch_id")
+    return spark.read.parquet(table).drop(*SINK_COLUMNS)
 
 
 @register("log_stream_file_sink", "B12 J02 J03 J05", PARSE_SQL)
@@ -162,4 +162,4 @@ def q_runs_stop_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     if q is None:
         raise RuntimeError("stop-request stream failed")
-    return spark.read.parquet(table).drop("batch_id").select(*queries_runs._BASE_COLS.split(", ")).distinct()
+    return spark.read.parquet(table).drop(*SINK_COLUMNS).select(*queries_runs._BASE_COLS.split(", ")).distinct()

@@ -67,7 +67,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> str:
         if args.output_kind != "file" or not args.output:
             raise ValueError("--months writes files: give --output")
         months = [m.strip() for m in args.months.split(",") if m.strip()]
-        persist_reports(backfill_reports(sales, products, months, decimals=None, lenient=args.lenient), args.output, args.output_format)
+        reports = backfill_reports(sales, products, months, decimals=None, lenient=args.lenient)
+        persist_reports(reports, args.output, args.output_format, months)
         return ",".join(sorted(set(months)))
     month = validate_month(args.month)
     report = monthly_sales_report(

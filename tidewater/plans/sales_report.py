@@ -12,7 +12,10 @@ from __future__ import annotations
 import datetime as _dt
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -184,6 +187,17 @@ def monthly_sales_report(
     ).run()
 
 
+def month_spans(months: list[str]) -> list[tuple[_dt.datetime, _dt.datetime]]:
+    """Half-open ranges that cover the sorted months, neighbouring months as one."""
+    spans: list[tuple[_dt.datetime, _dt.datetime]] = []
+    for start, end in map(month_range, months):
+        if spans and spans[-1][1] == start:
+            spans[-1] = (spans[-1][0], end)
+        else:
+            spans.append((start, end))
+    return spans
+
+
 def backfill_reports(
     sales: DataFrame,
     products: DataFrame,
@@ -193,8 +207,8 @@ def backfill_reports(
 ) -> DataFrame:
     """Reports of several months in one pass: ``product, date, sale, month``.
 
-    One scan bounded by the first and last month (pushed down), one
-    aggregate on (month, product, day), one join.  Each month's rows equal
+    One scan of just these months (their ranges are pushed down, neighbours
+    as one), one aggregate on (month, product, day), one join.  Each month's rows equal
     ``monthly_sales_report`` for that month; ``persist_report``-style
     dynamic overwrite then replaces exactly those months.
     """
@@ -203,14 +217,12 @@ def backfill_reports(
     ordered = sorted({validate_month(m) for m in months})
     require_columns(sales, "timestamp", "product_id", "price", "quantity")
     dtype = sales.schema["timestamp"].dataType
-    first, _ = month_range(ordered[0])
-    _, last = month_range(ordered[-1])
     if isinstance(dtype, T.StringType):
         scoped = sales.filter(F.substring("timestamp", 1, 7).isin(ordered))
     else:
         lit = wall_clock_literal if isinstance(dtype, T.TimestampNTZType) else zoned_literal
         c = F.col("timestamp")
-        scoped = sales.filter((c >= lit(first)) & (c < lit(last)))
+        scoped = sales.filter(reduce(or_, [(c >= lit(first)) & (c < lit(last)) for first, last in month_spans(ordered)]))
     day = sale_day(scoped)
     month = F.substring(day.cast("string"), 1, 7)
     daily = (
@@ -230,16 +242,32 @@ def backfill_reports(
     )
 
 
-def persist_reports(reports: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Write several months at once under ``month=YYYY-MM``; only those months are replaced."""
-    (
-        reports.sortWithinPartitions("month", "product", "date")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("month")
-        .format(fmt)
-        .save(path)
-    )
+def persist_reports(reports: DataFrame, path: str, fmt: str = "parquet", months: list[str] | None = None) -> None:
+    """Write several months at once under ``month=YYYY-MM``; only those months are replaced.
+
+    ``months``: the months asked for; one without rows is replaced by an empty
+    folder.  Without it, months that have no rows keep what they held.  A
+    rebalance on the month keeps the number of files from growing with the
+    tasks; a large month still gets several.
+    """
+    rows = reports.hint("rebalance", F.col("month")).sortWithinPartitions("month", "product", "date")
+    if months is not None:
+        rows = rows.persist(StorageLevel.DISK_ONLY)  # products x days, read twice
+    try:
+        (
+            rows.write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("month")
+            .format(fmt)
+            .save(path)
+        )
+        if months is not None:
+            found = {r["month"] for r in rows.select("month").distinct().collect()}  # at most the months asked for
+            for month in sorted(set(months) - found):
+                persist_report(reports.drop("month").limit(0), path, month, fmt)
+    finally:
+        if months is not None:
+            rows.unpersist()
 
 
 def report_target_name(month: str) -> str:
@@ -255,20 +283,13 @@ def report_target_column(month_col: Column | str) -> Column:
 def persist_report(report: DataFrame, path: str, month: str, fmt: str = "parquet") -> None:
     """Write one month's report under ``month=YYYY-MM``.
 
-    Dynamic partition overwrite replaces only that month, so a rerun does not
-    duplicate rows (the reference appends).  Rows are sorted within each
-    file; no single-task global sort is forced on the write.
+    The month's own folder is overwritten, so a rerun does not duplicate rows
+    (the reference appends) and a rerun without rows leaves the month empty.
+    Rows are sorted within each file; no single-task global sort is forced on
+    the write.
     """
     parse_year_month(month)
-    (
-        report.withColumn("month", F.lit(month))
-        .sortWithinPartitions("product", "date")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("month")
-        .format(fmt)
-        .save(path)
-    )
+    report.sortWithinPartitions("product", "date").write.mode("overwrite").format(fmt).save(f"{path.rstrip('/')}/month={month}")
 
 
 def read_report(spark, path: str, month: str, fmt: str = "parquet") -> DataFrame:

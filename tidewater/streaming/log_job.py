@@ -32,7 +32,7 @@ def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument(
         "--sink", default="files", choices=["files", "table", "jdbc"],
         help="files: Spark's file sink, exactly-once through its commit log, partitioned by day; "
-        "table: foreachBatch into batch_id partitions; jdbc: foreachBatch JDBC append",
+        "table: foreachBatch into stream_id / batch_id partitions; jdbc: foreachBatch JDBC append",
     )
     p.add_argument("--sink-path", help="error table root (files and table sinks)")
     p.add_argument("--jdbc-url")

@@ -10,7 +10,12 @@ from pyspark.sql.streaming import DataStreamWriter
 
 # Output modes of a streaming write.
 OUTPUT_MODES = ("append", "complete", "update")
+STREAM_ID_COLUMN = "stream_id"
 BATCH_ID_COLUMN = "batch_id"
+#: Columns the batch writers add to every row.
+SINK_COLUMNS = (STREAM_ID_COLUMN, BATCH_ID_COLUMN)
+#: Fixed value: the property Spark sets for the jobs of a streaming query; the id lives in its checkpoint.
+QUERY_ID_PROPERTY = "sql.streaming.queryId"
 
 
 def output_mode(mode: str) -> str:
@@ -21,20 +26,31 @@ def output_mode(mode: str) -> str:
     return m
 
 
-def idempotent_table_writer(path: str, fmt: str = "parquet") -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` body: each micro-batch replaces its own ``batch_id`` partition.
+def stream_id_of(batch: DataFrame) -> str:
+    """Id of the streaming query whose ``foreachBatch`` body runs; ``manual`` outside of one.
+
+    Spark keeps it in the checkpoint: a restart has the same id and goes on
+    counting batches, a new checkpoint starts at batch 0 under a new id.
+    """
+    return batch.sparkSession.sparkContext.getLocalProperty(QUERY_ID_PROPERTY) or "manual"
+
+
+def idempotent_table_writer(path: str, fmt: str = "parquet", stream_id: str | None = None) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` body: each micro-batch replaces its own ``stream_id``, ``batch_id`` partition.
 
     A batch replayed after a failure overwrites what its first attempt wrote
     instead of appending a second copy, so the table is exactly-once even
-    though the reference's append sink is at-least-once.
+    though the reference's append sink is at-least-once.  Several streams, or
+    one stream after a new checkpoint, keep apart in one table.
     """
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         (
-            batch.withColumn(BATCH_ID_COLUMN, F.lit(batch_id).cast("long"))
+            batch.withColumn(STREAM_ID_COLUMN, F.lit(stream_id or stream_id_of(batch)))
+            .withColumn(BATCH_ID_COLUMN, F.lit(batch_id).cast("long"))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(BATCH_ID_COLUMN)
+            .partitionBy(*SINK_COLUMNS)
             .format(fmt)
             .save(path)
         )
