@@ -21,14 +21,14 @@ from tidewater.streaming.launcher import QueryGroup, run_with_restart, start_onc
 from tidewater.streaming.sinks import SINK_COLUMNS, foreach_batch_sink, idempotent_table_writer, snapshot_writer
 from tidewater.streaming.stop_requests import stop_matcher, stop_request_source
 
-LINES_PER_FILE = 5000
-FILES_PER_TRIGGER = 8
+#: Source bytes of a micro-batch; whole files are taken, at least one.
+BYTES_PER_TRIGGER = 1 << 30
 
 
 def land_log_lines(spark: SparkSession, sf_dir: str) -> str:
-    """Write every rendered line as text; ``maxRecordsPerFile`` splits files without a shuffle."""
+    """Write every rendered line as text, in as many files as the scan has parts."""
     path = scratch_path(spark, "landing")
-    views.log_lines(spark, sf_dir).write.option("maxRecordsPerFile", LINES_PER_FILE).text(path)
+    views.log_lines(spark, sf_dir).write.text(path)
     return path
 
 
@@ -39,7 +39,7 @@ def q_log_stream_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def start():
         return start_error_job(
-            file_log_source(spark, landing, FILES_PER_TRIGGER),
+            file_log_source(spark, landing, max_bytes_per_trigger=BYTES_PER_TRIGGER),
             lambda df: foreach_batch_sink(df, idempotent_table_writer(table), checkpoint),
             available_now=True,
         )
@@ -75,7 +75,7 @@ def q_log_stream_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def start():
         return start_error_job(
-            file_log_source(spark, landing, FILES_PER_TRIGGER),
+            file_log_source(spark, landing, max_bytes_per_trigger=BYTES_PER_TRIGGER),
             lambda df: foreach_batch_sink(df, body, checkpoint),
             available_now=True,
         )
@@ -93,7 +93,7 @@ def q_log_stream_file_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     checkpoint = scratch_path(spark, "checkpoint")
     q = start_once(
         lambda: start_error_job(
-            file_log_source(spark, landing, FILES_PER_TRIGGER),
+            file_log_source(spark, landing, max_bytes_per_trigger=BYTES_PER_TRIGGER),
             lambda df: files.write_stream(df, out, checkpoint),
             available_now=True,
         )
@@ -116,13 +116,13 @@ def q_stream_multi_query_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts_path = scratch_path(spark, "error_counts")
     group = QueryGroup()
     rows = start_error_job(
-        file_log_source(spark, landing, FILES_PER_TRIGGER),
+        file_log_source(spark, landing, max_bytes_per_trigger=BYTES_PER_TRIGGER),
         lambda df: files.write_stream(
             df, files.FileOptions(path=scratch_path(spark, "rows")), scratch_path(spark, "checkpoint")
         ),
         available_now=True,
     )
-    counts_stream = error_counts(error_stream(file_log_source(spark, landing, FILES_PER_TRIGGER)))
+    counts_stream = error_counts(error_stream(file_log_source(spark, landing, max_bytes_per_trigger=BYTES_PER_TRIGGER)))
     counts = (
         foreach_batch_sink(counts_stream, snapshot_writer(counts_path), scratch_path(spark, "checkpoint"), "complete")
         .trigger(processingTime="0 seconds")
@@ -152,11 +152,11 @@ def q_runs_stop_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     result is the set of runs to stop, so it is made distinct at the end.
     """
     landing = scratch_path(spark, "stop_requests")
-    views.stop_requests(spark, sf_dir).write.option("maxRecordsPerFile", LINES_PER_FILE).text(landing)
+    views.stop_requests(spark, sf_dir).write.text(landing)
     table, checkpoint = scratch_path(spark, "stop_actions"), scratch_path(spark, "checkpoint")
     body = stop_matcher(lambda: views.runs(spark, sf_dir), table)
     q = start_once(
-        lambda: foreach_batch_sink(stop_request_source(spark, landing, FILES_PER_TRIGGER), body, checkpoint)
+        lambda: foreach_batch_sink(stop_request_source(spark, landing, max_bytes_per_trigger=BYTES_PER_TRIGGER), body, checkpoint)
         .trigger(availableNow=True)
         .start()
     )

@@ -98,11 +98,14 @@ def read_stream(
     opts: FileOptions,
     schema: StructType | str | None = None,
     max_files_per_trigger: int | None = None,
+    max_bytes_per_trigger: int | None = None,
     clean_source: str = "off",
     archive_dir: str | None = None,
 ) -> DataFrame:
     """Streaming file source; new files in ``path`` become micro-batches.
 
+    A micro-batch takes ``max_files_per_trigger`` files or (not both) about
+    ``max_bytes_per_trigger``, all new files without a limit.
     For long-running sources ``clean_source="archive"`` (with
     ``archive_dir``) or ``"delete"`` removes processed files, so listing the
     folder does not grow with the history.
@@ -111,11 +114,15 @@ def read_stream(
         raise ValueError(f"clean_source must be one of {CLEAN_SOURCE}")
     if clean_source == "archive" and not archive_dir:
         raise ValueError("archive needs archive_dir")
+    if max_files_per_trigger and max_bytes_per_trigger:
+        raise ValueError("limit a micro-batch by files or by bytes, not by both")
     reader = spark.readStream.format(opts.format).options(**opts.read_options())
     if schema is not None:
         reader = reader.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    if max_bytes_per_trigger:
+        reader = reader.option("maxBytesPerTrigger", str(max_bytes_per_trigger))
     if clean_source != "off":
         reader = reader.option("cleanSource", clean_source)
         if archive_dir:

@@ -16,10 +16,15 @@ from tidewater.plans.error_logs import ParserStep, regex_parser
 from tidewater.sources import files, kafka
 
 
-def file_log_source(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
+def file_log_source(
+    spark: SparkSession, path: str, max_files_per_trigger: int | None = None, max_bytes_per_trigger: int | None = None
+) -> DataFrame:
     """Text files as the stream source; each line becomes ``log_line``."""
     lines = files.read_stream(
-        spark, files.FileOptions(path=path, format="text"), max_files_per_trigger=max_files_per_trigger
+        spark,
+        files.FileOptions(path=path, format="text"),
+        max_files_per_trigger=max_files_per_trigger,
+        max_bytes_per_trigger=max_bytes_per_trigger,
     )
     return lines.withColumnRenamed("value", "log_line")
 

@@ -20,10 +20,15 @@ from tidewater.streaming.launcher import QueryGroup
 from tidewater.streaming.sinks import idempotent_table_writer
 
 
-def stop_request_source(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
+def stop_request_source(
+    spark: SparkSession, path: str, max_files_per_trigger: int | None = None, max_bytes_per_trigger: int | None = None
+) -> DataFrame:
     """One correlation id per line (a message value), as a stream."""
     lines = files.read_stream(
-        spark, files.FileOptions(path=path, format="text"), max_files_per_trigger=max_files_per_trigger
+        spark,
+        files.FileOptions(path=path, format="text"),
+        max_files_per_trigger=max_files_per_trigger,
+        max_bytes_per_trigger=max_bytes_per_trigger,
     )
     return lines.select(F.trim(F.col("value")).alias("correlation_id"))
 
