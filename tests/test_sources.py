@@ -162,6 +162,17 @@ def test_kafka_missing_jar_is_clear(spark):
         kafka.read_stream(spark, kafka.KafkaOptions(bootstrap_servers="b:9092", topic="t"))
 
 
+def test_arango_ssl_cursor_and_overwrite_options():
+    plain = documents.ArangoOptions(endpoints="h:8529")
+    assert not {"ssl.enabled", "ssl.cert.value", "ttl", "confirmTruncate"} & set(plain.read_options(collection="c"))
+    assert "confirmTruncate" not in plain.write_options("c")
+    assert plain.write_options("c", "overwrite")["confirmTruncate"] == "true"
+    o = documents.ArangoOptions(endpoints="h:8529", ssl=True, ssl_certificate="QUJD", cursor_ttl_s=60)
+    r = o.read_options(query="RETURN 1")
+    assert (r["ssl.enabled"], r["ssl.cert.value"], r["ttl"]) == ("true", "QUJD", "60")
+    assert "ttl" not in o.write_options("c")
+
+
 def test_document_store_options(spark):
     m = documents.MongoOptions(connection_uri="mongodb://h", database="db")
     assert m.read_options("sales") == {"connection.uri": "mongodb://h", "database": "db", "collection": "sales"}

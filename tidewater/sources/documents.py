@@ -79,17 +79,24 @@ class ArangoOptions:
     user: str = "root"
     password: str = ""
     batch_size: int = 1000
+    ssl: bool = False
+    ssl_certificate: str | None = None  # Base64 text
+    cursor_ttl_s: int | None = None  # lifetime of a read cursor
     extra: dict[str, str] = field(default_factory=dict)
 
     def base(self) -> dict[str, str]:
-        return {
+        opts = {
             "endpoints": self.endpoints,
             "database": self.database,
             "user": self.user,
             "password": self.password,
             "batchSize": str(self.batch_size),
-            **self.extra,
         }
+        if self.ssl:
+            opts["ssl.enabled"] = "true"
+        if self.ssl_certificate is not None:
+            opts["ssl.cert.value"] = self.ssl_certificate
+        return {**opts, **self.extra}
 
     def read_options(self, collection: str | None = None, query: str | None = None) -> dict[str, str]:
         opts = self.base()
@@ -99,10 +106,14 @@ class ArangoOptions:
             opts["table"] = collection
         else:
             opts["query"] = query
+        if self.cursor_ttl_s is not None:
+            opts.setdefault("ttl", str(self.cursor_ttl_s))
         return opts
 
-    def write_options(self, collection: str) -> dict[str, str]:
-        return {**self.base(), "table": collection}
+    def write_options(self, collection: str, mode: str = "append") -> dict[str, str]:
+        """Overwriting truncates the collection, which the connector wants confirmed."""
+        confirmed = {"confirmTruncate": "true"} if mode.lower() == "overwrite" else {}
+        return {**confirmed, **self.base(), "table": collection}
 
 
 def arango_read_all(spark: SparkSession, opts: ArangoOptions, collection: str, schema: StructType | str | None = None) -> DataFrame:
@@ -134,5 +145,5 @@ def arango_read(
 
 def arango_write(df: DataFrame, opts: ArangoOptions, collection: str, mode: str = "append") -> None:
     """Collection write."""
-    writer = df.write.format(ARANGO_FORMAT).mode(mode).options(**opts.write_options(collection))
+    writer = df.write.format(ARANGO_FORMAT).mode(mode).options(**opts.write_options(collection, mode))
     guarded(ARANGO_FORMAT, writer.save)
