@@ -114,3 +114,11 @@ def test_base_score_is_exact(spark, monkeypatch, small_head):
 
 def test_language_model_on_an_empty_table(spark):
     assert language_model.score(empty(spark)).collect() == []
+
+
+def test_words_outside_the_head_teach_the_word_predictor(spark, monkeypatch):
+    whole = sorted((tuple(r) for r in language_model.score(awkward(spark)).select("doc_id", "bits_per_byte").collect()), key=repr)
+    monkeypatch.setattr(language_model, "HEAD", 3)
+    small = sorted((tuple(r) for r in language_model.score(awkward(spark)).select("doc_id", "bits_per_byte").collect()), key=repr)
+    assert [k for k, _ in small] == [k for k, _ in whole]
+    assert [b for _, b in small] == pytest.approx([b for _, b in whole], rel=1e-5)
