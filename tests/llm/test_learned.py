@@ -122,3 +122,37 @@ def test_words_outside_the_head_teach_the_word_predictor(spark, monkeypatch):
     small = sorted((tuple(r) for r in language_model.score(awkward(spark)).select("doc_id", "bits_per_byte").collect()), key=repr)
     assert [k for k, _ in small] == [k for k, _ in whole]
     assert [b for _, b in small] == pytest.approx([b for _, b in whole], rel=1e-5)
+
+
+def test_every_decision_takes_its_own_gate():
+    rng = np.random.default_rng(3)
+    rows = rng.integers(-40, 40, (2 * mixer.GROUP, mixer.INPUTS + 1)).astype(np.int8)
+    rows[rng.random(rows.shape) < 0.3] = 0
+    bit = rng.integers(0, 2, len(rows))
+    gate = mixer._gate(rows).astype(int)
+    rows[:, mixer.INPUTS] = gate << 2 | 2 | bit
+    start = rng.normal(0.4, 0.3, (mixer.GATES, mixer.INPUTS)).astype(np.float32)
+    got = mixer._run(rows, np.array([1, 1]), [0, mixer.GROUP, 2 * mixer.GROUP], start, 1)
+    weights, seen, want = start.astype(float) * mixer.LOGIT_UNIT, 1 / (1 + np.exp(mixer.MAP_BINS / 2 - 0.5 - np.arange(mixer.MAP_BINS))), 0.0
+    for a in range(0, len(rows), mixer.GROUP):
+        old, moved = weights.copy(), seen.copy()
+        for i in range(a, a + mixer.GROUP):
+            x = rows[i, : mixer.INPUTS].astype(float)
+            logit = np.clip(x @ old[gate[i]], 0.5 - mixer.MAP_BINS / 2, mixer.MAP_BINS / 2 - 0.5)
+            p, cell = 1 / (1 + math.exp(-logit)), int(logit + mixer.MAP_BINS / 2)
+            weights[gate[i]] += x * (bit[i] - p) * mixer.RATE * mixer.LOGIT_UNIT**2
+            p += (seen[cell] - p) / 4
+            moved[cell] = seen[cell] + (bit[i] - seen[cell]) * mixer.MAP_RATE
+            want -= math.log2(p if bit[i] else 1 - p)
+        seen = moved
+    assert got[0] == pytest.approx(want, rel=1e-4)
+
+
+def test_start_weights_come_from_all_sampled_texts():
+    rng = np.random.default_rng(7)
+    texts = [rng.choice(list(b"ab "), 3_000_000).astype(np.uint8).tobytes(), b"zebra zone zoo " * 40_000]
+    code = mixer.code_tree(np.bincount(np.frombuffer(b"".join(texts), np.uint8), minlength=256))
+    counts = mixer.Counts()
+    counts.add(texts, code)
+    forth, back = mixer.train_weights(texts, code, counts.table), mixer.train_weights(texts[::-1], code, counts.table)
+    assert forth == pytest.approx(back, rel=1e-4, abs=1e-5)
