@@ -40,15 +40,16 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document that names its group (the smallest id); repeated rows of it count once."""
-    groups = simhash.near_duplicates(docs, width=4, distance=4)
-    return simhash.first_of_group(docs, groups)
+    """One document of every group: that with the smallest id; repeated rows of it count once."""
+    groups = simhash.near_duplicates(docs, width=4, distance=4, labelled=True)
+    return simhash.first_of_group(docs, groups, width=4, distance=4)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row as often as the mix takes it.  Ids are unique here: the stage before keeps one row of each."""
-    taken = mixing.mix(docs).select(F.col("doc_id").alias("llm_key"), "copies").filter("copies > 0")
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["llm_key"]))
+    """Every row as often as the mix takes it.  Id and text are unique here: the stage before keeps one row of each."""
+    taken = mixing.mix(docs, hash_out="llm_hash").select(F.col("doc_id").alias("llm_key"), "llm_hash", "copies").filter("copies > 0")
+    own = F.xxhash64(docs["doc_id"], docs["text"])
+    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["llm_key"]) & (own == taken["llm_hash"]))
     return rows.withColumn("llm_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(*docs.columns)
 
 

@@ -115,3 +115,14 @@ def test_one_document_of_a_group_stays(spark):
     kept = simhash.first_of_group(docs, simhash.near_duplicates(docs))
     assert kept.columns == docs.columns
     assert sorted([r["doc_id"] for r in kept.collect()], key=repr) == sorted([1, 3, 6, 7, 8, None], key=repr)
+
+
+def test_groups_without_ids_and_an_id_with_two_texts_all_stay(spark):
+    texts = ["red apples fall from old trees in autumn", "the ferry to the island leaves at noon", "granite hills above the northern lake", "seven wise owls count the stars"]
+    data = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (4, texts[1]), (5, texts[2]), (5, texts[3]), (6, texts[3]), (None, "parrots of every colour fill the market")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    want = sorted([(None, texts[0]), (4, texts[1]), (5, texts[2]), (5, texts[3]), data[-1]], key=repr)
+    for labelled in (False, True):
+        kept = simhash.first_of_group(docs, simhash.near_duplicates(docs, labelled=labelled))
+        assert kept.columns == docs.columns
+        assert sorted([(r["doc_id"], r["text"]) for r in kept.collect()], key=repr) == want

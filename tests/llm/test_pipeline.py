@@ -35,3 +35,13 @@ def test_stages_keep_the_columns_and_take_effect(spark):
 def test_run_packs_what_the_stages_keep(spark):
     out = corpus_pipeline.run(spark, SF_SMALL).collect()
     assert out and all(r["offset"] + r["length"] <= 1024 for r in out)
+
+
+def test_mixing_takes_each_of_several_texts_of_one_id_by_its_own_copies(spark):
+    data = [(i % 5 or None, f"word{i} and {i} more", "en", "ab"[i % 2], 0) for i in range(40)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    want = sorted(r["copies"] for r in mixing.mix(docs).collect() if r["copies"])
+    got: dict = {}
+    for r in corpus_pipeline.mixing_stage(spark, docs, SF_SMALL).collect():
+        got[r["doc_id"], r["text"]] = got.get((r["doc_id"], r["text"]), 0) + 1
+    assert sorted(got.values()) == want

@@ -100,6 +100,7 @@ def mix(
     key: str = "doc_id",
     source: str = "source",
     text: str = "text",
+    hash_out: str | None = None,
 ) -> DataFrame:
     """How often each document enters the mix: key, size, source, source_size, target, copies, taken.
 
@@ -108,7 +109,8 @@ def mix(
     than ``max_repeat`` times.  The hash covers key and text, so reruns agree
     and identical rows share one decision.  NULL text has size 0; NULL is a
     source of its own, ordered last; an empty table gives an empty result; a
-    table without words has targets of 0 and takes nothing.
+    table without words has targets of 0 and takes nothing.  ``hash_out`` names a
+    column for the hash, which tells rows with one key and several texts apart.
     """
     rows = settle(
         docs.select(
@@ -144,5 +146,6 @@ def mix(
             "target",
             "copies",
             (F.col("size") * F.col("copies")).alias("taken"),
+            *([F.col("mix_hash").alias(hash_out)] if hash_out else []),
         )
     )

@@ -32,7 +32,7 @@ def fingerprint(text: str, width: int) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int, key: str, text: str) -> DataFrame:
-    """Columns ``key`` and ``fp`` (the 64 bits as a signed long)."""
+    """Columns ``key``, ``sig`` (hash of the text) and ``fp`` (the 64 bits as a signed long)."""
     ship_package(docs.sparkSession)
 
     @F.pandas_udf("long")
@@ -40,7 +40,7 @@ def fingerprints(docs: DataFrame, width: int, key: str, text: str) -> DataFrame:
         for s in texts:
             yield pd.Series(np.array([fingerprint(t, width) for t in s], dtype=np.uint64).view(np.int64))
 
-    return docs.select(F.col(key).alias("key"), fp(text_or_empty(text)).alias("fp"))
+    return docs.select(F.col(key).alias("key"), F.xxhash64(text_or_empty(text)).alias("sig"), fp(text_or_empty(text)).alias("fp"))
 
 
 def segments(distance: int) -> list[tuple[int, int]]:
@@ -97,7 +97,9 @@ def links(prints: DataFrame, distance: int) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, width: int = 4, distance: int = 4, key: str = "doc_id", text: str = "text", labelled: bool = False
+) -> DataFrame:
     """Per row: key, fingerprint (16 hex digits), component_id (smallest key reachable over links).
 
     Documents link when their fingerprints differ in at most ``distance`` bits;
@@ -105,7 +107,9 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, key: str
     paired.  NULL and empty texts and texts of white space have fingerprint
     zero and link like any other; NULL keys never become a component_id unless
     the whole component has none; repeated rows come back each; an empty table
-    gives an empty result; other columns are not carried.
+    gives an empty result; other columns are not carried.  ``labelled`` adds
+    llm_label (one fingerprint of the component, which tells components with
+    equal or no ids apart) and llm_text_hash.
     """
     prints = settle(fingerprints(docs, width, key, text))
     classes = settle(prints.groupBy("fp").agg(F.min("key").alias("first_key")))
@@ -114,24 +118,33 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, key: str
         "fp", F.coalesce("label", "fp").alias("label"), "first_key"
     )
     smallest = named.groupBy("label").agg(F.min("first_key").alias("component_id"))
-    member = named.select("fp", "label").join(smallest, "label").select(F.col("fp").alias("class_fp"), "component_id")
+    member = named.select("fp", "label").join(smallest, "label").select(F.col("fp").alias("class_fp"), "label", "component_id")
     out = prints.join(member, prints["fp"] == member["class_fp"])
     return out.select(
         F.col("key").alias(key),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
+        *([F.col("label").alias("llm_label"), F.col("sig").alias("llm_text_hash")] if labelled else []),
     )
 
 
-def first_of_group(docs: DataFrame, groups: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose key is its component's id; repeated rows with that key give one row.
+def first_of_group(
+    docs: DataFrame, groups: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, distance: int = 4
+) -> DataFrame:
+    """One row of ``docs`` per component: the one with the smallest key (a NULL key only where the
+    component has no other), then the smallest text hash, then the smallest of the other columns.
 
-    Rows with a NULL key are kept only if their whole component has no key, one per component.
+    ``groups`` are the labelled near-duplicates of ``docs``; without labels they are found again,
+    because ids do not tell components apart: components without any id, or an id with several texts.
     """
-    chosen = groups.select(F.col("component_id").alias("kept_key")).distinct()
-    kept = docs.join(chosen, docs[key].eqNullSafe(chosen["kept_key"]), "left_semi")
-    order = Window.partitionBy(key).orderBy(*[F.col(c) for c in docs.columns if c != key and not _unorderable(docs, c)] or [F.lit(0)])
-    return kept.withColumn("llm_nth", F.row_number().over(order)).filter("llm_nth = 1").drop("llm_nth")
+    if "llm_label" not in groups.columns:
+        groups = near_duplicates(docs, width, distance, key, text, labelled=True)
+    first = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("llm_text_hash").alias("sig")))
+    chosen = groups.groupBy("llm_label").agg(first.alias("first")).select(F.col("first.key").alias("kept_key"), F.col("first.sig").alias("kept_sig"))
+    hashed = docs.withColumn("llm_text_hash", F.xxhash64(text_or_empty(text)))
+    kept = hashed.join(chosen, hashed[key].eqNullSafe(chosen["kept_key"]) & (hashed["llm_text_hash"] == chosen["kept_sig"]), "left_semi")
+    order = Window.partitionBy(key, "llm_text_hash").orderBy(*[F.col(c) for c in docs.columns if c != key and not _unorderable(docs, c)] or [F.lit(0)])
+    return kept.withColumn("llm_nth", F.row_number().over(order)).filter("llm_nth = 1").drop("llm_nth", "llm_text_hash")
 
 
 def _unorderable(df: DataFrame, column: str) -> bool:
