@@ -101,3 +101,13 @@ def test_extract_on_odd_pages(spark):
     got = sorted(map(tuple, extraction.extract(df).select("page_id", "text").collect()))
     assert [t for _, t in got[:3]] == ["", "", "unclosed"] and got[-2:] == [(5, "plain"), (5, "plain")]
     assert extraction.extract(df.limit(0)).collect() == []
+
+
+def test_a_teaser_article_does_not_displace_the_body():
+    body = "".join(f"<div>{f'Sentence {i} of the body goes on for a while here. ' * 6}</div>" for i in range(8))
+    teaser = "<article><h2>Related</h2><p>One short teaser.</p></article>"
+    got = extraction.main_text(f"<body><h1>Head</h1>{body}{teaser}</body>")
+    assert got.startswith("Head") and got.count("of the body") >= 42 and "teaser" not in got
+    long = "<article><h2>Own</h2>" + f"<p>{'Marked text that is long enough to be content. ' * 6}</p>" * 4 + "</article>"
+    both = extraction.main_text(f"<body>{body}{long}</body>")
+    assert both.count("of the body") >= 24 and both.count("Marked text") == 24 and "Own" in both

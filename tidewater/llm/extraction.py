@@ -191,20 +191,15 @@ def main_text(html: str) -> str:
     if not lines:
         return ""
     content = clusters([len(text) / max(1, tags) for text, tags, _, _ in lines])
-    marked = {article for _, _, article, _ in lines if article}
-    if marked:
-        # The article is the region the content clusters lie in; all of its lines belong to it.
-        weight = {a: sum(len(t) for (t, _, own, _), c in zip(lines, content) if c and own == a) for a in marked}
-        if not any(weight.values()):
-            weight = {a: sum(len(t) for t, _, own, _ in lines if own == a) for a in marked}
-        largest = max(weight.values())
-        regions = {a for a, w in weight.items() if w * 4 >= largest}
-        chosen = [own in regions for _, _, own, _ in lines]
-    else:
-        chosen = list(content)
-        for i in range(len(lines) - 2, -1, -1):  # a heading right above content belongs to it
-            if lines[i][3] and chosen[i + 1]:
-                chosen[i] = True
+    # The text lies in the regions that the content clusters lie in: marked articles, or what no article holds (0).
+    weight = {a: sum(len(t) for (t, _, own, _), c in zip(lines, content) if c and own == a) for _, _, a, _ in lines}
+    largest = max(weight.values())
+    regions = {a for a, w in weight.items() if w * 4 >= largest}
+    # All lines of an article belong to it; elsewhere the content does, and a heading right above content.
+    chosen = [own in regions and (own > 0 or c) for (_, _, own, _), c in zip(lines, content)]
+    for i in range(len(lines) - 2, -1, -1):
+        if lines[i][3] and not lines[i][2] and 0 in regions and chosen[i + 1] and not lines[i + 1][2]:
+            chosen[i] = True
     return "\n".join(line[0] for line, keep in zip(lines, chosen) if keep)
 
 
@@ -214,10 +209,11 @@ def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFram
     Parser events cut a page into lines at block elements; scripts, styles,
     menus, headers, footers, sidebars, notices, adverts, forms and comments
     never make lines.  Each line has the ratio of its characters to the tags
-    since the line before; smoothed ratios are split in two clusters.  Where
-    the page marks articles, those that the content cluster lies in (at least a
-    quarter of the fullest one's text) come out whole; elsewhere the content
-    lines and the headings right above them do.
+    since the line before; smoothed ratios are split in two clusters.  Each
+    marked article is a region, and so is all that no article holds; those with
+    at least a quarter of the fullest one's content text come out.  An article
+    does so whole, the other region with its content lines and the headings
+    right above them.
 
     NULL or empty html, and pages without text, give ""; broken markup is read
     as far as it goes; repeated rows come back each; an existing column named
