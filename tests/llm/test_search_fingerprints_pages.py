@@ -111,3 +111,25 @@ def test_a_teaser_article_does_not_displace_the_body():
     long = "<article><h2>Own</h2>" + f"<p>{'Marked text that is long enough to be content. ' * 6}</p>" * 4 + "</article>"
     both = extraction.main_text(f"<body>{body}{long}</body>")
     assert both.count("of the body") >= 24 and both.count("Marked text") == 24 and "Own" in both
+
+
+def test_skipped_elements_do_not_swallow_the_article():
+    text = "The first sentence of the story. The second sentence of the story."
+    article = f"<article><h1>Title</h1><p>{text}</p></article>"
+    want = f"Title\n{text}"
+    pages = [
+        f"<html><head><title>T</title><meta charset=utf-8><body>{article}</body></html>",
+        f"<html><head><title>T</title>{article}</html>",
+        f"<html><head><title>T</title><noscript><p>No script.</noscript></head><body>{article}</body></html>",
+        f"<body><div><noscript><p>No script.</noscript>{article}</div></body>",
+        f"<body><form action='/x'>{article}</form></body>",
+        f"<body><div id='page'><div class='layout has-sidebar'>{article}<div class='sidebar'>Menu here</div></div></div></body>",
+        *[f"<body><div class='{name}'>{article}</div></body>" for name in ("no-sidebar", "content with-menu", "layout has-sidebar")],
+    ]
+    assert [extraction.main_text(p) for p in pages] == [want] * len(pages)
+    bulk = "".join(f"<p>{text * 3}</p>" for _ in range(6))
+    assert extraction.main_text(f"<body><div class='no-sidebar'>{bulk}</div></body>") == extraction.main_text(f"<body><div>{bulk}</div></body>") != ""
+    math = "<p>Let <math><mi>x</mi><annotation encoding='tex'>\\xi</annotation></math> be a number, and go on from there.</p>"
+    assert extraction.main_text(f"<article>{math}</article>") == "Let x be a number, and go on from there."
+    comments = "<div id='comments'><article><p>Nice post!</p></article></div>"
+    assert extraction.main_text(f"<body>{article}{comments}</body>") == want

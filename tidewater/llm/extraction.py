@@ -15,8 +15,10 @@ from tidewater.llm.common import ship_package, text_or_empty
 
 # Element names of HTML, by what they mean for the text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template head title svg math iframe object canvas select button textarea audio video".split())
-BOILERPLATE = frozenset("nav footer aside form menu dialog".split())
+HIDDEN = frozenset("script style noscript template head title svg annotation annotation-xml iframe object canvas select button textarea audio video".split())
+BOILERPLATE = frozenset("nav footer aside menu dialog".split())
+#: Elements that may stand in a head; any other one, or text, ends a head that is still open.
+IN_HEAD = frozenset("html head base link meta title style script noscript template".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre search section summary table tbody td tfoot"
@@ -45,21 +47,25 @@ def _own_header(value: str) -> bool:
     return MARKS.intersection(_NAME.findall(value.lower())) == {"header"}
 
 
-def _unwanted(tag: str, attrs: list[tuple[str, str | None]], inside_article: bool) -> bool:
+def _unwanted(tag: str, attrs: list[tuple[str, str | None]], inside_article: bool) -> str:
+    """"skip" for what is never text of the page, "doubt" for a form or a marked name (see ``_Lines.kept``), or ""."""
     if tag in BOILERPLATE or tag == "header" and not inside_article:
-        return True
+        return "skip"
     if tag in ("html", "body", "main", "article"):
-        return False
+        return ""
+    doubt = tag == "form"
     for name, value in attrs:
+        if name == "hidden":
+            return "skip"
         if not value:
             continue
         if name in ("class", "id") and not MARKS.isdisjoint(_NAME.findall(value.lower())) and not (inside_article and _own_header(value)):
-            return True
+            doubt = True
         if name == "role" and value.lower() in ROLES or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return "skip"
         if name == "style" and "display:none" in value.lower().replace(" ", ""):
-            return True
-    return any(name == "hidden" for name, _ in attrs)
+            return "skip"
+    return "doubt" if doubt else ""
 
 
 class _Lines(HTMLParser):
@@ -67,27 +73,58 @@ class _Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, str]] = []  # (tag, what it does: "", "skip", "article")
-        self.lines: list[tuple[str, int, int, bool]] = []
-        self.words: list[str] = []
+        self.open: list[tuple[str, str]] = []  # (tag, what it does: "", "skip", "doubt", "article")
+        self.found: list[tuple[list[tuple[str, tuple[int, ...]]], int, int, bool]] = []
+        self.words: list[tuple[str, tuple[int, ...]]] = []  # with the doubted elements around them
         self.tags = 0
         self.skipping = 0
+        self.doubts: tuple[int, ...] = ()
+        self.n_doubts = 0
+        self.holds: dict[int, tuple[int, ...]] = {}  # article number: doubted elements around it
         self.articles: list[int] = []
         self.n_articles = 0
         self.heading = False
 
     def end_line(self) -> None:
-        text = SPACE.sub(" ", "".join(self.words)).strip()
-        if text:
-            self.lines.append((text, self.tags, self.articles[0] if self.articles else 0, self.heading))
+        if any(not data.isspace() for data, _ in self.words):
+            self.found.append((self.words, self.tags, self.articles[0] if self.articles else 0, self.heading))
             self.tags = 0
         self.words = []
         self.heading = False
 
+    def kept(self) -> list[tuple[str, int, int, bool]]:
+        """The lines without what stands in doubted elements.
+
+        A doubted element stays if it holds over half of the page's text, or an
+        article while no article with text stands outside of all doubted ones.
+        """
+        size: dict[int, int] = {}
+        total, free = 0, False
+        for words, _, article, _ in self.found:
+            for data, doubts in words:
+                n = len(SPACE.sub("", data))
+                total += n
+                free = free or bool(n and article and not doubts)
+                for d in doubts:
+                    size[d] = size.get(d, 0) + n
+        stays = {d for d, n in size.items() if 2 * n > total}
+        if not free:
+            stays.update(d for doubts in self.holds.values() for d in doubts)
+        lines, passed = [], 0
+        for words, tags, article, heading in self.found:
+            text = SPACE.sub(" ", "".join(data for data, doubts in words if stays.issuperset(doubts))).strip()
+            passed += tags
+            if text:
+                lines.append((text, passed, article, heading))
+                passed = 0
+        return lines
+
     def _pop(self) -> None:
         tag, role = self.open.pop()
         if role == "skip":
             self.skipping -= 1
+        elif role == "doubt":
+            self.doubts = self.doubts[:-1]
         elif role == "article":
             self.articles.pop()
 
@@ -95,8 +132,19 @@ class _Lines(HTMLParser):
         while len(self.open) > i:
             self._pop()
 
+    def _leave_head(self, at_once: bool) -> None:
+        """Ends an open head; if not ``at_once``, only when nothing inside it is open."""
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i][0] == "head":
+                self._close(i)
+                return
+            if not at_once:
+                return
+
     def handle_starttag(self, tag, attrs):
         self.tags += 1
+        if tag not in IN_HEAD:
+            self._leave_head(tag == "body")
         if tag in BLOCK:
             self.end_line()
             for i in range(len(self.open) - 1, -1, -1):
@@ -110,17 +158,21 @@ class _Lines(HTMLParser):
                 if name in BLOCK:
                     break
         elif tag == "br":
-            self.words.append(" ")
+            self.words.append((" ", self.doubts))
         if tag in VOID:
             return
-        role = ""
-        if tag in HIDDEN or _unwanted(tag, attrs, bool(self.articles)):
-            role = "skip"
+        role = "skip" if tag in HIDDEN else _unwanted(tag, attrs, bool(self.articles))
+        if role == "skip":
             self.skipping += 1
+        elif role == "doubt":
+            self.n_doubts += 1
+            self.doubts += (self.n_doubts,)
         elif tag in ("article", "main"):
             role = "article"
             if not self.articles:
                 self.n_articles += 1
+                if self.doubts and not self.skipping:
+                    self.holds[self.n_articles] = self.doubts
             self.articles.append(self.n_articles)
         self.open.append((tag, role))
         if tag in HEADINGS:
@@ -135,6 +187,10 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCK:
             self.end_line()
+        own = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
+        if own is not None and self.open[own][1] == "skip":  # its own end always ends it, whatever is open inside
+            self._close(own)
+            return
         for i in range(len(self.open) - 1, -1, -1):
             name = self.open[i][0]
             if name == tag:
@@ -151,8 +207,10 @@ class _Lines(HTMLParser):
             return self.parse_bogus_comment(i)
 
     def handle_data(self, data):
+        if not data.isspace():
+            self._leave_head(False)
         if not self.skipping:
-            self.words.append(data)
+            self.words.append((data, self.doubts))
 
 
 def smoothed(ratios: list[float]) -> list[float]:
@@ -187,7 +245,7 @@ def main_text(html: str) -> str:
     parser.feed(html)
     parser.close()
     parser.end_line()
-    lines = parser.lines
+    lines = parser.kept()
     if not lines:
         return ""
     content = clusters([len(text) / max(1, tags) for text, tags, _, _ in lines])
@@ -208,7 +266,8 @@ def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFram
 
     Parser events cut a page into lines at block elements; scripts, styles,
     menus, headers, footers, sidebars, notices, adverts, forms and comments
-    never make lines.  Each line has the ratio of its characters to the tags
+    never make lines, unless a form or an element that is unwanted by its name
+    holds the article or over half of the page's text.  Each line has the ratio of its characters to the tags
     since the line before; smoothed ratios are split in two clusters.  Each
     marked article is a region, and so is all that no article holds; those with
     at least a quarter of the fullest one's content text come out.  An article
