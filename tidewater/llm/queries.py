@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import extraction, fingerprints, language_model, mixing, packing, quality, simhash, token_counts, topk, toxicity
+from tidewater.llm import extraction, fingerprints, language_model, merkle, mixing, packing, quality, simhash, token_counts, topk, toxicity
 from tidewater.llm.common import read_table
 
 BPE_FILE = "byte_bpe_50k.json"
@@ -56,6 +56,59 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE), limit=1024)
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    # Wider than a long, so that the largest long plus one is a number too.
+    tampered = [F.col("n_chars").cast("decimal(20,0)") + 1 if i == 3 else f for i, f in enumerate(fields)]
+    tested = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    made = merkle.manifest(docs, fields, tampered, tested, key="doc_id", tree="lang", arity=2)
+    proof = F.sha2("proof", 256).alias("proof_sha256")
+    return made.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", "verified")
+
+
+#: Fields, CRC-32 bit by bit, all levels of all trees, then two walks from the leaves to the root.
+OP13_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, n_chars, coalesce(CAST(strlen(CAST(doc_id AS VARCHAR)) AS VARCHAR) || ':' || CAST(doc_id AS VARCHAR), '-')
+      || coalesce(CAST(strlen(source) AS VARCHAR) || ':' || source, '-') || coalesce(CAST(strlen(lang) AS VARCHAR) || ':' || lang, '-') AS head,
+    coalesce(CAST(strlen(text) AS VARCHAR) || ':' || text, '-') AS tail,
+    xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+      lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END))) AS crc
+  FROM documents),
+n AS (SELECT doc_id, lang, sha256(head || coalesce(CAST(strlen(CAST(n_chars AS VARCHAR)) AS VARCHAR) || ':' || CAST(n_chars AS VARCHAR), '-') || tail) AS leaf,
+    sha256(head || coalesce(CAST(strlen(CAST(n_chars + 1 AS VARCHAR)) AS VARCHAR) || ':' || CAST(n_chars + 1 AS VARCHAR), '-') || tail) AS changed,
+    coalesce(crc % 7 = 0, false) AS tested
+  FROM d),
+leaves AS (SELECT doc_id, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, leaf, CASE WHEN tested THEN changed ELSE leaf END AS used,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n
+  FROM n),
+low AS (
+  SELECT 0 AS lvl, tree, pos, n, leaf AS digest FROM leaves
+  UNION ALL
+  SELECT lvl + 1, tree, pos // 2, any_value((n + 1) // 2), sha256(string_agg(digest, '' ORDER BY pos)) FROM low WHERE n > 1 GROUP BY lvl, tree, pos // 2),
+subroots AS (SELECT tree, digest, count(*) OVER () AS n FROM low WHERE n = 1),
+high AS (
+  SELECT 0 AS lvl, tree AS pos, n, digest FROM subroots
+  UNION ALL
+  SELECT lvl + 1, pos // 2, any_value((n + 1) // 2), sha256(string_agg(digest, '' ORDER BY pos)) FROM high WHERE n > 1 GROUP BY lvl, pos // 2),
+up AS (
+  SELECT row_number() OVER () AS id, 0 AS lvl, tree, pos, n, doc_id, leaf, used AS folded, '' AS proof FROM leaves
+  UNION ALL
+  SELECT u.id, u.lvl + 1, u.tree, u.pos // 2, (u.n + 1) // 2, u.doc_id, u.leaf,
+    sha256(CASE WHEN u.pos % 2 = 1 THEN s.digest || u.folded ELSE u.folded || coalesce(s.digest, '') END), u.proof || coalesce(s.digest, '')
+  FROM up u LEFT JOIN low s ON s.lvl = u.lvl AND s.tree = u.tree AND s.pos = xor(u.pos, 1) WHERE u.n > 1),
+over AS (
+  SELECT u.id, 0 AS lvl, u.tree AS pos, r.n, u.doc_id, u.leaf, r.digest AS subroot, u.folded, u.proof
+  FROM up u JOIN subroots r ON r.tree = u.tree WHERE u.n = 1
+  UNION ALL
+  SELECT o.id, o.lvl + 1, o.pos // 2, (o.n + 1) // 2, o.doc_id, o.leaf, o.subroot,
+    sha256(CASE WHEN o.pos % 2 = 1 THEN s.digest || o.folded ELSE o.folded || coalesce(s.digest, '') END), o.proof || coalesce(s.digest, '')
+  FROM over o LEFT JOIN high s ON s.lvl = o.lvl AND s.pos = xor(o.pos, 1) WHERE o.n > 1)
+SELECT o.doc_id, o.leaf, o.subroot, r.digest AS root, sha256(o.proof) AS proof_sha256, o.folded AS folded_root, o.folded = r.digest AS verified
+FROM over o, (SELECT digest FROM high WHERE n = 1) r WHERE o.n = 1
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_model": op1_language_model,
     "op2_pack": op2_pack,
@@ -67,7 +120,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_token_counts": op9_token_counts,
     "op10_extract": op10_extract,
+    "op13_merkle": op13_merkle,
 }
 
 #: Oracles where SQL can express the operator.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op13_merkle": OP13_SQL,
+}
