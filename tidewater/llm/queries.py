@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import extraction, fingerprints, language_model, merkle, mixing, packing, quality, simhash, token_counts, topk, toxicity
+from tidewater.llm import extraction, fingerprints, language_model, merkle, mixing, orchard, packing, quality, simhash, token_counts, topk, toxicity, transducer
 from tidewater.llm.common import read_table
 
 BPE_FILE = "byte_bpe_50k.json"
@@ -56,6 +56,50 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE), limit=1024)
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    tokenizer = public_tokenizers.path(BPE_FILE)
+    encoded = transducer.with_ids(docs, tokenizer, out="ids").drop("text")
+    decoded = transducer.with_text(encoded, tokenizer, ids="ids", out="decoded")
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orchard.cluster(read_table(spark, sf_dir, "embeddings"), k=16, rounds=3, scale=64, dim=64, seed=1)
+
+
+def _op12_sql(rounds: int) -> str:
+    """Every distance of every round, with the smallest taken; means by floor division of exact sums."""
+    distance = "CAST(list_sum(list_transform(list_zip(k.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT)"
+    ctes = []
+    for r in range(rounds + 1):
+        ctes.append(
+            f"""a{r} AS (SELECT rid, vec_id, v, cluster, distance FROM (
+  SELECT k.rid, k.vec_id, k.v, c.c AS cluster, {distance} AS distance FROM kept k, c{r} c)
+  QUALIFY row_number() OVER (PARTITION BY rid ORDER BY distance, cluster) = 1)"""
+        )
+        if r < rounds:
+            ctes.append(
+                f"""s{r} AS (SELECT cluster, i, sum(x) AS s, count(*) AS n FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY cluster, i),
+m{r} AS (SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM s{r} GROUP BY cluster),
+c{r + 1} AS (SELECT c.c, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN m{r} m ON m.cluster = c.c)"""
+            )
+    return f"""
+WITH kept AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')), vec_id NULLS LAST, v) - 1 AS c, v FROM kept QUALIFY c < 16),
+{", ".join(ctes)}
+SELECT a.vec_id, CAST(a.cluster AS INTEGER) AS cluster, a.distance, CAST(sum(a.distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(a.distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.c = a.cluster
+"""
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
@@ -120,10 +164,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_token_counts": op9_token_counts,
     "op10_extract": op10_extract,
+    "op11_bpe": op11_bpe,
+    "op12_clusters": op12_clusters,
     "op13_merkle": op13_merkle,
 }
 
 #: Oracles where SQL can express the operator.
 ORACLES: dict[str, str] = {
+    "op12_clusters": _op12_sql(rounds=3),
     "op13_merkle": OP13_SQL,
 }
