@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewater.functions.datetime import clock_seconds
+
 MS_PER_SECOND = 1000
 MS_PER_MINUTE = 60 * MS_PER_SECOND
 MS_PER_HOUR = 60 * MS_PER_MINUTE
@@ -20,12 +22,22 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def _micros(ts: Column) -> Column:
+    """Microseconds within the second."""
+    return (F.date_part(F.lit("SECOND"), ts) * 1_000_000).cast("long") % 1_000_000
+
+
 def duration_ms(start: Column | str, end: Column | str) -> Column:
     """Whole milliseconds from ``start`` to ``end``; NULL while ``end`` is NULL.
 
-    A negative span is an error, as in the reference (I15).
+    A negative span is an error, as in the reference (I15).  Between wall
+    clocks (NTZ) it is the span of the clocks: no session zone, no daylight saving.
     """
-    ms = F.timestamp_diff("MILLISECOND", _c(start), _c(end))
+    a, b = _c(start), _c(end)
+    micros = (clock_seconds(b) - clock_seconds(a)) * 1_000_000 + _micros(b) - _micros(a)
+    # typeof() is known before any row is read, so one of the two branches remains.
+    clocks = (F.typeof(a) == "timestamp_ntz") & (F.typeof(b) == "timestamp_ntz")
+    ms = F.when(clocks, (micros - micros % 1000) / 1000).otherwise(F.timestamp_diff("MILLISECOND", a, b)).cast("long")
     return F.when(ms < 0, F.raise_error(F.lit("duration must not be negative"))).otherwise(ms)
 
 
