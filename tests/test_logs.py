@@ -6,7 +6,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tidewater.functions.logs import parse_error_lines, render_log_line
+from tests.plan_utils import explain_text
+from tidewater.functions.logs import ERROR_LINE_PATTERN, parse_error_lines, render_log_line
 from tidewater.plans import views
 from tidewater.plans.error_logs import extract_errors
 
@@ -77,3 +78,34 @@ def test_render_fields(spark):
         ).alias("l")
     ).first().l
     assert line == "S ERROR 1 --- [A] [  t] c     : m"
+
+
+def _by_extract(spark, lines):
+    """The same groups by test and extraction, one run of the pattern each."""
+    df = spark.createDataFrame([(x,) for x in lines], "log_line STRING")
+    line = F.col("log_line")
+    rows = df.filter(line.rlike(ERROR_LINE_PATTERN)).select(*[F.regexp_extract(line, ERROR_LINE_PATTERN, g) for g in (1, 3, 4)])
+    return [tuple(r) for r in rows.collect()]
+
+
+def test_one_run_of_the_pattern_equals_test_and_extraction(spark):
+    lines = [
+        GOOD, "", None, "ERROR", GOOD + "\nsecond line: x", GOOD + "\r\n", "\n" + GOOD, GOOD.replace("boom", "$1 \\\\ $9"),
+        GOOD.replace("boom", "a\u0000b\u0001c\u0002d\u0003"), "\u0000" + GOOD, GOOD.replace("AppOne", "App\u0000One"),
+        GOOD.replace("restartedMain", "x\u0000\u0000y"), GOOD.replace("2024", "20\u000024"), "\u0000\u0000\u0000", "\u0000aT\u0000b ERROR 1 --- [x] : y",
+        GOOD.replace(" ERROR ", "\t ERROR\t"), GOOD.replace("ERROR", "INFO ERROR"), GOOD + ":", "é" + GOOD, GOOD.replace("x.", "\u2028x:"),
+    ]
+    assert _parse(spark, lines) == _by_extract(spark, lines)
+    assert len(_by_extract(spark, lines)) > 8
+
+
+def test_a_line_runs_through_the_pattern_once(spark):
+    df = spark.createDataFrame([(GOOD,)], "log_line STRING")
+    plan = explain_text(parse_error_lines(df), "simple")
+    assert plan.count("regexp_replace(") == 1 and "regexp_extract" not in plan and "RLIKE" not in plan.upper()
+
+
+def test_an_own_pattern_may_match_anywhere(spark):
+    df = spark.createDataFrame([("x 2024T1 z [app] !:boom",)], "log_line STRING")
+    rows = parse_error_lines(df, pattern=r"(\d+T\d)( z) \[(\w+)\] !(:.*)").collect()
+    assert [tuple(r) for r in rows] == [("2024T1", "app", ":boom")]

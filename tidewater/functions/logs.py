@@ -61,6 +61,42 @@ def is_error_line(line: Column | str = LOG_LINE_COLUMN, pattern: str = ERROR_LIN
     return c.rlike(pattern)
 
 
+#: Stands before every group of a matching line; ``_ESCAPES`` keeps it out of the line itself.
+_SEPARATOR = "\u0000"
+_ESCAPES = (("\u0001", "\u0001\u0002"), ("\u0000", "\u0001\u0003"))
+
+
+def error_groups(line: Column) -> Column:
+    """An array with the date, application and message of the line, or an empty array; one run of the pattern.
+
+    The match, and what follows it on further lines, is replaced by its groups
+    with a separator before each; a line that does not match stays as it is and
+    has no separator.  Separators in the line are escaped first, which the
+    pattern cannot tell from the characters themselves: neither is a space, a
+    digit, a letter, a bracket or a colon.
+    """
+    held = line.contains(_SEPARATOR) | line.contains(_ESCAPES[0][0])
+    escaped = line
+    for character, stand_in in _ESCAPES:
+        escaped = F.replace(escaped, F.lit(character), F.lit(stand_in))
+
+    def plain(group: Column) -> Column:
+        for character, stand_in in reversed(_ESCAPES):
+            group = F.replace(group, F.lit(stand_in), F.lit(character))
+        return group
+
+    groups = "".join(f"{_SEPARATOR}${n}" for n in (DATETIME_GROUP, APPLICATION_GROUP, MESSAGE_GROUP))
+    marked = F.regexp_replace(F.when(held, escaped).otherwise(line), f"{ERROR_LINE_PATTERN}(?s:.*)", groups)
+
+    def parts(text: Column) -> Column:
+        return F.slice(F.split(text, _SEPARATOR), 2, 3)
+
+    def unescaped(found: Column) -> Column:
+        return F.when(held, F.transform(found, plain)).otherwise(found)
+
+    return F.transform(F.filter(F.transform(F.array(marked), parts), lambda p: F.size(p) == 3), unescaped)
+
+
 def parse_error_lines(
     lines: DataFrame,
     line_column: str = LOG_LINE_COLUMN,
@@ -70,12 +106,16 @@ def parse_error_lines(
     """Keep matching lines and extract datetime / application / message.
 
     Pure per-row expressions: a narrow stage, no shuffle, runs unchanged on a
-    streaming frame.  NULL lines drop out of the filter.
+    streaming frame.  NULL lines drop out of the filter.  With the default
+    pattern a line that contains ``ERROR`` runs through it once; an own pattern,
+    which may match anywhere, is tested and then read group by group.
     """
     line = F.col(line_column)
+    names = ("datetime", "application", "error_message")
+    if pattern == ERROR_LINE_PATTERN:
+        # The array is made once, by the generator; a filter on it would be pushed below and make it again.
+        found = lines.filter(line.contains("ERROR")).select(*keep, F.explode(error_groups(line)).alias("_groups"))
+        return found.select(*keep, *[F.col("_groups")[i].alias(n) for i, n in enumerate(names)])
     return lines.filter(is_error_line(line, pattern)).select(
-        *keep,
-        F.regexp_extract(line, pattern, DATETIME_GROUP).alias("datetime"),
-        F.regexp_extract(line, pattern, APPLICATION_GROUP).alias("application"),
-        F.regexp_extract(line, pattern, MESSAGE_GROUP).alias("error_message"),
+        *keep, *[F.regexp_extract(line, pattern, g).alias(n) for g, n in zip((DATETIME_GROUP, APPLICATION_GROUP, MESSAGE_GROUP), names)]
     )
