@@ -115,3 +115,9 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     """A fresh, unique location below the shared checkpoint folder."""
     root = checkpoint_root(spark).rstrip("/")
     return "/".join([root, "tidewater", *parts, uuid.uuid4().hex])
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` is there, in whatever file system it names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
