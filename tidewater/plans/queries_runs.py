@@ -194,6 +194,36 @@ def q_runs_page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.history_page_facts(_runs(spark, sf_dir), PAGE, PAGE_SIZE)
 
 
+_NUMBERED_SQL = f"""{_RUNS}, o AS (SELECT {_BASE_COLS}, row_number() OVER (ORDER BY start_time DESC, execution_id DESC) AS record_number,
+  count(*) OVER () AS n FROM runs)"""
+
+
+@register(
+    "runs_record_numbers",
+    "F05 F07",
+    f"""{_NUMBERED_SQL} SELECT {_BASE_COLS}, record_number, (record_number - 1) // {PAGE_SIZE} AS page,
+  CAST((record_number - 1) % {PAGE_SIZE} AS INTEGER) AS place FROM o""",
+)
+def q_runs_record_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every run with its exact place in the sorted history."""
+    return R.numbered_history(R.history_index(_base(_runs(spark, sf_dir))), PAGE_SIZE)
+
+
+@register(
+    "runs_page_middle",
+    "F05 F06 F07",
+    f"""{_NUMBERED_SQL}, p AS (SELECT *, (n // {PAGE_SIZE}) // 2 AS number, CAST(ceil(n / {PAGE_SIZE}.0) AS INTEGER) AS pages FROM o)
+SELECT {_BASE_COLS}, record_number, n AS total_records, CAST(number AS INTEGER) AS current_page, {PAGE_SIZE} AS page_size, pages AS total_pages,
+  number + 1 < pages AS has_next, number > 0 AS has_previous, number = 0 AS is_first, number + 1 >= pages AS is_last,
+  'Page ' || (number + 1) || ' of ' || pages AS header, CAST(number * {PAGE_SIZE} AS INTEGER) AS first_result, {PAGE_SIZE} AS max_results
+FROM p WHERE record_number > number * {PAGE_SIZE} AND record_number <= (number + 1) * {PAGE_SIZE}""",
+)
+def q_runs_page_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page in the middle of all runs, with its facts: reads the range or two it lies in."""
+    index = R.history_index(_base(_runs(spark, sf_dir)))
+    return R.indexed_page(index, (index.total // PAGE_SIZE) // 2, PAGE_SIZE)
+
+
 @register(
     "runs_stop_match",
     "D10",

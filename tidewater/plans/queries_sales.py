@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as _dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.functions.datetime import year_month
 from tidewater.plans import views
+from tidewater.plans.daily_store import DailyStore
 from tidewater.plans.registry import register
 from tidewater.plans.sales_report import (
     backfill_reports,
@@ -150,7 +154,7 @@ def q_report_empty_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All months are written, then again after the sales of one month were withdrawn: that month ends empty."""
     path = scratch_path(spark, "sales_report_emptied")
     sales, products = views.sales(spark, sf_dir), views.products(spark, sf_dir)
-    withdrawn = F.date_format("timestamp", "yyyy-MM") == EMPTIED_MONTH
+    withdrawn = year_month("timestamp") == EMPTIED_MONTH
     for source in (sales, sales.filter(~withdrawn)):
         persist_reports(backfill_reports(source, products, BACKFILL_MONTHS), path, months=BACKFILL_MONTHS)
     return spark.read.parquet(path).select("product", "date", "sale", F.col("month").cast("string").alias("month"))
@@ -174,3 +178,18 @@ def q_monthly_sales_report_lenient(spark: SparkSession, sf_dir: str) -> DataFram
         F.col("price").cast("string").alias("price"),
     )
     return monthly_sales_report(sales, views.products(spark, sf_dir), validate_month(REPORT_MONTH), lenient=True)
+
+
+@register("report_incremental", "E01 E07 G02 K02", _REPORT_SQL)
+def q_report_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report month arrives in two loads: all days up to its 15th, then the days after the high-water mark.
+
+    A third load up to the same day finds nothing to do.  The report reads the
+    stored days and no sales.
+    """
+    sales, products = views.sales(spark, sf_dir), views.products(spark, sf_dir)
+    store = DailyStore(spark, scratch_path(spark, "daily_sales"), sales.schema["product_id"].dataType)
+    middle, end = _dt.date.fromisoformat(f"{REPORT_MONTH}-15"), _dt.date.fromisoformat(f"{REPORT_MONTH}-31")
+    for until in (middle, end, end):
+        store.load(sales, until)
+    return store.report(products, REPORT_MONTH)

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from tidewater.functions.duration import duration_ms, duration_text
 from tidewater.functions.text import fill_positional, problem_reason
 from tidewater.operators.latest import latest_per_group, top_one
-from tidewater.operators.paging import page, page_summary
+from tidewater.operators.paging import page, page_facts, page_summary
+from tidewater.operators.rank_index import RankIndex, build_rank_index
 
 # Run states, exit messages and exit codes of the task lifecycle.
 RUNNING, SUCCESSFUL, FAILED = "RUNNING", "SUCCESSFUL", "FAILED"
@@ -162,7 +163,7 @@ def latest_run(runs: DataFrame, job_name: str) -> DataFrame:
 
 def latest_runs(runs: DataFrame, names: Sequence[str]) -> DataFrame:
     """The newest run of each named job."""
-    return latest_per_group(runs.filter(F.col("job_name").isin(list(names))), "job_name", HISTORY_ORDER)
+    return latest_per_group(runs.filter(F.col("job_name").isin(list(names))), "job_name", HISTORY_ORDER, unique=True)
 
 
 def parse_sort(sort: Sequence[str] | None) -> list[tuple[str, bool]]:
@@ -188,11 +189,35 @@ def parse_sort(sort: Sequence[str] | None) -> list[tuple[str, bool]]:
 def history_page(runs: DataFrame, number: int, size: int, sort: Sequence[str] | None = None) -> DataFrame:
     """One page of the history (F05): newest first, or by ``sort`` keys.
 
-    Deep pages: ``operators.paging.page_after`` with the last key seen.
+    Deep pages: ``history_index`` and ``indexed_page``, or a walk by ``operators.paging.page_after``.
     """
     return page(runs, number, size, parse_sort(sort))
 
 
+def history_index(runs: DataFrame, sort: Sequence[str] | None = None, root: str | None = None) -> RankIndex:
+    """The history in order with its record numbers, for pages at any depth."""
+    return build_rank_index(runs, parse_sort(sort), root)
+
+
+def numbered_history(index: RankIndex, size: int) -> DataFrame:
+    """Every run with its record number (from 1), its page (from 0) and its place there (from 0)."""
+    if size < 1:
+        raise ValueError("a page holds one record at least")
+    at = F.col("record_number") - 1
+    return index.numbered("record_number").withColumns(
+        {"page": ((at - at % size) / size).cast("long"), "place": (at % size).cast("int")}
+    )
+
+
+def indexed_page(index: RankIndex, number: int, size: int) -> DataFrame:
+    """Page ``number`` (0-based) in order, with record numbers and the facts of the page envelope.
+
+    Reads the ranges that the page overlaps; only the page itself is sorted.
+    """
+    facts = page_facts(F.lit(index.total), number, size)
+    return index.page(number, size, "record_number").select("*", *facts).orderBy("record_number")
+
+
 def history_page_facts(runs: DataFrame, number: int, size: int) -> DataFrame:
     return page_summary(runs, number, size)
 

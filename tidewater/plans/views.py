@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.functions.datetime import format_utc_offset
+from tidewater.functions.datetime import render, year_month
 from tidewater.functions.logs import render_log_line
 
 TABLES = (
@@ -42,8 +42,8 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Thread names of the rendered log lines.
-THREADS = ("restartedMain", "shutdown-hook-0", "connectionPool-1")
+#: Thread names of the rendered log lines.
+THREADS = ("http-worker", "nightly-batch", "queue-reader-2")
 
 
 def log_fields(events: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def log_fields(events: DataFrame) -> DataFrame:
     ).otherwise(THREADS[2])
     return events.select(
         F.col("event_id"),
-        format_utc_offset("ts").alias("stamp"),
+        render("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("stamp"),
         F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO").alias("level"),
         F.col("user_id").alias("pid"),
         F.concat(F.lit("App"), (F.col("event_id") % 5).cast("string")).alias("application"),
@@ -87,7 +87,7 @@ SELECT event_id,
   strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' || ' '
   || CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END || ' '
   || CAST(user_id AS VARCHAR) || ' --- [App' || CAST(event_id % 5 AS VARCHAR) || '] [  '
-  || CASE event_id % 3 WHEN 0 THEN 'restartedMain' WHEN 1 THEN 'shutdown-hook-0' ELSE 'connectionPool-1' END
+  || CASE event_id % 3 WHEN 0 THEN 'http-worker' WHEN 1 THEN 'nightly-batch' ELSE 'queue-reader-2' END
   || '] com.example.events.' || upper(substr(event_type, 1, 1)) || lower(substr(event_type, 2)) || 'Handler'
   || '     : ' || event_type || ' handled at file_' || CAST(user_id AS VARCHAR)
   || '.log. Cause value ' || printf('%.2f', value) AS log_line
@@ -107,7 +107,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     exit_code = (
         F.when(F.col("event_id") % 7 == 0, 1).when(F.col("event_id") % 11 == 0, 2).otherwise(0)
     )
-    month = F.date_format("ts", "yyyy-MM")
+    month = year_month("ts")
     invalid_date = F.col("event_type") == "purchase"
     return e.select(
         F.col("event_type").alias("job_name"),
