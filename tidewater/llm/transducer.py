@@ -29,6 +29,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -51,13 +52,14 @@ PIECE = regex.compile(
 )
 #: A lone space between two non-white characters.
 CUT = re.compile(rf"(?<=[^{WHITE}]) (?=[^{WHITE}])")
-#: White space other than lone spaces and lone line ends between non-white characters.
-UNEVEN = re.compile(rf"[{WHITE}][{WHITE}]|\A[{WHITE}]|[{WHITE}]\Z|[{OTHER_WHITE}]")
+#: What text with lone spaces and lone line ends only does not hold.
+UNEVEN = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c")
+OTHER = re.compile(f"[{OTHER_WHITE}]")
 RUNS = [regex.compile(p) for p in (r"\p{L}+", r"\p{N}+", rf"[^{WHITE}\p{{L}}\p{{N}}]+", rf"[{WHITE}]+")]
 #: Characters read at a time; also the longest run kept before it goes on in parts.
 WINDOW = 1 << 15
-#: Units remembered per worker, and the longest of them in characters; beyond the first the memory starts afresh.
-MEMORY, LONGEST_UNIT = 300_000, 64
+#: Units remembered per worker (twice: a full memory becomes the older one), and the longest of them in characters.
+MEMORY, LONGEST_UNIT = 200_000, 64
 #: Bytes of a piece that no piece encoder emits early (its window is larger).
 SHORT_PIECE = 256
 
@@ -74,8 +76,12 @@ class Merges:
 
     def __init__(self, byte_ids: list[int], rules: list[tuple[int, int, int]], lengths: dict[int, int]):
         self.byte_ids, self.rules, self.lengths = byte_ids, rules, lengths
-        self.pairs = {(a, b): (rank, made) for rank, (a, b, made) in enumerate(rules)}
-        self.none = (len(rules), -1)  # ranks after every merge
+        #: By left id: the ranks of its merges by right id.  By rank: the id made.
+        self.ranks: dict[int, dict[int, int]] = {i: {} for i in lengths}
+        for rank, (a, b, _) in enumerate(rules):
+            self.ranks.setdefault(a, {})[b] = rank
+        self.made = [made for *_, made in rules]
+        self.never = len(rules)
         self.longest = max(lengths.values())
         known = set(byte_ids)
         for a, b, made in rules:
@@ -89,35 +95,32 @@ class Merges:
         return self._short(ids) if len(ids) <= 24 else self._long(ids)
 
     def _short(self, ids: list[int]) -> list[int]:
-        pairs, none = self.pairs, self.none
-        found = [pairs.get(p, none) for p in zip(ids, ids[1:])]
+        ranks, made, never = self.ranks, self.made, self.never
+        found = [ranks[a].get(b, never) for a, b in zip(ids, ids[1:])]
         while found:
             best = min(found)
-            if best is none:
+            if best == never:
                 break
             i = found.index(best)  # the leftmost of the lowest rank
-            ids[i : i + 2] = [best[1]]
-            del found[i]
+            new = ids[i] = made[best]
+            del ids[i + 1], found[i]
             if i:
-                found[i - 1] = pairs.get((ids[i - 1], ids[i]), none)
+                found[i - 1] = ranks[ids[i - 1]].get(new, never)
             if i < len(found):
-                found[i] = pairs.get((ids[i], ids[i + 1]), none)
+                found[i] = ranks[new].get(ids[i + 1], never)
         return ids
 
     def _long(self, ids: list[int]) -> list[int]:
-        n, pairs = len(ids), self.pairs
+        n, ranks, never = len(ids), self.ranks, self.never
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(pairs[p][0], i) for i, p in enumerate(zip(ids, ids[1:])) if p in pairs]
+        heap = [(r, i) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (r := ranks[a].get(b, never)) != never]
         heapq.heapify(heap)
         while heap:
             rank, i = heapq.heappop(heap)
             j = after[i]
-            if ids[i] < 0 or j >= n:
-                continue
-            now = pairs.get((ids[i], ids[j]))
-            if now is None or now[0] != rank:
+            if ids[i] < 0 or j >= n or ranks[ids[i]].get(ids[j], never) != rank:
                 continue  # one of the two has merged since
-            ids[i], ids[j] = now[1], -1
+            ids[i], ids[j] = self.made[rank], -1
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
@@ -127,9 +130,9 @@ class Merges:
         return [i for i in ids if i >= 0]
 
     def _push(self, heap: list, ids: list[int], i: int, j: int) -> None:
-        pair = self.pairs.get((ids[i], ids[j]))
-        if pair:
-            heapq.heappush(heap, (pair[0], i))
+        rank = self.ranks[ids[i]].get(ids[j], self.never)
+        if rank != self.never:
+            heapq.heappush(heap, (rank, i))
 
     def lookahead(self) -> int:
         """Bytes that must follow a token's end before it is stable: the heaviest chain of merges (see the module text).
@@ -228,7 +231,9 @@ class Encoder:
         self.special = {s: self._pack([i]) for s, i in vocabulary.special.items()}
         self.special_cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.special_tail = max(map(len, self.special), default=1) - 1
+        #: Ids of units met lately, and of those met before them; never None or empty.
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.text = ""
         self.run: tuple[regex.Pattern, PieceEncoder] | None = None
 
@@ -339,42 +344,49 @@ class Encoder:
             ids += piece.finish()
         return self._pack(ids), text[end:]
 
+    @staticmethod
+    def _even(text: str) -> bool:
+        """No white space but lone spaces and lone line ends between non-white characters, a space in front allowed."""
+        if any(u in text for u in UNEVEN) or text[0] == "\n" or text[-1] in " \n":
+            return False
+        return text.isascii() or not OTHER.search(text)
+
     def _whole(self, text: str) -> bytes:
         """Ids of text that nothing changes from outside."""
         if not text:
             return b""
-        if not UNEVEN.search(text[1:] if text[0] == " " else text):
-            known, out = self.memory, []
+        if self._even(text):
+            out = []
             for n, line in enumerate(text.split("\n")):
                 if n:
                     out.append(self._unit("\n"))
                 first, *rest = line.split(" ")
                 if first:
                     out.append(self._unit(first))
+                known = self.memory
                 out += [known.get(u) or self._unit(u) for u in [" " + w for w in rest]]
             return b"".join(out)
         return b"".join([self._unit(m) for m in PIECE.findall(text)])
 
     def _unit(self, unit: str) -> bytes:
         """Ids of a pre-token, or of a few that start with a lone space."""
-        found = self.memory.get(unit)
-        if found is not None:
-            return found
-        ids: list[int] = []
-        for piece in PIECE.findall(unit):
-            data = piece.encode()
-            if len(data) <= SHORT_PIECE:
-                # What a piece encoder that holds it all would emit at its end.
-                ids += self.merges.merge(data)
-            else:
-                stream = PieceEncoder(self.merges, self.lookahead)
-                ids += stream.feed(data) + stream.finish()
-        out = self._pack(ids)
+        found = self.memory.get(unit) or self.older.get(unit)
+        if found is None:
+            pieces = PIECE.findall(unit)
+            found = self._piece(unit) if len(pieces) == 1 else b"".join([self.memory.get(p) or self._unit(p) for p in pieces])
         if len(unit) <= LONGEST_UNIT:
             if len(self.memory) >= MEMORY:
-                self.memory.clear()
-            self.memory[unit] = out
-        return out
+                self.memory, self.older = {}, self.memory
+            self.memory[unit] = found
+        return found
+
+    def _piece(self, piece: str) -> bytes:
+        data = piece.encode()
+        if len(data) <= SHORT_PIECE:
+            # What a piece encoder that holds it all would emit at its end.
+            return array("i", self.merges.merge(data)).tobytes()
+        stream = PieceEncoder(self.merges, self.lookahead)
+        return self._pack(stream.feed(data) + stream.finish())
 
 
 #: First and last allowed second byte after the lead bytes that narrow it (no overlong forms, no surrogates, no more than U+10FFFF).
