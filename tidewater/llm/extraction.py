@@ -35,6 +35,8 @@ MARKS = frozenset(
     " notice notices notification overlay pagination popup promo promoted related reply replies responses share sharing"
     " sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Those among them that mark what readers wrote: never the page's own text, however long it is.
+READERS = frozenset("comment comments commentlist discussion disqus replies reply responses".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 _NAME = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
@@ -73,9 +75,11 @@ class _Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, str]] = []  # (tag, what it does: "", "skip", "doubt", "article")
-        self.found: list[tuple[list[tuple[str, tuple[int, ...]]], int, int, bool]] = []
-        self.words: list[tuple[str, tuple[int, ...]]] = []  # with the doubted elements around them
+        self.open: list[tuple[str, str]] = []  # (tag, what it does: "", "skip", "doubt", "article", "link")
+        self.found: list[tuple[list[tuple[str, tuple[int, ...], bool]], int, int, bool]] = []
+        self.readers: set[int] = set()  # doubted elements that hold what readers wrote
+        self.words: list[tuple[str, tuple[int, ...], bool]] = []  # with the doubted elements around them, and: inside a link?
+        self.links = 0
         self.tags = 0
         self.skipping = 0
         self.doubts: tuple[int, ...] = ()
@@ -86,36 +90,39 @@ class _Lines(HTMLParser):
         self.heading = False
 
     def end_line(self) -> None:
-        if any(not data.isspace() for data, _ in self.words):
+        if any(not data.isspace() for data, _, _ in self.words):
             self.found.append((self.words, self.tags, self.articles[0] if self.articles else 0, self.heading))
             self.tags = 0
         self.words = []
         self.heading = False
 
-    def kept(self) -> list[tuple[str, int, int, bool]]:
-        """The lines without what stands in doubted elements.
+    def kept(self) -> list[tuple[str, int, int, bool, bool]]:
+        """The lines without what stands in doubted elements; the last field: is half of it or more link text?
 
-        A doubted element stays if it holds over half of the page's text, or an
-        article while no article with text stands outside of all doubted ones.
+        A doubted element stays if it holds over half of the page's text (unless
+        its name says that readers wrote it), or an article while no article with
+        text stands outside of all doubted ones.
         """
         size: dict[int, int] = {}
         total, free = 0, False
         for words, _, article, _ in self.found:
-            for data, doubts in words:
+            for data, doubts, _ in words:
                 n = len(SPACE.sub("", data))
                 total += n
                 free = free or bool(n and article and not doubts)
                 for d in doubts:
                     size[d] = size.get(d, 0) + n
-        stays = {d for d, n in size.items() if 2 * n > total}
+        stays = {d for d, n in size.items() if 2 * n > total and d not in self.readers}
         if not free:
             stays.update(d for doubts in self.holds.values() for d in doubts)
         lines, passed = [], 0
         for words, tags, article, heading in self.found:
-            text = SPACE.sub(" ", "".join(data for data, doubts in words if stays.issuperset(doubts))).strip()
+            own = [(data, link) for data, doubts, link in words if stays.issuperset(doubts)]
+            text = SPACE.sub(" ", "".join(data for data, _ in own)).strip()
             passed += tags
             if text:
-                lines.append((text, passed, article, heading))
+                linked = sum(len(SPACE.sub("", data)) for data, link in own if link)
+                lines.append((text, passed, article, heading, 2 * linked >= len(text.replace(" ", ""))))
                 passed = 0
         return lines
 
@@ -127,6 +134,8 @@ class _Lines(HTMLParser):
             self.doubts = self.doubts[:-1]
         elif role == "article":
             self.articles.pop()
+        elif role == "link":
+            self.links -= 1
 
     def _close(self, i: int) -> None:
         while len(self.open) > i:
@@ -158,7 +167,7 @@ class _Lines(HTMLParser):
                 if name in BLOCK:
                     break
         elif tag == "br":
-            self.words.append((" ", self.doubts))
+            self.words.append((" ", self.doubts, False))
         if tag in VOID:
             return
         role = "skip" if tag in HIDDEN else _unwanted(tag, attrs, bool(self.articles))
@@ -167,6 +176,11 @@ class _Lines(HTMLParser):
         elif role == "doubt":
             self.n_doubts += 1
             self.doubts += (self.n_doubts,)
+            if any(value and name in ("class", "id") and not READERS.isdisjoint(_NAME.findall(value.lower())) for name, value in attrs):
+                self.readers.add(self.n_doubts)
+        elif tag == "a":
+            role = "link"
+            self.links += 1
         elif tag in ("article", "main"):
             role = "article"
             if not self.articles:
@@ -210,7 +224,7 @@ class _Lines(HTMLParser):
         if not data.isspace():
             self._leave_head(False)
         if not self.skipping:
-            self.words.append((data, self.doubts))
+            self.words.append((data, self.doubts, self.links > 0))
 
 
 def smoothed(ratios: list[float]) -> list[float]:
@@ -248,16 +262,22 @@ def main_text(html: str) -> str:
     lines = parser.kept()
     if not lines:
         return ""
-    content = clusters([len(text) / max(1, tags) for text, tags, _, _ in lines])
+    content = clusters([len(text) / max(1, tags) for text, tags, *_ in lines])
     # The text lies in the regions that the content clusters lie in: marked articles, or what no article holds (0).
-    weight = {a: sum(len(t) for (t, _, own, _), c in zip(lines, content) if c and own == a) for _, _, a, _ in lines}
+    weight: dict[int, int] = {}
+    for (text, _, own, *_), c in zip(lines, content):
+        weight[own] = weight.get(own, 0) + (len(text) if c else 0)
     largest = max(weight.values())
     regions = {a for a, w in weight.items() if w * 4 >= largest}
-    # All lines of an article belong to it; elsewhere the content does, and a heading right above content.
-    chosen = [own in regions and (own > 0 or c) for (_, _, own, _), c in zip(lines, content)]
-    for i in range(len(lines) - 2, -1, -1):
-        if lines[i][3] and not lines[i][2] and 0 in regions and chosen[i + 1] and not lines[i + 1][2]:
-            chosen[i] = True
+    # All lines of an article belong to it; elsewhere the content does, and what adjoins it without being links.
+    chosen = [own in regions and (own > 0 or c) for (_, _, own, *_), c in zip(lines, content)]
+    if 0 in regions:
+        for order in (range(1, len(lines)), range(len(lines) - 2, -1, -1)):
+            step = -1 if order.step > 0 else 1
+            for i in order:
+                _, _, own, _, linked = lines[i]
+                if not own and not linked and chosen[i + step] and not lines[i + step][2]:
+                    chosen[i] = True
     return "\n".join(line[0] for line, keep in zip(lines, chosen) if keep)
 
 
@@ -271,8 +291,8 @@ def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFram
     since the line before; smoothed ratios are split in two clusters.  Each
     marked article is a region, and so is all that no article holds; those with
     at least a quarter of the fullest one's content text come out.  An article
-    does so whole, the other region with its content lines and the headings
-    right above them.
+    does so whole, the other region with its content lines and the lines that
+    adjoin them and are not mostly links.  What readers wrote never comes out.
 
     NULL or empty html, and pages without text, give ""; broken markup is read
     as far as it goes; repeated rows come back each; an existing column named
