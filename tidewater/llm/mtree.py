@@ -1,4 +1,4 @@
-"""A paged M-tree over vectors, searched best-first.
+"""A paged M-tree over vectors, searched best-first by blocks of queries.
 
 Nodes are pages.  An entry holds a routing vector, the covering radius of what
 lies below it and the distance to its parent's routing vector; a leaf's entries
@@ -7,6 +7,11 @@ the stored parent distance bounds it by the triangle inequality:
 ``|d(q, parent) - d(entry, parent)| - radius``; entries whose bound is beyond
 the k-th best are passed over.
 
+A block of queries goes down together: a page is opened once for all queries of
+the block that may find something below it, the pages in the order of their
+smallest bound, and the distances of those queries to the entries that any of
+them cannot pass over are one matrix product.
+
 Inner products are searched as distances: a vector ``x`` gets one more
 component ``sqrt(M**2 - |x|**2)`` (``M``: the largest norm) and a query a 0, so
 that ``d**2 = |q|**2 + M**2 - 2 q.x`` falls as the product rises.  Distances
@@ -51,10 +56,14 @@ def _nearest(points: np.ndarray, seeds: np.ndarray) -> np.ndarray:
 
 
 class MTree:
-    """Bulk-loaded over ``vectors`` (integers as float64) with their ids; ``norm2``: at least the largest squared norm."""
+    """Bulk-loaded over ``vectors`` (integers as float64); ``norm2``: at least the largest squared norm.
+
+    ``ids`` decide ties and need not be unique; ``rows`` (the ids, unless given) tell the vectors apart.
+    """
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, norm2: float, page: int = PAGE):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, norm2: float, page: int = PAGE, rows: np.ndarray | None = None):
         self.ids, self.vectors, self.norm2, self.page = ids, vectors, norm2, page
+        self.row_ids = ids if rows is None else rows
         self.points = lift(vectors, norm2)
         self.nodes: list[Node] = []
         self.computed = 0  # distances to routing vectors and scores, for tests
@@ -97,45 +106,78 @@ class MTree:
         return len(self.nodes) - 1
 
     def search(self, query: np.ndarray, k: int, own: int | None = None, beyond: float = -np.inf) -> list[tuple[int, int]]:
-        """The k best (score, id) but ``own``, by score and then smaller id; rows under a score of ``beyond`` may be left out."""
-        q = np.r_[query, 0.0]
-        base = float(query @ query) + self.norm2
+        """The k best (score, id) for one query."""
+        score, at = self.search_block(query[None, :], k, np.array([-1 if own is None else own]), np.array([beyond]))
+        return [(int(s), int(self.ids[i])) for s, i in zip(score[0], at[0]) if i >= 0]
+
+    def search_block(self, queries: np.ndarray, k: int, own: np.ndarray, beyond: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(score, position) of the k best vectors of every query, by score, then id, then row; position -1 where there is none.
+
+        ``own``: the row that is no candidate of its query; a query's vectors under a score of ``beyond`` may be left out.
+        """
+        n = len(queries)
+        base = np.einsum("ij,ij->i", queries, queries) + self.norm2
         slack = SLACK * (1.0 + np.sqrt(base))
-        reach = lambda score: np.sqrt(max(base - 2.0 * score, 0.0)) + slack if score > -np.inf else np.inf
-        best: list[tuple[int, int]] = []  # heap of (score, -id): the worst of the best on top
-        limit = reach(beyond)
-        if self.root < 0:
-            return []
-        frontier = [(0.0, self.root, float(_distance(q[None, :], self.center)[0]))]
+        best, at = np.full((n, k), -np.inf), np.full((n, k), -1, np.int64)
+        if self.root < 0 or n == 0:
+            return best, at
+
+        def reach(score: np.ndarray, of: np.ndarray | slice) -> np.ndarray:
+            """Distance beyond which no score of ``score`` or more lies."""
+            known = np.isfinite(score)
+            return np.where(known, np.sqrt(np.maximum(base[of] - 2.0 * np.where(known, score, 0.0), 0.0)) + slack[of], np.inf)
+
+        limit = reach(beyond, slice(None))
+        lifted = np.c_[queries, np.zeros(n)]
+        everyone = np.arange(n)
+        turn = 0
+        # (smallest bound, turn, page, its queries, their bounds and distances to the page's routing vector)
+        frontier = [(0.0, turn, self.root, everyone, np.zeros(n), self._far(lifted, self.center[None, :])[:, 0])]
         while frontier:
-            bound, n, to_parent = heapq.heappop(frontier)
-            if bound > limit:
+            lowest, _, number, who, bound, to_parent = heapq.heappop(frontier)
+            if lowest > limit.max():
                 break
-            node = self.nodes[n]
-            gap = np.abs(to_parent - node.parent_distance)
-            if node.rows is None:
-                at = np.flatnonzero(gap - node.radius <= limit)
-                far = _distance(node.routing[at], q)
-                self.computed += len(at)
-                for c, d, r in zip(at, far, node.radius[at]):
-                    lower = max(bound, d - r)
-                    if lower <= limit:
-                        heapq.heappush(frontier, (lower, node.children[c], float(d)))
+            alive = bound <= limit[who]
+            who, bound, to_parent = who[alive], bound[alive], to_parent[alive]
+            if not len(who):
+                continue
+            node = self.nodes[number]
+            gap = np.abs(to_parent[:, None] - node.parent_distance)
+            if node.rows is not None:
+                met = gap <= limit[who][:, None]
+                some, entries = met.any(axis=1), met.any(axis=0)
+                if entries.any():
+                    self._take(queries, who[some], node.rows[entries], own, best, at)
+                    limit[who] = np.minimum(limit[who], reach(best[who, -1], who))
                 continue
-            rows = node.rows[gap <= limit]
-            self.computed += len(rows)
-            scores = self.vectors[rows] @ query
-            if len(best) == k:
-                keep = scores >= best[0][0]
-                rows, scores = rows[keep], scores[keep]
-            for s, i in zip(scores, self.ids[rows]):
-                if own is not None and i == own:
-                    continue
-                item = (int(s), -int(i))
-                if len(best) < k:
-                    heapq.heappush(best, item)
-                elif item > best[0]:
-                    heapq.heapreplace(best, item)
-            if len(best) == k:
-                limit = min(limit, reach(best[0][0]))
-        return [(s, -i) for s, i in sorted(best, key=lambda x: (-x[0], -x[1]))]
+            met = gap - node.radius <= limit[who][:, None]
+            entries = np.flatnonzero(met.any(axis=0))
+            far = self._far(lifted[who], node.routing[entries])
+            lower = np.maximum(bound[:, None], far - node.radius[entries])
+            for j, c in enumerate(entries):
+                below = met[:, c] & (lower[:, j] <= limit[who])
+                if below.any():
+                    turn += 1
+                    heapq.heappush(frontier, (float(lower[below, j].min()), turn, node.children[c], who[below], lower[below, j], far[below, j]))
+        return best, at
+
+    def _far(self, lifted: np.ndarray, routing: np.ndarray) -> np.ndarray:
+        """Distances of all queries to all routing vectors; what cancellation may cost lies within the slack."""
+        self.computed += len(lifted) * len(routing)
+        squares = np.einsum("ij,ij->i", lifted, lifted)[:, None] + np.einsum("ij,ij->i", routing, routing)
+        return np.sqrt(np.maximum(squares - 2.0 * (lifted @ routing.T), 0.0))
+
+    def _take(self, queries: np.ndarray, who: np.ndarray, rows: np.ndarray, own: np.ndarray, best: np.ndarray, at: np.ndarray) -> None:
+        """Let ``rows`` stand against the best of the queries ``who``."""
+        self.computed += len(who) * len(rows)
+        scores = queries[who] @ self.vectors[rows].T
+        scores[self.row_ids[rows] == own[who][:, None]] = -np.inf
+        k = best.shape[1]
+        better = (scores >= best[who, -1:]) & (scores > -np.inf)
+        for i in np.flatnonzero(better.any(axis=1)):
+            q, new = who[i], np.flatnonzero(better[i])
+            place, score = np.r_[at[q], rows[new]], np.r_[best[q], scores[i, new]]
+            real = place >= 0
+            place, score = place[real], score[real]
+            first = np.lexsort((self.row_ids[place], self.ids[place], -score))[:k]
+            best[q, : len(first)], at[q, : len(first)] = score[first], place[first]
