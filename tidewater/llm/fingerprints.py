@@ -29,12 +29,14 @@ def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprin
     return docs.withColumn(out, fp(text_or_empty(text)))
 
 
-def _cuts(ids: DataFrame, key: str, n: int) -> list[float]:
-    """At most ``n - 1`` keys that deal the rows evenly into ranges."""
-    if n <= 1:
-        return []
-    found = ids.approxQuantile(key, [i / n for i in range(1, n)], 0.2 / n) if n <= 1000 else ids.approxQuantile(key, [i / n for i in range(1, n)], 0.0002)
-    return sorted(set(found))
+def _heads(rows: DataFrame, n: int) -> list[tuple[bool, int, int]]:
+    """First (no key, ~key, text hash) of at most ``n`` even ranges, largest keys first, NULL keys last.
+
+    ``rows``: the three columns ``none``, ``down``, ``h``, without texts; one row per range comes back.
+    """
+    ranged = rows.repartitionByRange(n, "none", "down", "h")
+    first = ranged.groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("none", "down", "h")).alias("head"))
+    return sorted({(r["head"]["none"], r["head"]["down"], r["head"]["h"]) for r in first.collect()})
 
 
 def edit_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -49,49 +51,39 @@ def edit_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     their text.  NULL text is empty; a lone document is its own next one; an
     empty table gives an empty result; other columns are not carried.
 
-    Plan: key quantiles give ranges, one shuffle brings the texts of a range
-    together, sorted.  The only texts that go to two ranges are those with a
-    range's first key, so that the range before it ends with its true
-    successor.  The driver sees one key per range.
+    Plan: ranges of (key, text hash) are cut without texts, so equal and NULL
+    keys spread over ranges too; range i then is task i.  One shuffle brings the
+    texts of a range together, sorted.  The only texts that go to two ranges are
+    those equal to a range's first row, so that the range before it ends with
+    its true successor.  The driver sees one row of numbers per range.
     """
     spark = docs.sparkSession
     ship_package(spark)
     key_type = docs.schema[key].dataType
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ids = docs.select(F.col(key).cast("double").alias("id"))
-    cuts = _cuts(ids.filter("id is not null"), "id", n)
-
-    @F.pandas_udf("int")
-    def range_of(s: pd.Series) -> pd.Series:
-        """Descending: range 0 holds the largest keys, the last one the NULLs."""
-        x = s.to_numpy(dtype=float, na_value=np.nan)
-        at = len(cuts) - np.searchsorted(cuts, x, side="right") if cuts else np.zeros(len(x), int)
-        return pd.Series(np.where(np.isnan(x), len(cuts) + 1, at).astype(np.int32))
-
-    heads = sorted((r["r"], r["head"]) for r in ids.select(range_of("id").alias("r"), "id").groupBy("r").agg(F.max("id").alias("head")).collect())
-    ranges = [r for r, _ in heads]
-    #: For a range's first key: the range before it (around the end), where it also ends the list.
-    before = {r: ranges[i - 1] for i, r in enumerate(ranges)}
-    first = dict(heads)
+    # ~k falls as k rises, for every long.
+    down = F.bitwise_not(F.coalesce(F.col("k").cast("long"), F.lit(0).cast("long")))
+    rows = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).withColumns(
+        {"none": F.col("k").isNull(), "down": down, "h": F.xxhash64("t")}
+    )
+    heads = _heads(rows.select("none", "down", "h"), n)
+    last = len(heads) - 1
 
     @F.pandas_udf("array<int>")
-    def places(s: pd.Series) -> pd.Series:
-        x = s.to_numpy(dtype=float, na_value=np.nan)
+    def places(none: pd.Series, down: pd.Series, h: pd.Series) -> pd.Series:
+        """Its range, and for a row equal to a range's first also the range before it (around the end), as -1 - range."""
         out = []
-        for v in x:
-            r = len(cuts) + 1 if v != v else len(cuts) - bisect.bisect_right(cuts, v)
-            head = first[r]
-            is_head = head is None or head == v
-            out.append([r, -before[r] - 1] if is_head else [r])
+        for row in zip(none.tolist(), down.tolist(), h.tolist()):
+            r = max(0, bisect.bisect_right(heads, row) - 1)
+            out.append([r, -1 - (r - 1 if r else last)] if row == heads[r] else [r])
         return pd.Series(out)
 
     dealt = (
-        docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t"))
-        .withColumn("place", F.explode(places(F.col("k").cast("double"))))
+        rows.withColumn("place", F.explode(places("none", "down", "h")))
         .withColumn("tail", F.col("place") < 0)
-        .withColumn("r", F.when(F.col("tail"), -F.col("place") - 1).otherwise(F.col("place")))
-        .repartition(n, "r")
-        .sortWithinPartitions("r", "tail", F.col("k").desc_nulls_last(), F.xxhash64("t"), "t")
+        .withColumn("r", F.when(F.col("tail"), -1 - F.col("place")).otherwise(F.col("place")))
+        .repartitionById(max(1, len(heads)), "r")
+        .sortWithinPartitions("r", "tail", "none", "down", "h", "t")
         .select("k", "t", "r", "tail")
     )
     schema = T.StructType(

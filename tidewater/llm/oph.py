@@ -15,26 +15,51 @@ SEED = 20
 _BIN_BITS = BINS.bit_length() - 1
 
 
-def _donors(rounds: int) -> np.ndarray:
-    """donors[r, b]: the bin that empty bin ``b`` asks in round ``r``; one fixed universal hash for all texts."""
-    r = np.arange(rounds, dtype=np.uint64)[:, None]
-    b = np.arange(BINS, dtype=np.uint64)[None, :]
-    x = (r << np.uint64(32)) + b + np.uint64(1)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)  # splitmix64
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return ((x ^ (x >> np.uint64(31))) >> np.uint64(64 - _BIN_BITS)).astype(np.int64)
+ROUNDS = 64  # of asking, made at a time
+_asked: list[np.ndarray] = []
 
 
-_DONORS = _donors(64)
+def _donors(chunk: int) -> np.ndarray:
+    """donors[r, b]: the bin that empty bin ``b`` asks in round ``chunk * ROUNDS + r``; one fixed universal hash for all texts."""
+    while len(_asked) <= chunk:
+        r = np.arange(len(_asked) * ROUNDS, (len(_asked) + 1) * ROUNDS, dtype=np.uint64)[:, None]
+        b = np.arange(BINS, dtype=np.uint64)[None, :]
+        x = (r << np.uint64(32)) + b + np.uint64(1)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)  # splitmix64
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        _asked.append(((x ^ (x >> np.uint64(31))) >> np.uint64(64 - _BIN_BITS)).astype(np.int16))
+    return _asked[chunk]
+
+
+def densified(values: np.ndarray, filled: np.ndarray) -> np.ndarray:
+    """Every empty bin asks bins in a fixed pseudo-random order of its own until it finds a filled one.
+
+    Rounds are made as they are needed, so every bin ends filled from the bin it
+    found: with k filled bins one round in ``BINS / k`` hits.  One filled bin
+    fills all without asking.
+    """
+    out = values.copy()
+    have = np.flatnonzero(filled)
+    if len(have) == 1:
+        out[:] = values[have[0]]
+        return out
+    empty, chunk = np.flatnonzero(~filled), 0
+    while len(empty):
+        donors = _donors(chunk)[:, empty]
+        hits = filled[donors]
+        found = hits.any(axis=0)
+        first = hits.argmax(axis=0)
+        out[empty[found]] = values[donors[first[found], np.flatnonzero(found)]]
+        empty, chunk = empty[~found], chunk + 1
+    return out
 
 
 def minima(text: str) -> np.ndarray | None:
     """The smallest shingle hash of every bin, empty bins filled; None for a text without words.
 
     Each shingle is hashed once: the top bits choose its bin, the rest is its
-    value.  An empty bin asks other bins in a fixed pseudo-random order of its
-    own until it finds a filled one (optimal densification), so two texts make
-    the same choice exactly when their filled bins allow it.
+    value.  Empty bins are filled by optimal densification (``densified``), so
+    two texts make the same choice exactly when their filled bins allow it.
     """
     shingles = word_shingles(ascii_words(text), WIDTH)
     if not shingles:
@@ -46,18 +71,7 @@ def minima(text: str) -> np.ndarray | None:
     values = np.zeros(BINS, np.uint64)
     filled = np.zeros(BINS, bool)
     values[bins[first]], filled[bins[first]] = hashes[first], True
-    empty, out = np.flatnonzero(~filled), values.copy()
-    for ask in _DONORS:
-        if not len(empty):
-            return out
-        donor = ask[empty]
-        hit = filled[donor]
-        out[empty[hit]] = values[donor[hit]]
-        empty = empty[~hit]
-    # Few filled bins: what is still empty takes the nearest filled one to its right, around the end.
-    have = np.flatnonzero(filled)
-    out[empty] = values[have[np.searchsorted(have, empty) % len(have)]]
-    return out
+    return densified(values, filled)
 
 
 def pack(values: np.ndarray | None) -> bytes:
