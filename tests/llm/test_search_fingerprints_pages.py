@@ -10,27 +10,49 @@ from tidewater.llm import extraction, fingerprints, oph, topk
 from tidewater.llm.mtree import MTree
 
 
-def plain_top(vectors: dict[int, np.ndarray], k: int) -> list[tuple]:
+def plain_top(rows: list[tuple[int, np.ndarray]], k: int) -> list[tuple]:
+    """Every row against every other, repeated ids included."""
     out = []
-    for q in sorted(vectors):
+    for at, (q, v) in enumerate(rows):
         if q % 50 == 0:
-            scored = sorted(((-int(v @ vectors[q]), i) for i, v in vectors.items() if i != q and len(v) == len(vectors[q])))[:k]
+            scored = sorted((-int(w @ v), i) for j, (i, w) in enumerate(rows) if j != at and len(w) == len(v))[:k]
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
-    return out
+    return sorted(out)
 
 
-def test_top_k_equals_brute_force_with_ties_and_bad_vectors(spark):
+def test_top_k_equals_brute_force_with_ties_repeats_and_bad_vectors(spark):
     rng = np.random.default_rng(2)
     data = [(i, [float(x) for x in rng.normal(0, 0.4, 8)]) for i in range(700)]
     data += [(i, data[0][1]) for i in range(700, 900)]  # copies of one vector
-    vectors = {i: np.floor(256 * np.float32(v).astype(float)) for i, v in data}
+    data += [(i % 120, [float(x) for x in rng.normal(0, 0.4, 8)]) for i in range(180)]  # ids that are there already, with other vectors
+    data += [data[50], data[50], data[7]]  # whole rows again
+    data += [(2000 + i, [float(x) for x in rng.normal(0, 0.4, 5)]) for i in range(60)]  # another length
+    data += [(3000, [0.5] * 3), (3001, [9.0] * 3)]  # fewer candidates than k
+    good = [(i, np.floor(256 * np.float32(v).astype(float))) for i, v in data]
     data += [(1000, None), (1050, [1.0, None] + [0.0] * 6), (1100, [float("nan")] * 8), (1150, [float("inf")] + [0.0] * 7), (1200, []), (None, [0.1] * 8)]
-    rows = spark.createDataFrame(data, "vec_id long, embedding array<float>").withColumn("rank", F.lit("x"))
+    rows = spark.createDataFrame(data, "vec_id long, embedding array<float>").withColumn("rank", F.lit("x")).withColumn("row", F.lit("x")).repartition(4)
     got = sorted(map(tuple, topk.top_k(rows, F.col("vec_id") % 50 == 0, tree_rows=150).collect()))
-    assert got == plain_top(vectors, 5)
+    assert got == plain_top(good, 5)
     assert topk.top_k(rows.limit(0), F.col("vec_id") % 50 == 0).collect() == []
 
 
+def test_a_block_finds_what_each_query_finds():
+    rng = np.random.default_rng(6)
+    vectors = np.floor(rng.normal(0, 40, (900, 12)))
+    vectors[100:160] = vectors[0]
+    ids = rng.integers(0, 500, 900)
+    tree = MTree(ids, vectors, float((vectors**2).sum(axis=1).max()), page=16, rows=np.arange(900))
+    asked = np.arange(0, 900, 7)
+    score, at = tree.search_block(vectors[asked], 5, asked, np.full(len(asked), -np.inf))
+    for q, own_scores, own_at in zip(asked, score, at):
+        all_scores = vectors @ vectors[q]
+        want = sorted((-all_scores[i], ids[i], i) for i in range(900) if i != q)[:5]
+        assert [(-s, ids[i], i) for s, i in zip(own_scores, own_at)] == want
+    bound = score[:, -1]
+    again = tree.search_block(vectors[asked], 5, asked, bound)
+    assert (again[0] == score).all() and (again[1] == at).all()  # ties at the bound are not lost
+
+
 def test_tree_skips_computations_and_stays_exact():
     rng = np.random.default_rng(4)
     centers = rng.normal(0, 300, (20, 6))
@@ -66,6 +88,54 @@ def test_edit_likeness_on_awkward_rows(spark):
     assert len(lone) == 1 and lone[0]["near_next"] == 1.0
 
 
+def plain_minima(text: str) -> list[int] | None:
+    """One-permutation MinHash with optimal densification, bin by bin."""
+    import xxhash
+
+    words = text.encode().lower().split()
+    if not words:
+        return None
+    shingles = {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+    bins: dict[int, int] = {}
+    for s in shingles:
+        h = xxhash.xxh3_64_intdigest(s, 20)
+        b = h >> 55
+        bins[b] = min(bins.get(b, h), h)
+    out = []
+    for b in range(512):
+        at, r = b, 0
+        while at not in bins:
+            x = ((r << 32) + b + 1) % 2**64
+            x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) % 2**64
+            x = ((x ^ x >> 27) * 0x94D049BB133111EB) % 2**64
+            at, r = (x ^ x >> 31) >> 55, r + 1
+        out.append(bins[at])
+    return out
+
+
+def test_minima_equal_the_plain_densification():
+    for n in (1, 4, 5, 6, 7, 9, 14, 40, 300, 5000):
+        text = " ".join(f"w{i * i % 1009}x{i}" for i in range(n))
+        assert oph.minima(text).tolist() == plain_minima(text), n
+    assert plain_minima(" ") is None
+
+
+def test_ties_and_null_keys_spread_over_the_ranges(spark):
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text number {i} with words of its own") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    made = fingerprints.edit_likeness(df)
+    sizes = sorted(r["count"] for r in made.groupBy(F.spark_partition_id().alias("p")).count().collect())
+    assert sum(sizes) == 900 and len(sizes) >= 6 and sizes[-1] < 3 * 900 / len(sizes)
+    # Every row has the true successor, whatever range it lies in.
+    order = {t: h for t, h in df.select("text", F.xxhash64("text")).collect()}
+    listed = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), order[r[1]]))
+    want = []
+    for (k, t), (_, nxt) in zip(listed, listed[1:] + listed[:1]):
+        cut = len(t) // 3
+        want.append((k, hashlib.sha256((t[: len(t) - cut] + nxt[:cut]).encode()).hexdigest()))
+    assert sorted([(r["doc_id"], r["edited_sha256"]) for r in made.collect()], key=repr) == sorted(want, key=repr)
+
+
 def test_likeness_estimates_jaccard():
     words = [f"w{i}" for i in range(1000)]
     for shared in (900, 600, 200):
@@ -95,6 +165,57 @@ def test_pages_without_article_use_the_text_density():
     assert got.count("Long running") == 30 and "x3" not in got
 
 
+def test_uniform_pages_keep_every_line():
+    lines = [" ".join(["Each sentence here is like the others."] * (1 + i * 7 % 4)) for i in range(20)]
+    assert extraction.main_text("<body>" + "".join(f"<p>{t}</p>" for t in lines) + "</body>").split("\n") == lines
+
+
+def test_comments_never_come_out_however_long():
+    thread = "<section class='comments'>" + "".join(f"<p>{'A reader says what readers say at length. ' * 5}</p>" for _ in range(20)) + "</section>"
+    story = "<h1>Title</h1><p>The story itself is short.</p><p>It has two paragraphs.</p>"
+    for page in (f"<article>{story}{thread}</article>", f"<article>{story}</article>{thread}", f"<body>{story}{thread}</body>", f"<main>{thread}{story}</main>"):
+        assert extraction.main_text(page) == "Title\nThe story itself is short.\nIt has two paragraphs.", page
+
+
+def plain_clusters(ratios: list[float]) -> list[bool]:
+    """Gaussian of five lines renormalised at the ends, then the threshold by exhausting the halving rule."""
+    n = len(ratios)
+    curve = np.zeros(n)
+    for i in range(n):
+        w = np.array([np.exp(-((j - i) ** 2) / 8.0) if abs(j - i) <= 2 else 0.0 for j in range(n)])
+        curve[i] = (w * ratios).sum() / w.sum()
+    threshold = (curve.min() + curve.max()) / 2
+    for _ in range(50):
+        high, low = curve[curve >= threshold], curve[curve < threshold]
+        if not len(high) or not len(low):
+            break
+        moved = (high.mean() + low.mean()) / 2
+        if abs(moved - threshold) < 1e-9:
+            break
+        threshold = moved
+    return [bool(c) for c in curve >= threshold]
+
+
+def test_ratios_and_clusters_equal_a_plain_version():
+    rng = np.random.default_rng(9)
+    for n in (1, 2, 3, 7, 40):
+        ratios = [float(x) for x in rng.choice([2, 5, 30, 120, 400], n) * rng.uniform(0.7, 1.3, n)]
+        assert extraction.clusters(ratios) == plain_clusters(ratios)
+    parser = extraction._Lines()
+    parser.feed("<body><div><a href='/'>Home</a></div><p>Twelve chars</p><br><p>Two <b>bold</b> words</p></body>")
+    parser.close()
+    parser.end_line()
+    # (text, tags since the line before, article, heading, mostly links): the ratio of a line is its characters by its tags.
+    assert parser.kept() == [("Home", 5, 0, False, True), ("Twelve chars", 2, 0, False, False), ("Two bold words", 5, 0, False, False)]
+
+
+def test_very_long_and_deeply_nested_pages():
+    deep = "<div>" * 3000 + "<p>Down here.</p>" + "</div>" * 3000
+    assert extraction.main_text(deep) == "Down here."
+    long = "<article>" + "".join(f"<p>Paragraph {i} has its words.</p>" for i in range(20_000)) + "</article>"
+    assert extraction.main_text(long).count("\n") == 19_999
+
+
 def test_extract_on_odd_pages(spark):
     pages = [(1, "u", None), (2, "u", ""), (3, None, "<p>unclosed"), (4, "u", "<![foo[ <p>a</p> &#x; &bogus; <"), (5, "u", "plain"), (5, "u", "plain")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("text", F.lit("old"))

@@ -21,6 +21,8 @@ BUCKET_BITS = 12
 LEVELS = 3
 #: A source's rows are spread over so many join keys, so a hot source never meets in one task.
 SPREAD = 64
+#: Rows of one source each that are broadcast at most.
+BROADCAST_SOURCES = 100_000
 
 
 def n_words(text: str = "text") -> Column:
@@ -93,6 +95,41 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return state.select("mix_source", (F.col("edge") + nearer.cast("long")).alias("cut"))
 
 
+def _hash(key: str, text: str) -> Column:
+    return F.xxhash64(F.col(key), F.col(text))
+
+
+def _facts(rows: DataFrame, weights: Sequence[float], max_repeat: int) -> DataFrame:
+    """Per source: source_size, target, how often every row is taken (``whole``) and the ``cut`` below which it comes once more."""
+    sizes = rows.groupBy("mix_source").agg(F.sum("size").alias("source_size"))
+    budgets = targets(sizes, weights, max_repeat)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + F.lit(1e-12))).otherwise(F.lit(0))
+    whole = F.least(whole, F.lit(max_repeat)).cast("long")
+    budgets = settle(
+        budgets.withColumn("whole", whole)
+        .withColumn("need", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
+        .withColumn("need", F.when(F.col("whole") >= max_repeat, F.lit(0.0)).otherwise(F.col("need")))
+    )
+    cuts = thresholds(rows, budgets.filter("need > 0").select("mix_source", "need"))
+    c, b = cuts.alias("c"), budgets.alias("b")
+    facts = b.join(c, F.col("b.mix_source").eqNullSafe(F.col("c.mix_source")), "left").select(
+        "b.mix_source", "source_size", "target", "whole", F.coalesce("c.cut", F.lit(0)).alias("cut")
+    )
+    return settle(facts)
+
+
+def _rows(docs: DataFrame, key: str, source: str, text: str) -> DataFrame:
+    return settle(
+        docs.select(
+            F.col(key).alias("mix_key"), F.col(source).cast("string").alias("mix_source"), n_words(text).alias("size"), _hash(key, text).alias("mix_hash")
+        )
+    )
+
+
+def _copies() -> Column:
+    return F.col("whole") + (_prefix(LEVELS) < F.col("cut")).cast("long")
+
+
 def mix(
     docs: DataFrame,
     weights: Sequence[float] = (5, 2, 1),
@@ -100,7 +137,6 @@ def mix(
     key: str = "doc_id",
     source: str = "source",
     text: str = "text",
-    hash_out: str | None = None,
 ) -> DataFrame:
     """How often each document enters the mix: key, size, source, source_size, target, copies, taken.
 
@@ -109,35 +145,12 @@ def mix(
     than ``max_repeat`` times.  The hash covers key and text, so reruns agree
     and identical rows share one decision.  NULL text has size 0; NULL is a
     source of its own, ordered last; an empty table gives an empty result; a
-    table without words has targets of 0 and takes nothing.  ``hash_out`` names a
-    column for the hash, which tells rows with one key and several texts apart.
+    table without words has targets of 0 and takes nothing.
     """
-    rows = settle(
-        docs.select(
-            F.col(key).alias("mix_key"),
-            F.col(source).cast("string").alias("mix_source"),
-            n_words(text).alias("size"),
-            F.xxhash64(F.col(key), F.col(text)).alias("mix_hash"),
-        )
-    )
-    sizes = rows.groupBy("mix_source").agg(F.sum("size").alias("source_size"))
-    budgets = targets(sizes, weights, max_repeat)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + F.lit(1e-12))).otherwise(F.lit(0))
-    whole = F.least(whole, F.lit(max_repeat)).cast("long")
-    budgets = settle(
-        budgets.withColumn("whole", whole)
-        .withColumn("need", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
-        .withColumn("need", F.when(F.col("whole") >= max_repeat, F.lit(0.0)).otherwise(F.col("need")))
-    )
-    cuts = thresholds(rows, budgets.filter("need > 0").select("mix_source", "need"))
-    c, b = cuts.alias("c"), budgets.alias("b")
-    facts = b.join(c, F.col("b.mix_source").eqNullSafe(F.col("c.mix_source")), "left").select(
-        "b.mix_source", "source_size", "target", "whole", F.coalesce("c.cut", F.lit(0)).alias("cut")
-    )
-    extra = (_prefix(LEVELS) < F.col("cut")).cast("long")
+    rows = _rows(docs, key, source, text)
     return (
-        _by_source(rows, settle(facts))
-        .withColumn("copies", F.col("whole") + extra)
+        _by_source(rows, _facts(rows, weights, max_repeat))
+        .withColumn("copies", _copies())
         .select(
             F.col("mix_key").alias(key),
             "size",
@@ -146,6 +159,30 @@ def mix(
             "target",
             "copies",
             (F.col("size") * F.col("copies")).alias("taken"),
-            *([F.col("mix_hash").alias(hash_out)] if hash_out else []),
         )
     )
+
+
+def mixed(
+    docs: DataFrame,
+    weights: Sequence[float] = (5, 2, 1),
+    max_repeat: int = 3,
+    key: str = "doc_id",
+    source: str = "source",
+    text: str = "text",
+) -> DataFrame:
+    """The rows of ``docs``, each as often as ``mix`` takes it, with its columns as they are.
+
+    Every row decides by its own source's threshold, so repeated rows, NULL
+    keys and several texts of one key are each taken by their own number.
+    Texts do not move while there are at most ``BROADCAST_SOURCES`` sources.
+    """
+    facts = _facts(_rows(docs, key, source, text), weights, max_repeat)
+    marked = docs.withColumns({"mix_source": F.col(source).cast("string"), "mix_hash": _hash(key, text)})
+    if facts.count() <= BROADCAST_SOURCES:
+        few = F.broadcast(facts.withColumnRenamed("mix_source", "fact_source"))
+        met = marked.join(few, marked["mix_source"].eqNullSafe(few["fact_source"]))
+    else:
+        met = _by_source(marked, facts)
+    counted = met.withColumn("mix_copies", _copies().cast("int")).filter("mix_copies > 0")
+    return counted.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(0), F.col("mix_copies")))).select(*docs.columns)

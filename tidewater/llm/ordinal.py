@@ -14,6 +14,8 @@ import numpy as np
 
 #: Least distance of neighbouring thresholds.
 GAP = 0.05
+#: Features that enter a fit: in at least so many rows, with at least such a score test, at most so many.
+LEAST_ROWS, LEAST_Z, MOST = 5, 5.0, 4096
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -75,9 +77,9 @@ def fit(
     grades: np.ndarray,
     l1: float = 2e-4,
     steps: int = 400,
-    least_rows: int = 5,
-    least_z: float = 5.0,
-    most: int = 4096,
+    least_rows: int = LEAST_ROWS,
+    least_z: float = LEAST_Z,
+    most: int = MOST,
 ) -> Ordinal:
     """Fit on rows of (feature numbers, values) with integer grades from 0.
 

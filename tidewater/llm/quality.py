@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import ship_package, text_or_empty
 from tidewater.llm.ordinal import Ordinal, fit
 from tidewater.llm.text_features import REPEATED, Memory, looks, presence, shape_features, word_features
-from tidewater.llm.toxicity import collect_features, labelled_sample
+from tidewater.llm.toxicity import chosen_features, collect_chosen, labelled_features, labelled_sample
 
 #: Labelled rows the model is fitted on at most, chosen by hash (a documented bound; scoring covers all rows).
 SAMPLE = 8_000
@@ -29,9 +29,10 @@ def _features():
 
 
 def train(docs: DataFrame, labels: DataFrame, grade: str, limit: int = SAMPLE, key: str = "doc_id", text: str = "text") -> Ordinal:
-    """Fit on documents whose ``grade`` (integers from 0) is known."""
+    """Fit on documents whose ``grade`` (integers from 0) is known: at most ``limit`` rows, and ``MOST`` features of theirs."""
     ship_package(docs.sparkSession)
-    return fit(*collect_features(labelled_sample(docs, labels, grade, limit, key, text), _features))
+    made = labelled_features(labelled_sample(docs, labels, grade, limit, key, text), _features)
+    return fit(*collect_chosen(made, chosen_features(made)))
 
 
 def with_quality(docs: DataFrame, model: Ordinal, text: str = "text", out: str = "quality") -> DataFrame:
@@ -64,7 +65,13 @@ def with_quality(docs: DataFrame, model: Ordinal, text: str = "text", out: str =
 
 
 def quality(docs: DataFrame, labels: DataFrame, least: float = 0.5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, expected_grade, tail_probability, and keep (tail probability at least ``least``)."""
+    """Per row: key, expected_grade, tail_probability, and keep (tail probability at least ``least``).
+
+    NULL and empty texts score as a text without features; rows with NULL keys
+    and repeated rows are scored each; an empty table gives an empty result;
+    without two different ratings the model is constant.  Other columns are not
+    carried.
+    """
     model = train(docs, labels.withColumn("llm_rating", rating()), "llm_rating", key=key, text=text)
     scored = with_quality(docs.select(key, text), model, text, "llm_quality")
     return scored.select(

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import ascii_words, settle, ship_package, text_or_empty, word_shingles
@@ -15,6 +15,10 @@ from tidewater.llm.components import components
 
 BITS = 64
 SEED = 42
+#: Join keys of one component, so that a large one never meets in one task.
+LANES = 16
+#: Rows of 32 bytes that are broadcast at most.
+BROADCAST_ROWS = 1_000_000
 
 
 def fingerprint(text: str, width: int) -> int:
@@ -113,12 +117,17 @@ def near_duplicates(
     """
     prints = settle(fingerprints(docs, width, key, text))
     classes = settle(prints.groupBy("fp").agg(F.min("key").alias("first_key")))
-    labels = components(links(classes.select("fp"), distance))
-    named = classes.join(labels, classes["fp"] == labels["node"], "left").select(
-        "fp", F.coalesce("label", "fp").alias("label"), "first_key"
-    )
-    smallest = named.groupBy("label").agg(F.min("first_key").alias("component_id"))
-    member = named.select("fp", "label").join(smallest, "label").select(F.col("fp").alias("class_fp"), "label", "component_id")
+    # One row becomes some 70 variants: as many tasks as a shuffle has, not the few that hold the fingerprints.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    labels = components(links(classes.select("fp").repartition(tasks, "fp"), distance))
+    named = settle(classes.join(labels, classes["fp"] == labels["node"], "left").select("fp", "label", "first_key"))
+    # Classes without a link are their own component; a component of many classes is met under LANES keys.
+    alone = named.filter("label is null").select("fp", F.col("fp").alias("label"), F.col("first_key").alias("component_id"))
+    linked = named.filter("label is not null").withColumn("lane", F.pmod(F.xxhash64("fp"), F.lit(LANES)).cast("int"))
+    smallest = linked.groupBy("label").agg(F.min("first_key").alias("component_id"))
+    offered = smallest.select("label", "component_id", F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))).alias("lane"))
+    member = alone.union(linked.select("fp", "label", "lane").join(offered, ["label", "lane"]).select("fp", "label", "component_id"))
+    member = member.withColumnRenamed("fp", "class_fp")
     out = prints.join(member, prints["fp"] == member["class_fp"])
     return out.select(
         F.col("key").alias(key),
@@ -132,20 +141,35 @@ def first_of_group(
     docs: DataFrame, groups: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, distance: int = 4
 ) -> DataFrame:
     """One row of ``docs`` per component: the one with the smallest key (a NULL key only where the
-    component has no other), then the smallest text hash, then the smallest of the other columns.
+    component has no other), then the smallest text hash, then the smallest hash of the other columns.
 
     ``groups`` are the labelled near-duplicates of ``docs``; without labels they are found again,
     because ids do not tell components apart: components without any id, or an id with several texts.
+    The choice is made among keys and hashes; texts meet it once, and do not move while it has at most
+    ``BROADCAST_ROWS`` rows.
     """
     if "llm_label" not in groups.columns:
         groups = near_duplicates(docs, width, distance, key, text, labelled=True)
+    others = [c for c in docs.columns if c not in (key, text) and not _unhashable(docs, c)]
+    marks = {"llm_text_hash": F.xxhash64(text_or_empty(text)), "llm_rest_hash": F.xxhash64(F.col(text).isNull(), *others)}
+    hashed = docs.withColumns(marks)
     first = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("llm_text_hash").alias("sig")))
-    chosen = groups.groupBy("llm_label").agg(first.alias("first")).select(F.col("first.key").alias("kept_key"), F.col("first.sig").alias("kept_sig"))
-    hashed = docs.withColumn("llm_text_hash", F.xxhash64(text_or_empty(text)))
-    kept = hashed.join(chosen, hashed[key].eqNullSafe(chosen["kept_key"]) & (hashed["llm_text_hash"] == chosen["kept_sig"]), "left_semi")
-    order = Window.partitionBy(key, "llm_text_hash").orderBy(*[F.col(c) for c in docs.columns if c != key and not _unorderable(docs, c)] or [F.lit(0)])
-    return kept.withColumn("llm_nth", F.row_number().over(order)).filter("llm_nth = 1").drop("llm_nth", "llm_text_hash")
-
-
-def _unorderable(df: DataFrame, column: str) -> bool:
-    return df.schema[column].dataType.typeName() in ("map", "variant")
+    named = groups.groupBy("llm_label").agg(first.alias("first")).select(F.col("first.key").alias("kept_key"), F.col("first.sig").alias("kept_sig"))
+    same = hashed.groupBy(F.col(key).alias("own_key"), *marks).agg(F.count(F.lit(1)).alias("copies"))
+    of_named = same.join(named, same["own_key"].eqNullSafe(named["kept_key"]) & (same["llm_text_hash"] == named["kept_sig"]))
+    chosen = settle(of_named.groupBy("kept_key", "kept_sig").agg(F.min(F.struct("llm_rest_hash", "copies")).alias("one"))).select(
+        "kept_key", "kept_sig", F.col("one.llm_rest_hash").alias("kept_rest"), F.col("one.copies").alias("kept_copies")
+    )
+    facts = chosen.agg(F.count(F.lit(1)).alias("rows"), F.max("kept_copies").alias("copies")).first()
+    few = F.broadcast(chosen) if facts["rows"] <= BROADCAST_ROWS else chosen
+    on = hashed[key].eqNullSafe(few["kept_key"]) & (hashed["llm_text_hash"] == few["kept_sig"]) & (hashed["llm_rest_hash"] == few["kept_rest"])
+    kept = hashed.join(few, on)
+    if (facts["copies"] or 0) > 1:
+        # Rows that agree in everything that is hashed: one of them, the first map-side.
+        again = kept.filter("kept_copies > 1").dropDuplicates([key, *marks])
+        kept = kept.filter("kept_copies = 1").union(again)
+    return kept.select(*[F.col(c) for c in docs.columns])
+
+
+def _unhashable(df: DataFrame, column: str) -> bool:
+    return any(t in df.schema[column].dataType.simpleString() for t in ("map<", "variant"))

@@ -48,8 +48,8 @@ _CLASSES = _Classes()
 
 
 def shape(classes: str) -> str:
-    """The look of a token from its character classes, runs to one: ``THAT!!`` is ``A!``, ``word.`` is ``a.``."""
-    return _RUN.sub(r"\1", classes[:64])[:6]
+    """The look of a whole token from its character classes, runs to one: ``THAT!!`` is ``A!``, ``word.`` is ``a.``."""
+    return _RUN.sub(r"\1", classes)
 
 
 def shape_features(classes: str) -> tuple[int, ...]:

@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import ship_package, text_or_empty
-from tidewater.llm.ordinal import Ordinal, Sparse, fit
+from tidewater.llm.common import settle, ship_package, text_or_empty
+from tidewater.llm.ordinal import LEAST_ROWS, LEAST_Z, MOST, Ordinal, fit
 from tidewater.llm.text_features import Memory, presence, word_features
 
 #: Labelled rows the model is fitted on at most, chosen by hash (a documented bound; scoring covers all rows).
@@ -29,8 +29,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, grade: str, limit: int,
     return rows.join(F.broadcast(chosen), F.col("k") == F.col("label_key")).select("k", "t", F.col("g").cast("int").alias("g"))
 
 
-def collect_features(sample: DataFrame, features) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """Features of the (bounded) sample, made on the executors: rows of (features, values), and the grades."""
+def labelled_features(sample: DataFrame, features) -> DataFrame:
+    """Features of the (bounded) sample, made and kept on the executors: row, g, f (feature numbers), v (values)."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of = features()
@@ -40,32 +40,75 @@ def collect_features(sample: DataFrame, features) -> tuple[list[tuple[np.ndarray
                 {
                     "k": pdf["k"],
                     "g": pdf["g"],
-                    "f": [np.fromiter(f, np.int64, len(f)).tobytes() for f in found],
-                    "v": [np.fromiter(f.values(), np.float32, len(f)).tobytes() if isinstance(f, dict) else b"" for f in found],
+                    "f": [list(f) for f in found],
+                    "v": [list(f.values()) if isinstance(f, dict) else [1.0] * len(f) for f in found],
+                }
+            )
+
+    made = sample.mapInPandas(make, "k long, g int, f array<long>, v array<double>")
+    return settle(made.select(F.monotonically_increasing_id().alias("row"), "k", "g", "f", "v"))
+
+
+def _entries(made: DataFrame) -> DataFrame:
+    return made.select("row", "g", F.explode(F.arrays_zip("f", "v")).alias("e")).select("row", "g", F.col("e.f").alias("f"), F.col("e.v").alias("v"))
+
+
+def chosen_features(made: DataFrame, least_rows: int = LEAST_ROWS, least_z: float = LEAST_Z, most: int = MOST) -> list[int]:
+    """The features whose value correlates with the grade: ``select_features`` as one aggregate over the sample's entries."""
+    facts = made.agg(F.count(F.lit(1)).alias("n"), F.avg("g").alias("mean"), F.stddev_pop("g").alias("spread")).first()
+    if not facts["n"] or not facts["spread"]:
+        return []
+    centered = F.col("v") * (F.col("g") - F.lit(facts["mean"]))
+    sums = _entries(made).groupBy("f").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"), F.sum(centered).alias("c")
+    )
+    variance = F.greatest(F.col("q") - F.col("s") * F.col("s") / facts["n"], F.lit(1e-12))
+    scored = sums.filter(F.col("rows") >= least_rows).withColumn("z", F.abs("c") / (F.lit(facts["spread"]) * F.sqrt(variance)))
+    best = scored.filter(F.col("z") >= least_z).orderBy(F.col("z").desc(), "f").limit(most)
+    return sorted(r["f"] for r in best.select("f").collect())  # at most ``most`` numbers
+
+
+def collect_chosen(made: DataFrame, chosen: list[int]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """The sample's rows with their chosen features alone, and the grades: bounded by the sample times ``MOST``."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted = np.asarray(chosen, np.int64)
+        for pdf in batches:
+            f = [np.asarray(x, np.int64) for x in pdf["f"]]
+            own = [np.isin(x, wanted) for x in f]
+            yield pd.DataFrame(
+                {
+                    "row": pdf["row"],
+                    "g": pdf["g"],
+                    "f": [x[m].tobytes() for x, m in zip(f, own)],
+                    "v": [np.asarray(x, np.float64)[m].tobytes() for x, m in zip(pdf["v"], own)],
                 }
             )
 
     rows, grades = [], []
-    made = sample.mapInPandas(make, "k long, g int, f binary, v binary").orderBy("k", F.xxhash64("f"))
-    for r in made.toLocalIterator():
-        f = np.frombuffer(r["f"], np.int64)
-        rows.append((f, np.frombuffer(r["v"], np.float32) if r["v"] else np.ones(len(f), np.float32)))
+    found = made.select("row", "k", "g", "f", "v").orderBy("k", "row").select("row", "g", "f", "v")
+    for r in found.mapInPandas(cut, "row long, g int, f binary, v binary").toLocalIterator():
+        rows.append((np.frombuffer(r["f"], np.int64), np.frombuffer(r["v"], np.float64)))
         grades.append(r["g"])
     return rows, np.asarray(grades, np.int64)
 
 
-def severity_grades(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, steps: tuple[int, ...] = (1, 4, 8)) -> np.ndarray:
-    """Grades for toxic / clean labels: 0 clean, then by how many different telltale features a toxic row holds.
+def with_severity_grades(made: DataFrame, steps: tuple[int, ...] = (1, 4, 8)) -> DataFrame:
+    """``made`` with severity grades for its toxic / clean labels: 0 clean, then by how many different telltale features a toxic row holds.
 
     A feature is telltale if at least five labelled rows have it and at least
-    95 of 100 of them are toxic.
+    95 of 100 of them are toxic.  The labels are 0 or 1, so grades from 2 on are
+    counts of the features themselves, not judgements of a reader.
     """
-    x = Sparse(rows)
-    total = np.bincount(x.column, minlength=len(x.names))
-    bad = np.bincount(x.column, toxic[x.row].astype(float), minlength=len(x.names))
-    telltale = (total >= 5) & (bad >= 0.95 * total)
-    hits = np.bincount(x.row, telltale[x.column].astype(float), minlength=x.n)
-    return np.where(toxic > 0, np.maximum(1, np.searchsorted(steps, hits, side="right")), 0)
+    entries = _entries(made)
+    telltale = entries.groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.sum("g").alias("bad")).filter("n >= 5 and bad >= 0.95 * n")
+    hits = entries.join(telltale.select("f"), "f", "left_semi").groupBy(F.col("row").alias("hit_row")).agg(F.count(F.lit(1)).alias("hits"))
+    met = made.join(hits, F.col("row") == F.col("hit_row"), "left")
+    level = F.lit(0)
+    for step in steps:
+        level = level + (F.coalesce("hits", F.lit(0)) >= step).cast("int")
+    graded = F.when(F.col("g") > 0, F.greatest(F.lit(1), level)).otherwise(F.lit(0))
+    return settle(met.select("row", "k", graded.alias("g"), "f", "v"))
 
 
 def _features():
@@ -74,10 +117,15 @@ def _features():
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", graded: bool = False, limit: int = SAMPLE, key: str = "doc_id", text: str = "text") -> Ordinal:
-    """Fit on labelled documents; ``graded``: the label is a severity grade already, else toxic (1) or clean (0)."""
+    """Fit on labelled documents; ``graded``: the label is a severity grade already, else toxic (1) or clean (0).
+
+    At most ``limit`` labelled rows and ``MOST`` features of theirs enter the
+    fit; features are chosen on the executors.
+    """
     ship_package(docs.sparkSession)
-    rows, y = collect_features(labelled_sample(docs, labels, label, limit, key, text), _features)
-    return fit(rows, y if graded else severity_grades(rows, y), l1=5e-5)
+    made = labelled_features(labelled_sample(docs, labels, label, limit, key, text), _features)
+    made = made if graded else with_severity_grades(made)
+    return fit(*collect_chosen(made, chosen_features(made)), l1=5e-5)
 
 
 def with_severity(docs: DataFrame, model: Ordinal, text: str = "text", out: str = "severity") -> DataFrame:
@@ -105,7 +153,13 @@ def with_severity(docs: DataFrame, model: Ordinal, text: str = "text", out: str
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, reject: float = 0.5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, expected_severity, p_toxic, severity, and toxic (p_toxic at least ``reject``)."""
+    """Per row: key, expected_severity, p_toxic, severity, and toxic (p_toxic at least ``reject``).
+
+    NULL and empty texts score as a text without features; rows with NULL keys
+    and repeated rows are scored each; an empty table gives an empty result;
+    without labels of both kinds the model is constant.  Other columns are not
+    carried.
+    """
     model = train(docs, labels, key=key, text=text)
     scored = with_severity(docs.select(key, text), model, text, "llm_severity")
     return scored.select(
