@@ -25,7 +25,11 @@ REJECT_TOXIC = 0.5
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose probability of at least a fair grade reaches ``KEEP_QUALITY``."""
+    """Rows whose probability of at least a fair grade reaches ``KEEP_QUALITY``.
+
+    NULL and empty texts are judged as texts without features, rows with NULL
+    ids and repeated rows each by their text; an empty table stays empty.
+    """
     labels = read_table(spark, sf_dir, "labels").withColumn("llm_rating", quality.rating())
     model = quality.train(docs, labels, "llm_rating")
     scored = quality.with_quality(docs, model, out="llm_quality")
@@ -33,28 +37,30 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose probability of any toxicity stays below ``REJECT_TOXIC``."""
+    """Rows whose probability of any toxicity stays below ``REJECT_TOXIC``; NULLs, repeats and empty tables as before."""
     model = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
     scored = toxicity.with_severity(docs, model, out="llm_severity")
     return scored.filter(F.col("llm_severity.p_toxic") < REJECT_TOXIC).drop("llm_severity")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group: that with the smallest id; repeated rows of it count once."""
+    """One document of every group: that with the smallest id; repeated rows of it count once.
+
+    All texts without words (NULL, empty, white space) are one group; rows with
+    NULL ids form groups like others; an empty table stays empty.
+    """
     groups = simhash.near_duplicates(docs, width=4, distance=4, labelled=True)
     return simhash.first_of_group(docs, groups, width=4, distance=4)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row as often as the mix takes it.  Id and text are unique here: the stage before keeps one row of each."""
-    taken = mixing.mix(docs, hash_out="llm_hash").select(F.col("doc_id").alias("llm_key"), "llm_hash", "copies").filter("copies > 0")
-    own = F.xxhash64(docs["doc_id"], docs["text"])
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["llm_key"]) & (own == taken["llm_hash"]))
-    return rows.withColumn("llm_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(*docs.columns)
+    """Every row as often as the mix takes it, repeated rows by their own number; rows without words are in no mix of words
+    unless their source is taken whole."""
+    return mixing.mixed(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all rows with their sequence and offset."""
+    """Pieces of all rows with their sequence and offset; NULL and empty texts are one end token, repeated rows each a document."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024, payload="crc32")
 
 
@@ -71,7 +77,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each but the last goes through Parquet in the shared folder."""
+    """All stages over ``documents``; each but the last goes through Parquet in the shared folder.
+
+    Extra columns of ``documents`` pass to the packing stage, whatever their
+    names; an empty table gives an empty result.
+    """
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, "corpus", name)
