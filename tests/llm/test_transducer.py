@@ -19,7 +19,7 @@ from tidewater.llm.transducer import Decoder, Encoder, Merges, PieceEncoder, ope
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 PARTS = (
     "a aa the 're 'r ' 1 22 ! --- ==== <|endoftext|> <|endof < |> 中 é 😀 'll 'L Ⅷ ² _ \x1c \x85 ÿ"
-).split(" ") + [" ", "  ", "\n", "\n\n", "\t", "\r\n", "\x0b", "　", "́", "᠎"]
+).split(" ") + [" ", "  ", "\n", "\n\n", "\t", "\r\n", "\x0b", "　", "́", "᠎", "\u0558", "\u058b", "\U0003fc3d"]
 
 
 @pytest.fixture(scope="module")
@@ -38,7 +38,8 @@ def random_text(rng: random.Random) -> str:
 
 def test_any_text_in_any_window_equals_the_library(library, lookahead):
     rng = random.Random(11)
-    encoders = [Encoder(vocabulary(PATH), lookahead, window=w) for w in (8, 9, 16, 64, 1 << 15)]
+    odd = transducer.odd_characters(PATH)
+    encoders = [Encoder(vocabulary(PATH), lookahead, odd, window=w) for w in (8, 9, 16, 64, 1 << 15)]
     for _ in range(1500):
         text = random_text(rng)
         want = library.encode(text, add_special_tokens=False).ids
@@ -46,6 +47,15 @@ def test_any_text_in_any_window_equals_the_library(library, lookahead):
         assert np.frombuffer(encoder.encode(text), "<i4").tolist() == want, (encoder.window, text)
 
 
+def test_every_character_is_cut_as_the_library_cuts_it(library, lookahead):
+    encoder = Encoder(vocabulary(PATH), lookahead, transducer.odd_characters(PATH))
+    for first in range(0, 0x110000, 8192):
+        text = "".join(f"a{chr(c)}a1{chr(c)}1!{chr(c)}!\n" for c in range(first, first + 8192) if not 0xD800 <= c <= 0xDFFF)
+        cut = [text[a:b] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(text)]
+        pattern = encoder.corrected[0] if encoder.odd and encoder.odd.search(text) else transducer.PATTERNS[0]
+        assert pattern.findall(text) == cut
+
+
 def test_parts_of_any_size_give_the_same_ids_and_come_early(library, lookahead):
     rng = random.Random(12)
     for run in ("x" * 40_000, "-=" * 20_000, " " * 30_000 + "y", "é" * 20_000 + "'s", "\n" * 20_000 + " b", "7" * 30_000 + "<|endoftext|>" + "7" * 9):

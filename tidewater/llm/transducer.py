@@ -29,6 +29,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import unicodedata
 from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -41,21 +42,29 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from tidewater.llm.common import ship_package, slices, text_or_empty
 
 # The published pre-token pattern of byte-level BPE, with its white space spelled out.
 OTHER_WHITE = "\\t\\x0b-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 WHITE = "\\n " + OTHER_WHITE
-PIECE = regex.compile(
-    rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
-)
+LETTER, NUMBER = r"\p{L}", r"\p{N}"
+
+
+def _patterns(letter: str, number: str, other: str) -> tuple[regex.Pattern, list[regex.Pattern]]:
+    """The pattern of a pre-token, and those of runs of letters, numbers, other characters and white space."""
+    piece = rf"'s|'t|'re|'ve|'m|'ll|'d| ?{letter}+| ?{number}+| ?{other}+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
+    return regex.compile(f"(?V1){piece}"), [regex.compile(f"(?V1){c}+") for c in (letter, number, other, f"[{WHITE}]")]
+
+
+PATTERNS = _patterns(LETTER, NUMBER, f"[^{WHITE}{LETTER}{NUMBER}]")
 #: A lone space between two non-white characters.
 CUT = re.compile(rf"(?<=[^{WHITE}]) (?=[^{WHITE}])")
 #: What text with lone spaces and lone line ends only does not hold.
 UNEVEN = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c")
 OTHER = re.compile(f"[{OTHER_WHITE}]")
-RUNS = [regex.compile(p) for p in (r"\p{L}+", r"\p{N}+", rf"[^{WHITE}\p{{L}}\p{{N}}]+", rf"[{WHITE}]+")]
+WHITE_RUN = 3
 #: Characters read at a time; also the longest run kept before it goes on in parts.
 WINDOW = 1 << 15
 #: Units remembered per worker (twice: a full memory becomes the older one), and the longest of them in characters.
@@ -221,10 +230,26 @@ class Vocabulary:
         )
 
 
+@lru_cache(maxsize=4)
+def odd_characters(path: str) -> str:
+    """Characters that ``regex`` takes for letters or numbers and the tokenizer does not, as the inside of a character class.
+
+    The two libraries may know different versions of Unicode; only characters
+    that this Python does not know yet are asked about.
+    """
+    pre = Tokenizer.from_file(path).pre_tokenizer
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    new = [c for c in regex.findall(rf"[{LETTER}{NUMBER}]", every) if unicodedata.category(c) == "Cn"]
+    odd = [ord(c) for c in new if len(pre.pre_tokenize_str(f"!{c}!")) == 1]
+    starts = [c for i, c in enumerate(odd) if i == 0 or odd[i - 1] != c - 1]
+    ends = [c for i, c in enumerate(odd) if i + 1 == len(odd) or odd[i + 1] != c + 1]
+    return "".join(f"\\U{a:08x}-\\U{z:08x}" for a, z in zip(starts, ends))
+
+
 class Encoder:
     """A text of any length, fed in parts; yields little-endian 32-bit ids as soon as they are stable."""
 
-    def __init__(self, vocabulary: Vocabulary, lookahead: int, window: int = WINDOW):
+    def __init__(self, vocabulary: Vocabulary, lookahead: int, odd: str = "", window: int = WINDOW):
         if window < 8:
             raise ValueError("a window holds eight characters at least")
         self.merges, self.lookahead, self.window = vocabulary.merges, lookahead, window
@@ -235,7 +260,12 @@ class Encoder:
         self.memory: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.text = ""
-        self.run: tuple[regex.Pattern, PieceEncoder] | None = None
+        self.run: tuple[int, PieceEncoder] | None = None  # its class of characters
+        self.odd = re.compile(f"[{odd}]") if odd else None
+        self.corrected = (
+            _patterns(f"[{LETTER}--[{odd}]]", f"[{NUMBER}--[{odd}]]", f"(?:[^{WHITE}{LETTER}{NUMBER}]|[{odd}])") if odd else PATTERNS
+        )
+        self.piece, self.runs = PATTERNS
 
     @staticmethod
     def _pack(ids: list[int]) -> bytes:
@@ -244,6 +274,9 @@ class Encoder:
     def feed(self, text: str) -> bytes:
         """Ids that are stable once ``text`` has been read."""
         out = []
+        if self.odd and not text.isascii() and self.odd.search(text):
+            # Slower patterns, which differ from the others at odd characters only, to the end of this text.
+            self.piece, self.runs = self.corrected
         for a in range(0, len(text), self.window):
             self.text += text[a : a + self.window]
             out.append(self._advance(final=False))
@@ -251,7 +284,9 @@ class Encoder:
 
     def finish(self) -> bytes:
         """The ids of what is held; the encoder is then ready for another text."""
-        return self._advance(final=True)
+        out = self._advance(final=True)
+        self.piece, self.runs = PATTERNS
+        return out
 
     def encode(self, text: str) -> bytes:
         return self.feed(text) + self.finish()
@@ -312,7 +347,7 @@ class Encoder:
     def _no_space(self, text: str) -> tuple[bytes, str]:
         """A window without a cut: pieces that two further characters cannot change, then the open run, if it is long."""
         out, at = [], 0
-        for m in PIECE.finditer(text):
+        for m in self.piece.finditer(text):
             if m.end() > len(text) - 2:
                 break
             out.append(self._unit(m.group()))
@@ -320,18 +355,18 @@ class Encoder:
         text = text[at:]
         if len(text) >= self.window:
             # One piece fills the window: its class goes on.  A space before it, if any, belongs to it.
-            body = next(p for p in RUNS if p.match(text[1] if text[0] == " " else text[0]))
-            self.run = body, PieceEncoder(self.merges, self.lookahead)
+            kind = next(i for i, p in enumerate(self.runs) if p.match(text[1] if text[0] == " " else text[0]))
+            self.run = kind, PieceEncoder(self.merges, self.lookahead)
             ids, text = self._go_on(text, False, skip=1 if text[0] == " " else 0)
             out.append(ids)
         return b"".join(out), text
 
     def _go_on(self, text: str, final: bool, skip: int = 0) -> tuple[bytes, str]:
         """Feed the open run as far as it goes."""
-        body, piece = self.run
-        m = body.match(text, skip)
+        kind, piece = self.run
+        m = self.runs[kind].match(text, skip)
         end = m.end() if m else skip
-        if body is RUNS[3]:
+        if kind == WHITE_RUN:
             # White space: the last character may belong to the next piece, so one always waits.
             if end == len(text) and not final:
                 end -= 1
@@ -366,13 +401,13 @@ class Encoder:
                 known = self.memory
                 out += [known.get(u) or self._unit(u) for u in [" " + w for w in rest]]
             return b"".join(out)
-        return b"".join([self._unit(m) for m in PIECE.findall(text)])
+        return b"".join([self._unit(m) for m in self.piece.findall(text)])
 
     def _unit(self, unit: str) -> bytes:
         """Ids of a pre-token, or of a few that start with a lone space."""
         found = self.memory.get(unit) or self.older.get(unit)
         if found is None:
-            pieces = PIECE.findall(unit)
+            pieces = self.piece.findall(unit)
             found = self._piece(unit) if len(pieces) == 1 else b"".join([self.memory.get(p) or self._unit(p) for p in pieces])
         if len(unit) <= LONGEST_UNIT:
             if len(self.memory) >= MEMORY:
@@ -438,9 +473,9 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 @lru_cache(maxsize=4)
-def _encoder(path: str, lookahead: int) -> Encoder:
+def _encoder(path: str, lookahead: int, odd: str) -> Encoder:
     """One per process and file: workers keep the units they know from task to task."""
-    return Encoder(vocabulary(path), lookahead)
+    return Encoder(vocabulary(path), lookahead, odd)
 
 
 def with_ids(docs: DataFrame, tokenizer: str, text: str = "text", out: str = "ids") -> DataFrame:
@@ -454,11 +489,11 @@ def with_ids(docs: DataFrame, tokenizer: str, text: str = "text", out: str = "id
     computed once on the driver.
     """
     ship_package(docs.sparkSession)
-    lookahead = vocabulary(tokenizer).merges.lookahead()
+    lookahead, odd = vocabulary(tokenizer).merges.lookahead(), odd_characters(tokenizer)
     kept = [c for c in docs.columns if c != out]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer, lookahead)
+        encoder = _encoder(tokenizer, lookahead, odd)
         for part in (p for batch in batches for p in slices(batch, 256)):
             rows = [np.frombuffer(encoder.encode(t), "<i4") for t in part.column(part.num_columns - 1).to_pylist()]
             ends = np.cumsum([0, *map(len, rows)])
