@@ -14,7 +14,7 @@ than its start is remembered until the start comes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,39 +48,44 @@ def run_event_source(spark: SparkSession, path: str, schema: T.StructType, max_f
     return reader.parquet(path)
 
 
-def _step(key: tuple, batches: Iterator, state: GroupState) -> Iterator:
-    """One lane of one correlation id in one micro-batch."""
-    import pandas as pd
-
-    ids, runs, early = state.get if state.exists else ([], [], [])
-    # A run whose stop was asked for stays until its end, without its record.
-    still_open, early = dict(zip(ids, runs)), set(early)
-    started, ended, asked = {}, set(), False
-    for rows in batches:
-        for kind, i, run in zip(rows["kind"], rows["execution_id"], rows["run"]):
-            if kind == START:
-                started[int(i)] = run
-            elif kind == END:
-                ended.add(int(i))
-            else:
-                asked = True
-    for i, run in started.items():
-        still_open.setdefault(i, run)
-    for i in ended:
-        if still_open.pop(i, None) is None:
-            early.add(i)
-    for i in early & set(still_open):
-        del still_open[i]
-        early.discard(i)
-    named = []
-    if asked:
-        named = [(key[0], i, run) for i, run in still_open.items() if run]
-        still_open = dict.fromkeys(still_open, "")
-    if still_open or early:
-        state.update((list(still_open), list(still_open.values()), sorted(early)))
-    elif state.exists:
-        state.remove()
-    yield pd.DataFrame(named, columns=["correlation_id", "execution_id", "run"])
+def _stepper() -> Callable[[tuple, Iterator, GroupState], Iterator]:
+    """The state function, made here so that it travels whole: workers need not have this package."""
+
+    def step(key: tuple, batches: Iterator, state: GroupState) -> Iterator:
+        """One lane of one correlation id in one micro-batch."""
+        import pandas as pd
+
+        ids, runs, early = state.get if state.exists else ([], [], [])
+        # A run whose stop was asked for stays until its end, without its record.
+        still_open, early = dict(zip(ids, runs)), set(early)
+        started, ended, asked = {}, set(), False
+        for rows in batches:
+            for kind, i, run in zip(rows["kind"], rows["execution_id"], rows["run"]):
+                if kind == START:
+                    started[int(i)] = run
+                elif kind == END:
+                    ended.add(int(i))
+                else:
+                    asked = True
+        for i, run in started.items():
+            still_open.setdefault(i, run)
+        for i in ended:
+            if still_open.pop(i, None) is None:
+                early.add(i)
+        for i in early & set(still_open):
+            del still_open[i]
+            early.discard(i)
+        named = []
+        if asked:
+            named = [(key[0], i, run) for i, run in still_open.items() if run]
+            still_open = dict.fromkeys(still_open, "")
+        if still_open or early:
+            state.update((list(still_open), list(still_open.values()), sorted(early)))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(named, columns=["correlation_id", "execution_id", "run"])
+
+    return step
 
 
 def stop_actions(events: DataFrame, requests: DataFrame, lanes: int = LANES) -> DataFrame:
@@ -99,5 +104,5 @@ def stop_actions(events: DataFrame, requests: DataFrame, lanes: int = LANES) ->
         F.lit(None).cast("long").alias("execution_id"), F.lit(None).cast("string").alias("run"),
     )
     both = told.union(asked).where(F.col("correlation_id").isNotNull())
-    found = both.groupBy("correlation_id", "lane").applyInPandasWithState(_step, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+    found = both.groupBy("correlation_id", "lane").applyInPandasWithState(_stepper(), _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
     return found.select(F.from_json("run", T.StructType(fields), _CLOCKS).alias("run")).select("run.*")
