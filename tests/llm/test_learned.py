@@ -156,3 +156,32 @@ def test_start_weights_come_from_all_sampled_texts():
     counts.add(texts, code)
     forth, back = mixer.train_weights(texts, code, counts.table), mixer.train_weights(texts[::-1], code, counts.table)
     assert forth == pytest.approx(back, rel=1e-4, abs=1e-5)
+
+
+def test_the_model_learns_from_every_training_text(spark, monkeypatch):
+    seen = {}
+    tree, fit = mixer.code_tree, getattr(mixer, "fit_weights", None)
+    monkeypatch.setattr(mixer, "code_tree", lambda counts: (seen.update(bytes=np.array(counts)), tree(counts))[1])
+    monkeypatch.setattr(mixer, "fit_weights", lambda table: (seen.update(table=table.copy()), fit(table))[1], raising=False)
+    rows = [(i, f"  Row {i % 977}\tof {'many few'.split()[i % 2]} ") for i in range(4500)]
+    language_model.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    train = [" ".join(t.lower().split()).encode() + b"\n" for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    counts = np.bincount(np.frombuffer(b"".join(train), np.uint8), minlength=256)
+    assert seen["bytes"].tolist() == counts.tolist()
+    assert seen["table"].sum() == (counts * tree(counts).length).sum()  # every decision of every training text
+    assert seen["table"][1::2].sum() == sum(mixer.decisions([t[:-1]], tree(counts)).bit.sum() for t in train)
+
+
+def test_texts_that_wait_for_others_are_all_scored_alike(spark, monkeypatch):
+    rows = [(i, "word " * (i % 40) + "x" * (i % 7) + str(i)) for i in range(300)] + [(None, None), (7, "twice"), (7, "twice")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    whole = sorted((tuple(r) for r in language_model.score(docs).collect()), key=repr)
+    monkeypatch.setattr(language_model, "WAITING", 5000, raising=False)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
+    try:
+        parts = sorted((tuple(r) for r in language_model.score(docs).collect()), key=repr)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(whole) == len(rows) and [p[:5] for p in parts] == [w[:5] for w in whole]
+    assert [p[6] for p in parts] == pytest.approx([w[6] for w in whole], rel=1e-4)

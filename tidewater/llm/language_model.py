@@ -1,23 +1,27 @@
 """Language-model scores by online logistic context mixing (see ``mixer``), next to a word-count base score.
 
-Four steps over the texts, each one Spark pass:
+Five steps over the texts, each one Spark pass; whatever the model learns, it
+learns from all training texts:
 
-1. a bounded sample of training texts gives the code tree and the *head*: at
-   most ``HEAD`` words that get a fast path (no count comes from the sample);
+1. one pass counts bytes, for the code tree, and picks the *head*: at most
+   ``HEAD`` frequent words that get a fast path (no count comes from here);
 2. one pass counts words.  Head words are summed per batch.  All other words go,
    with the documents they occur in, through one shuffle by word, which gives
    each its count over the whole training part and sends the documents' shares
    of the base score back;
 3. one pass over the training texts counts contexts into tables of fixed size,
    summed over tasks in a tree;
-4. one pass scores every text with the finished model.
+4. one pass over the training texts counts what the predictors say and what
+   comes true, in a table of fixed size summed likewise: the start weights are
+   fitted on it;
+5. one pass scores every text with the finished model.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -30,12 +34,15 @@ from pyspark.sql import functions as F
 from tidewater.llm import mixer
 from tidewater.llm.common import ascii_words, settle, ship_package, slices, text_or_empty
 
-#: Training texts that give the head and the code tree and start the mixing weights; words in the head at most.
-SAMPLE = 1500
+#: Words in the head at most.
 HEAD = 65_536
-#: Documents handled at once: in the word count (fewer rows to shuffle the more there are), and by the mixer.
+#: Documents handled at once: in the word count (fewer rows to shuffle the more there are), and in the counts of contexts.
 SLICE_ROWS = 8000
 MIXED_ROWS = 2000
+#: A batch tells of the words that are at least one in so many of its words.
+TOLD = 1 << 19
+#: Bytes of text that wait, in a scoring task, for others of their length.
+WAITING = 24 << 20
 #: Table slices travel alone; so many partial slices are summed at a time.
 SLICES = 32
 FAN_IN = 32
@@ -46,12 +53,34 @@ def _held_out(key: str, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def _sample(train: DataFrame, limit: int) -> list[bytes]:
-    """About ``limit`` texts (at most twice as many), chosen by hash."""
-    n = train.count()
-    share = F.pmod(F.xxhash64("k", "sig", F.lit(11)), F.lit(1 << 20))
-    rows = train.filter(share < math.ceil(limit / max(n, 1) * (1 << 20))).limit(2 * limit).select("t").collect()
-    return sorted(r["t"].encode("utf-8", "surrogatepass").lower() for r in rows)
+def byte_counts_and_head(train: DataFrame) -> tuple[np.ndarray, set[bytes]]:
+    """Bytes of all training texts as the mixer sees them, and the head: the words told of most often, and the end."""
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, SLICE_ROWS)):
+            words: Counter[bytes] = Counter()
+            seen = np.zeros(256, np.int64)
+            for text in batch.column(0):
+                own = ascii_words(text.as_py())
+                words.update(own)
+                seen += np.bincount(np.frombuffer(b" ".join(own) + END_WORD, np.uint8), minlength=256)
+            least = words.total() / TOLD
+            told = [(w, n) for w, n in words.items() if n >= least]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([w for w, _ in told] + [None] * 256, pa.binary()),
+                    pa.array([None] * len(told) + list(range(256)), pa.int32()),
+                    pa.array([n for _, n in told] + seen.tolist(), pa.int64()),
+                ],
+                names=["word", "byte", "n"],
+            )
+
+    told = settle(train.select("t").mapInArrow(tell, "word binary, byte int, n long").groupBy("word", "byte").agg(F.sum("n").alias("n")))
+    counts = np.zeros(256, np.int64)
+    for r in told.filter("byte is not null").collect():  # 256 rows
+        counts[r["byte"]] = r["n"]
+    top = told.filter("word is not null").orderBy(F.desc("n"), "word").limit(HEAD - 1).select("word").collect()
+    return counts, {bytes(r["word"]) for r in top} | {END_WORD}
 
 
 def _word_rows(head: set[bytes]):
@@ -135,51 +164,72 @@ def _streams(texts: list[str]) -> list[list[bytes]]:
     return [ascii_words(t) for t in texts]
 
 
-def context_counts(train: DataFrame, code: mixer.Code) -> np.ndarray:
-    """Context tables over all words of all training texts.
+def _summed(train: DataFrame, start: Callable[[], tuple[np.ndarray, Callable[[list[bytes]], None]]]) -> np.ndarray:
+    """A table of fixed size over all training texts; ``start`` gives a task its empty table and what adds texts to it.
 
-    Every task sums its texts into one table; the tables (of fixed size, cut in
-    slices) are added ``FAN_IN`` at a time until one is left.  Few, long tasks
-    keep the number of tables at a small multiple of the cores.
+    Every task sums its texts into one table; the tables (cut in slices) are
+    added ``FAN_IN`` at a time until one is left.  Few, long tasks keep the
+    number of tables at a small multiple of the cores.
     """
-    spark = train.sparkSession
-    held = spark.sparkContext.broadcast(code)
-    width = mixer.INPUTS * 2 * mixer.SLOTS // SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_code = held.value
-        counts, part = mixer.Counts(), None
+        table, part = None, None
         for batch in (part for whole in batches for part in slices(whole, MIXED_ROWS)):
+            if table is None:
+                table, add = start()
             part = batch.column(1)[0].as_py()
-            counts.add([b" ".join(w) for w in _streams(batch.column(0).to_pylist())], own_code)
+            add([b" ".join(w) for w in _streams(batch.column(0).to_pylist())])
         if part is not None:
             squeeze = zstandard.ZstdCompressor(level=1)
-            flat = counts.table.reshape(SLICES, width)
+            flat = table.reshape(SLICES, -1)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(range(SLICES), pa.int32()),
                     pa.array([part] * SLICES, pa.int64()),
+                    pa.array([table.dtype.str] * SLICES, pa.string()),
                     pa.array([squeeze.compress(s.tobytes()) for s in flat], pa.binary()),
                 ],
-                names=["slice", "part", "load"],
+                names=["slice", "part", "dtype", "load"],
             )
 
-    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(width, np.uint32)
-        for load in pdf["load"]:
-            total += np.frombuffer(zstandard.ZstdDecompressor().decompress(load), np.uint32)
-        return pd.DataFrame({"slice": [key[0]], "part": [key[1]], "load": [zstandard.ZstdCompressor(level=1).compress(total.tobytes())]})
+    def add_up(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(zstandard.ZstdDecompressor().decompress(load), key[2]) for load in pdf["load"])
+        return pd.DataFrame({"slice": [key[0]], "part": [key[1]], "dtype": [key[2]], "load": [zstandard.ZstdCompressor(level=1).compress(total.tobytes())]})
 
-    schema = "slice int, part long, load binary"
-    tasks = 4 * spark.sparkContext.defaultParallelism
+    schema = "slice int, part long, dtype string, load binary"
+    tasks = 4 * train.sparkSession.sparkContext.defaultParallelism
     parts = settle(train.select("t").coalesce(tasks).select("t", F.spark_partition_id().cast("long").alias("part")).mapInArrow(count, schema))
     while (parts.agg(F.max("part")).first()[0] or 0) > 0:
-        grouped = parts.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("long")).groupBy("slice", "part")
-        parts = settle(grouped.applyInPandas(add, schema))
-    table = np.zeros((SLICES, width), np.uint32)
+        grouped = parts.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("long")).groupBy("slice", "part", "dtype")
+        parts = settle(grouped.applyInPandas(add_up, schema))
+    table = start()[0].reshape(SLICES, -1)
     for r in parts.toLocalIterator():  # fixed size
-        table[r["slice"]] = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["load"]), np.uint32)
-    return table.reshape(mixer.INPUTS, 2 * mixer.SLOTS)
+        table[r["slice"]] = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["load"]), r["dtype"])
+    return table.ravel()
+
+
+def context_counts(train: DataFrame, code: mixer.Code) -> np.ndarray:
+    """Context tables over all words of all training texts."""
+    held = train.sparkSession.sparkContext.broadcast(code)
+
+    def start():
+        counts, own_code = mixer.Counts(), held.value
+        return counts.table, lambda texts: counts.add(texts, own_code)
+
+    return _summed(train, start).reshape(mixer.INPUTS, 2 * mixer.SLOTS)
+
+
+def start_weights(train: DataFrame, code: mixer.Code, table: np.ndarray) -> np.ndarray:
+    """Weights that every text starts from, fitted on all decisions of all training texts."""
+    held = train.sparkSession.sparkContext.broadcast((code, mixer.left_out(table)))
+
+    def start():
+        outcomes, (own_code, cells) = mixer.Outcomes(), held.value
+        return outcomes.table, lambda texts: outcomes.add(texts, own_code, cells)
+
+    weights = mixer.fit_weights(_summed(train, start))
+    held.destroy()
+    return weights
 
 
 def score(
@@ -207,49 +257,56 @@ def score(
         F.col(key).alias("k"), F.xxhash64(text_or_empty(text)).alias("sig"), text_or_empty(text).alias("t"), _held_out(key, folds, fold).alias("held")
     )
     train = texts.filter(~F.col("held"))
-    sample = _sample(train, SAMPLE)
-    words = [t.split() for t in sample]
-    head = {w for w, _ in Counter(chain.from_iterable(words)).most_common(HEAD - 1)} | {END_WORD}
+    byte_counts, head = byte_counts_and_head(train)
     shares = settle(word_shares(texts, head))
     total = shares.agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).first()
     train_tokens, types = total["tokens"] or 0, total["types"] or 0
     # Head words only: bounded by HEAD.
     head_logs = {bytes(r["hw"]): math.log10(r["tokens"] + 0.5) for r in shares.filter("hw is not null and tokens > 0").select("hw", "tokens").collect()}
     unseen = {w: math.log10(0.5) for w in head if w not in head_logs}
-    byte_counts = np.bincount(np.frombuffer(b"\n".join(b" ".join(w) for w in words) + b"\n", np.uint8), minlength=256)
     code = mixer.code_tree(byte_counts)
     table = context_counts(train, code)
-    weights = mixer.train_weights([b" ".join(w) for w in words], code, table)
+    weights = start_weights(train, code, table)
     model = spark.sparkContext.broadcast((code, mixer.logits(table), weights, head_logs, unseen))
     del table
     key_type = docs.schema[key].dataType.simpleString()
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_code, tables, own_weights, known, rest = model.value
-        for batch in (part for whole in batches for part in slices(whole, MIXED_ROWS)):
-            docs_ = _streams(batch.column(2).to_pylist())
-            logs, n_known = np.zeros(len(docs_)), np.zeros(len(docs_), np.int64)
-            for i, ws in enumerate(docs_):
-                own = [known[w] for w in chain(ws, (END_WORD,)) if w in known]
-                n_known[i] = len(own)
-                logs[i] = math.fsum(own) + math.fsum(rest[w] for w in chain(ws, (END_WORD,)) if w in rest) if rest else math.fsum(own)
-            joined = [b" ".join(ws) for ws in docs_]
-            bits = mixer.bits_of(joined, own_code, tables, own_weights)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    batch.column(3),
-                    pa.array([len(ws) + 1 for ws in docs_], pa.int64()),
-                    pa.array(n_known),
-                    pa.array(logs),
-                    pa.array(bits),
-                    pa.array([len(j) + 1 for j in joined], pa.int64()),
-                ],
-                names=["k", "sig", "held_out", "n_tokens", "head_known", "head_logs", "bits", "n_bytes"],
-            )
 
-    scored = texts.mapInArrow(apply, f"k {key_type}, sig long, held_out boolean, n_tokens long, head_known long, head_logs double, bits double, n_bytes long")
+        def mixed(rows: list[tuple]) -> pa.RecordBatch:
+            bits = mixer.bits_of([r[0] for r in rows], own_code, tables, own_weights)
+            columns = [pa.array(c, f.type) for c, f in zip(list(zip(*rows))[1:], told)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(bits)], names=[*told.names, "bits"])
+
+        # Texts wait for others of about their length, so that no long one runs alone.
+        waiting, size = defaultdict(list), Counter()
+        told = None
+        for batch in batches:
+            if told is None:
+                told = pa.schema([("k", batch.column(0).type), ("sig", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("head_known", pa.int64()), ("head_logs", pa.float64()), ("n_bytes", pa.int64())])
+            for k, sig, t, held in zip(*(c.to_pylist() for c in batch.columns)):
+                ws = ascii_words(t)
+                own = [known[w] for w in chain(ws, (END_WORD,)) if w in known]
+                logs = math.fsum(own) + math.fsum(rest[w] for w in chain(ws, (END_WORD,)) if w in rest) if rest else math.fsum(own)
+                joined = b" ".join(ws)
+                of = len(joined).bit_length()
+                waiting[of].append((joined, k, sig, held, len(ws) + 1, len(own), logs, len(joined) + 1))
+                size[of] += len(joined) + mixer.LANE_BYTES
+                if size[of] >= mixer.SIDE_BY_SIDE:
+                    yield mixed(waiting.pop(of))
+                    del size[of]
+            if size.total() >= WAITING:
+                of, _ = size.most_common(1)[0]
+                yield mixed(waiting.pop(of))
+                del size[of]
+        left = sorted(chain.from_iterable(waiting.values()), key=lambda r: len(r[0]))
+        for a, z in mixer.blocks([r[0] for r in left], mixer.SIDE_BY_SIDE):
+            yield mixed(left[a:z])
+
+    tasks = max(2 * spark.sparkContext.defaultParallelism, texts.rdd.getNumPartitions() // 3)
+    columns = f"k {key_type}, sig long, held_out boolean, n_tokens long, head_known long, head_logs double, n_bytes long, bits double"
+    scored = texts.coalesce(tasks).mapInArrow(apply, columns)
     own = shares.filter("copies > 0").select("id", F.col("sig").alias("own_sig"), "log_sum", "known", "copies")
     room = math.log10(train_tokens + 0.5 * (types + 1))
     return scored.join(own, scored["k"].eqNullSafe(own["id"]) & (scored["sig"] == own["own_sig"])).select(

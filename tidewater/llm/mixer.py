@@ -29,6 +29,8 @@ TABLE_BITS = 22
 SLOTS = 1 << TABLE_BITS
 LEVELS = 3  # of a predictor's logit: none, weak, strong
 STRONG = 20  # tenths
+CELL_BITS = 6  # of a logit where start weights are fitted
+CELLS = 1 << CELL_BITS
 GATES = LEVELS**INPUTS
 PAD = max(ORDERS)
 END = 10
@@ -41,8 +43,10 @@ MAP_BINS = 24
 GROUP = 16
 #: Bytes whose decisions are made at once (small, so that they stay in cache), and bytes that run side by side: the more,
 #: the less the long texts among them run alone at the end.
-BLOCK = 1 << 16
-SIDE_BY_SIDE = 8 << 20
+BLOCK = 1 << 14
+SIDE_BY_SIDE = 6 << 20
+#: What a lane holds beside its text, in bytes.
+LANE_BYTES = 512
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 _ROOT = 0x5851F42D4C957F2D  # odd
@@ -116,44 +120,50 @@ def decisions(texts: list[bytes], code: Code) -> Decisions:
     flat = np.frombuffer(b"".join([pad + t + b"\n" for t in texts]), np.uint8)
     n = len(flat)
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
-    scored = np.ones(n, bool)
     firsts = np.cumsum(sizes + PAD) - (sizes + PAD)
+    steps = code.length.take(flat)
     for p in range(PAD):
-        scored[firsts + p] = False
-    at = np.flatnonzero(scored)
+        steps[firsts + p] = 0
     wide = flat.astype(np.uint64)
     shift = np.uint64(64 - TABLE_BITS)
     contexts = []
-    value, order = np.zeros(len(at), np.uint64), 0
+    value, order = np.zeros(n, np.uint64), 0
     for wanted, multiplier in zip(ORDERS, _MULTIPLIERS):
         while order < wanted:
             order += 1
             value <<= np.uint64(8)
-            value |= wide[at - order]
-        contexts.append(((value + np.uint64(wanted)) * multiplier >> shift).astype(np.uint32))
+            value[order:] |= wide[: max(n - order, 0)]
+        mixed = value + np.uint64(wanted)
+        mixed *= multiplier
+        mixed >>= shift
+        contexts.append(mixed.astype(np.uint32))
     up, down = _power_tables(n)
+    wide += np.uint64(1)
+    wide *= up[:n]
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((wide + np.uint64(1)) * up[:n], out=sums[1:])
-    gap = np.empty(n, bool)
-    gap[0] = True
-    gap[1:] = (flat[:-1] == 32) | (flat[:-1] == END)
-    start = np.maximum.accumulate(np.where(gap, np.arange(n), 0))[at]
-    word = (sums[at] - sums[start]) * down[start]
+    np.cumsum(wide, out=sums[1:])
+    start = np.zeros(n, np.int64)  # of the word that a byte belongs to
+    gap = 1 + np.flatnonzero((flat[:-1] == 32) | (flat[:-1] == END))
+    start[gap] = gap
+    np.maximum.accumulate(start, out=start)
+    word = sums[:-1] - sums.take(start)
+    word *= down.take(start)
     word ^= word >> np.uint64(29)
-    contexts.append((word * _MULTIPLIERS[-1] >> shift).astype(np.uint32))
-    symbol = flat[at]
-    steps = code.length[symbol]
+    word *= _MULTIPLIERS[-1]
+    word >>= shift
+    contexts.append(word.astype(np.uint32))
     ends = np.cumsum(steps)
-    entry = np.repeat(code.first[symbol] - ends + steps, steps)
+    byte = np.repeat(np.arange(n), steps)  # of every decision
+    entry = (code.first.take(flat) - ends + steps).take(byte)
     entry += np.arange(len(entry))
-    salt = code.salt[entry]
+    salt = code.salt.take(entry)
     slot = []
     for c in contexts:
-        spread = np.repeat(c, steps)
+        spread = c.take(byte)
         spread ^= salt
         slot.append(spread)
-    total = ends[np.cumsum(sizes) - 1] if len(ends) else np.zeros(0, np.int64)
-    return Decisions(code.bit[entry], slot, np.diff(np.r_[0, total]), steps)
+    total = ends[firsts + PAD + sizes - 1] if len(texts) else np.zeros(0, np.int64)
+    return Decisions(code.bit.take(entry), slot, np.diff(np.r_[0, total]), steps[steps > 0])
 
 
 def blocks(texts: list[bytes], size: int) -> Iterator[tuple[int, int]]:
@@ -205,6 +215,20 @@ _LEVEL = np.array(
 )
 
 
+#: By predictor and logit byte: its part of a decision's 32-bit word, the logit bytes and above them ``gate << 2``.
+_PART = np.array([[(v << 8 * i) + (int(_LEVEL[i][v]) << 8 * INPUTS + 2) for v in range(256)] for i in range(INPUTS)], np.uint32)
+
+
+def _words(d: Decisions, tables: np.ndarray) -> np.ndarray:
+    """One 32-bit word per decision: the predictors' logits, and the gate with the outcome."""
+    out = d.bit.astype(np.uint32)
+    out |= np.uint32(2)  # a decision, unlike the padding of a lane's last group
+    out <<= np.uint32(8 * INPUTS)
+    for i, slot in enumerate(d.slot):
+        out += _PART[i].take(tables[i].take(slot.astype(np.int64)).view(np.uint8))
+    return out.astype("<u4", copy=False)
+
+
 def _gate(inputs: np.ndarray) -> np.ndarray:
     """Weight set of each row of logit bytes: how strongly each predictor speaks."""
     gate = _LEVEL[0].take(inputs[:, 0].view(np.uint8))
@@ -213,42 +237,72 @@ def _gate(inputs: np.ndarray) -> np.ndarray:
     return gate
 
 
-def train_weights(texts: list[bytes], code: Code, table: np.ndarray, rounds: int = 8) -> np.ndarray:
-    """Weight sets (gate, predictor) that lanes start from, fitted on all of ``texts``, which are among the counted.
+def _cells() -> tuple[np.ndarray, np.ndarray]:
+    """By logit byte: its cell; by cell: its logit.  No cell reaches over two levels of a gate."""
+    v = np.arange(256).astype(np.uint8).view(np.int8).astype(int)
+    size = np.where(abs(v) < STRONG, (abs(v) + 1) // 2, STRONG // 2 + 1 + (abs(v) - STRONG) // 6)
+    cell = (np.sign(v) * size + CELLS // 2).clip(0, CELLS - 1)
+    middle = np.bincount(cell, v, CELLS) / np.maximum(np.bincount(cell, minlength=CELLS), 1)
+    return cell.astype(np.uint8), middle
+
+
+_CELL, _MIDDLE = _cells()
+
 
-    Each decision takes its own occurrence out of the counts first, so the
-    weights are those for unseen text.  Decisions with the same logits and
-    outcome are one row with a count.  Newton steps of a logistic regression
-    per gate, held towards even weights by a light ridge.
+def left_out(table: np.ndarray) -> np.ndarray:
+    """By predictor and ``2 * slot + bit``: cell of the logit that the slot has without one decision of that outcome."""
+    out = np.empty(table.shape, np.uint8)
+    for i in range(INPUTS):
+        no, yes = table[i, 0::2].astype(np.float32), table[i, 1::2].astype(np.float32)
+        out[i, 0::2] = _CELL[_logit_units(np.maximum(no - 1, 0), yes).astype(np.int8).view(np.uint8)]
+        out[i, 1::2] = _CELL[_logit_units(no, np.maximum(yes - 1, 0)).astype(np.int8).view(np.uint8)]
+    return out
+
+
+class Outcomes:
+    """How often the predictors' cells met a no and a yes: ``table[cell of each predictor, bit]``, flat.
+
+    The texts are among the counted.  Each decision takes its own occurrence
+    out of the counts first, so that what is gathered holds for unseen text.
     """
-    rows, times = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-    for a, z in blocks(texts, 32 * BLOCK):
-        found = []
-        for b, y in blocks(texts[a:z], BLOCK):
-            d = decisions(texts[a:z][b:y], code)
-            units = np.empty((len(d.bit), INPUTS + 1), np.int8)
+
+    def __init__(self):
+        self.table = np.zeros(2 << CELL_BITS * INPUTS, np.uint64)
+
+    def add(self, texts: list[bytes], code: Code, cells: np.ndarray) -> None:
+        for a, z in blocks(texts, BLOCK):
+            d = decisions(texts[a:z], code)
+            at = np.zeros(len(d.bit), np.uint32)
             for i, slot in enumerate(d.slot):
-                at = slot.astype(np.int64) * 2
-                no, yes = table[i][at].astype(np.float32), table[i][at + 1].astype(np.float32)
-                no, yes = np.maximum(no - (d.bit == 0), 0), np.maximum(yes - (d.bit == 1), 0)
-                units[:, i] = _logit_units(no, yes)
-            units[:, INPUTS] = d.bit
-            found.append(units.view(np.uint32)[:, 0])
-        own, n = np.unique(np.concatenate(found), return_counts=True)
-        rows, back = np.unique(np.concatenate([rows, own]), return_inverse=True)
-        times = np.bincount(back, np.concatenate([times, n]), len(rows)).astype(np.int64)
+                slot <<= np.uint32(1)
+                slot |= d.bit
+                at <<= np.uint32(CELL_BITS)
+                at |= cells[i].take(slot.astype(np.int64))
+            at <<= np.uint32(1)
+            at |= d.bit
+            np.add.at(self.table, at, np.uint64(1))
+
+
+def fit_weights(outcomes: np.ndarray, rounds: int = 8) -> np.ndarray:
+    """Weight sets (gate, predictor) that lanes start from, fitted on all decisions of ``Outcomes.table``.
+
+    Newton steps of a logistic regression per gate, held towards even weights
+    by a light ridge.
+    """
     even = 1.2 / INPUTS
     weights = np.full((GATES, INPUTS), even)
+    rows = np.flatnonzero(outcomes)
     if not len(rows):
         return weights.astype(np.float32)
-    units = rows.view(np.int8).reshape(-1, INPUTS + 1)
-    gate = _gate(units)
+    times = outcomes[rows].astype(np.float64)
+    units = np.stack([_MIDDLE[rows >> 1 + CELL_BITS * (INPUTS - 1 - i) & CELLS - 1] for i in range(INPUTS)], axis=1)
+    gate = _gate(np.trunc(units).astype(np.int8))
     ridge = 20.0
     for g in range(GATES):
         of = gate == g
         if not of.any():
             continue
-        own, target, n = units[of, :INPUTS] * np.float32(LOGIT_UNIT), units[of, INPUTS], times[of]
+        own, target, n = units[of] * LOGIT_UNIT, rows[of] & 1, times[of]
         w = weights[g].copy()
         for _ in range(rounds):
             p = 1.0 / (1.0 + np.exp(-np.clip(own @ w, -30, 30)))
@@ -260,6 +314,13 @@ def train_weights(texts: list[bytes], code: Code, table: np.ndarray, rounds: int
     return weights.astype(np.float32)
 
 
+def train_weights(texts: list[bytes], code: Code, table: np.ndarray, rounds: int = 8) -> np.ndarray:
+    """``fit_weights`` on all of ``texts``, which are among those counted in ``table``."""
+    outcomes = Outcomes()
+    outcomes.add(texts, code, left_out(table))
+    return fit_weights(outcomes.table, rounds)
+
+
 def bits_of(texts: list[bytes], code: Code, tables: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Total bits of every text under the model."""
     out = [_side_by_side(texts[a:z], code, tables, weights) for a, z in blocks(texts, SIDE_BY_SIDE)]
@@ -267,35 +328,31 @@ def bits_of(texts: list[bytes], code: Code, tables: np.ndarray, weights: np.ndar
 
 
 def _side_by_side(texts: list[bytes], code: Code, tables: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    flat = np.frombuffer(b"".join([t + b"\n" for t in texts]), np.uint8)
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    size = np.add.reduceat(code.length[flat], np.r_[0, ends[:-1]])  # decisions of every text
+    told, sizes = [], []
+    for a, z in blocks(texts, BLOCK):
+        d = decisions(texts[a:z], code)
+        told.append(_words(d, tables))
+        sizes.append(d.text)
+    size = np.concatenate(sizes)  # decisions of every text
     groups = -(-size // GROUP)
     # One lane a text, longest first, so that the lanes still running are always the first ones.
     order = np.argsort(-groups, kind="stable")
-    rank = np.empty(len(order), np.int32)
+    rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     running = np.searchsorted(-groups[order], -np.arange(1, int(groups.max(initial=0)) + 1), side="right")  # lanes with a t-th group
-    first = np.r_[0, np.cumsum(running) * GROUP]
-    # Where the decisions of lane 0 stand when groups run in step: by group, place in the group, lane.
-    stand = (first[:-1, None].astype(np.int32) + np.arange(GROUP, dtype=np.int32) * running[:, None].astype(np.int32)).ravel()
-    moved = np.zeros(int(first[-1]), np.uint32)
+    first = np.r_[0, np.cumsum(running)]
+    # Groups run in step: all lanes' first ones, all lanes' second ones, and so on.
+    moved = np.zeros((int(first[-1]), GROUP), "<u4")
+    told.reverse()
     for a, z in blocks(texts, BLOCK):
-        d = decisions(texts[a:z], code)
-        # One 32-bit word per decision: the predictors' logits, and the gate with the outcome.
-        rows = np.empty((len(d.bit), INPUTS + 1), np.int8)
-        for i, slot in enumerate(d.slot):
-            rows[:, i] = tables[i].take(slot)
-        gate = _gate(rows)
-        gate <<= 2
-        gate |= d.bit
-        gate |= 2  # a decision, unlike the padding of a lane's last group
-        rows[:, INPUTS] = gate
-        words, at = rows.view(np.uint32)[:, 0], 0
-        for r, n in zip(rank[a:z], size[a:z].tolist()):
-            moved[stand[:n] + r] = words[at : at + n]
+        words, at = told.pop(), 0
+        for r, n in zip(rank[a:z].tolist(), size[a:z].tolist()):
+            full, rest = divmod(n, GROUP)
+            moved[first[:full] + r] = words[at : at + n - rest].reshape(full, GROUP)
+            if rest:
+                moved[first[full] + r, :rest] = words[at + n - rest : at + n]
             at += n
-    cost = _run(moved.view(np.int8).reshape(-1, INPUTS + 1), running, first.tolist(), weights, len(order))
+    cost = _run(moved.view(np.int8).reshape(-1, INPUTS + 1), running, (first * GROUP).tolist(), weights, len(order))
     return cost[rank]
 
 
@@ -304,24 +361,25 @@ def _run(rows: np.ndarray, running: np.ndarray, first: list[int], weights: np.nd
     unit = np.float32(LOGIT_UNIT)
     # Weights that came in a pickle have a float32 type of their own, which makes np.add.at below four times slower.
     weights = np.ascontiguousarray(weights).view(np.float32)
-    held = [np.tile(weights[:, i] * unit, lanes) for i in range(INPUTS)]  # of (lane, gate), for logits in units
-    base = np.arange(lanes, dtype=np.int64) * GATES
+    held = np.concatenate([np.tile(weights[:, i] * unit, lanes) for i in range(INPUTS)])  # of (predictor, lane, gate), for logits in units
+    shelf = np.arange(INPUTS)[:, None, None] * (lanes * GATES)  # where a predictor's begin
+    base = np.arange(lanes, dtype=np.int64)[:, None] * GATES
     centers = (np.arange(MAP_BINS) + 0.5 - MAP_BINS / 2).astype(np.float32)
     adapted = np.tile((1.0 / (1.0 + np.exp(-centers))).astype(np.float32), lanes)
-    map_base = np.arange(lanes, dtype=np.int64) * MAP_BINS
+    map_base = np.arange(lanes, dtype=np.int64)[:, None] * MAP_BINS
     cost = np.zeros(lanes)
     rate, map_rate = np.float32(RATE) * unit * unit, np.float32(MAP_RATE)
     half, quarter, one = np.float32(MAP_BINS / 2), np.float32(0.25), np.float32(1)
     most = np.float32(MAP_BINS / 2 - 0.5)
     for t, n in enumerate(running.tolist()):
         a, z = first[t], first[t + 1]
-        x = rows[a:z, :INPUTS].T.astype(np.float32, order="C").reshape(INPUTS, GROUP, n)
-        sign = rows[a:z, INPUTS].reshape(GROUP, n)
+        x = rows[a:z, :INPUTS].T.astype(np.float32, order="C").reshape(INPUTS, n, GROUP)
+        sign = rows[a:z, INPUTS].reshape(n, GROUP)
         bit = (sign & 1).astype(np.float32)
-        row = (sign >> 2) + base[:n]  # every decision's own weight set
-        logit = x[0] * held[0].take(row)
-        for i in range(1, INPUTS):
-            logit += x[i] * held[i].take(row)
+        row = (sign >> 2) + base[:n] + shelf  # every decision's own weight set
+        pull = held.take(row)
+        pull *= x
+        logit = np.add.reduce(pull, axis=0)
         np.minimum(logit, most, out=logit)
         np.maximum(logit, -most, out=logit)
         p = np.negative(logit)
@@ -330,9 +388,8 @@ def _run(rows: np.ndarray, running: np.ndarray, first: list[int], weights: np.nd
         np.reciprocal(p, out=p)
         error = bit - p
         error *= rate
-        for i in range(INPUTS):
-            x[i] *= error
-            np.add.at(held[i], row.ravel(), x[i].ravel())
+        x *= error
+        np.add.at(held, row.ravel(), x.ravel())
         logit += half
         cell = logit.astype(np.int64)
         cell += map_base[:n]
@@ -347,5 +404,5 @@ def _run(rows: np.ndarray, running: np.ndarray, first: list[int], weights: np.nd
         np.log2(p, out=p)
         if t + 1 == len(running) or running[t + 1] < n:  # some lanes may end here
             p *= sign >> 1 & 1
-        cost[:n] -= p.sum(axis=0)
+        cost[:n] -= p.sum(axis=1)
     return cost
