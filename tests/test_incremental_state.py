@@ -217,3 +217,33 @@ def test_latest_per_group_by_hash_aggregates(spark):
     plan = explain_text(latest_per_group(df, "g", ["t", "i"], unique=True), "simple")
     assert "SortAggregate" not in plan and "HashAggregate" in plan
     assert latest_per_group(df.limit(0), "g", ["t"], unique=True).collect() == []
+
+
+def test_open_runs_of_many_ids_share_few_state_keys(spark, tmp_dir):
+    history, asked, table, checkpoint = (os.path.join(tmp_dir, d) for d in ("runs", "stops", "table", "ck"))
+    schema = run_events(spark.createDataFrame([], RUN)).schema
+    keys = []
+
+    def go(buckets):
+        actions = stop_actions(run_event_source(spark, history, schema), stop_request_source(spark, asked), lanes=3, buckets=buckets)
+        query = foreach_batch_sink(actions, idempotent_table_writer(table), checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+        keys.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+
+    def land(events):
+        spark.createDataFrame(events, schema).coalesce(1).write.mode("append").parquet(history)
+
+    spark.createDataFrame([], "value STRING").write.text(asked)
+    # Ids share run numbers; run 1 of every id ends, in the same micro-batch, twice told; run 2 stays open.
+    land([e for c in range(60) for e in [("end", "j", 1, f"c{c}", T0, T0, 0), *[("start", "j", i, f"c{c}", T0, None, 0) for i in (1, 1, 2)]]])
+    go(5)
+    spark.createDataFrame([(f"c{c}",) for c in range(0, 60, 2)], "value STRING").write.mode("append").text(asked)
+    go(5)
+    assert max(keys) <= 5
+    got = sorted((r["correlation_id"], r["execution_id"]) for r in spark.read.parquet(table).collect())
+    assert got == sorted((f"c{c}", 2) for c in range(0, 60, 2))
+    # The others are still open; what was named is not named again.
+    spark.createDataFrame([(f"c{c}",) for c in range(60)], "value STRING").write.mode("append").text(asked)
+    go(5)
+    got = sorted((r["correlation_id"], r["execution_id"]) for r in spark.read.parquet(table).collect())
+    assert got == sorted((f"c{c}", 2) for c in range(60))

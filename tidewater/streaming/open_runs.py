@@ -7,7 +7,9 @@ that is open when it arrives, each run once; requests for other ids are ignored.
 
 A correlation id is cut into lanes by the run id, and a request goes to every
 lane of its id, so the open runs of a busy id are spread over several state
-keys.  Within a micro-batch starts come before ends and ends before requests,
+keys.  A state key is a bucket of lanes of many ids, so the number of keys,
+each with its cost in every micro-batch that touches it, does not grow with
+the ids.  Within a micro-batch starts come before ends and ends before requests,
 whatever the order of its rows.  An end that arrives in an earlier micro-batch
 than its start is remembered until the start comes.
 """
@@ -21,14 +23,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-#: State keys of one correlation id.
+#: Parts of one correlation id.
 LANES = 8
+#: State keys in all; a micro-batch loads and writes the open runs of the keys it touches.
+BUCKETS = 4096
 # Kinds of events.
 START, END, REQUEST = "start", "end", "request"
 #: Microseconds of wall clocks survive the trip through the state.
 _CLOCKS = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
-_STATE = "open_ids array<bigint>, open_runs array<string>, ended_early array<bigint>"
+_STATE = "open_of array<string>, open_ids array<bigint>, open_runs array<string>, early_of array<string>, early_ids array<bigint>"
 _OUT = "correlation_id string, execution_id bigint, run string"
 
 
@@ -52,35 +56,40 @@ def _stepper() -> Callable[[tuple, Iterator, GroupState], Iterator]:
     """The state function, made here so that it travels whole: workers need not have this package."""
 
     def step(key: tuple, batches: Iterator, state: GroupState) -> Iterator:
-        """One lane of one correlation id in one micro-batch."""
+        """One bucket in one micro-batch; a run is known by its correlation id and its own."""
         import pandas as pd
 
-        ids, runs, early = state.get if state.exists else ([], [], [])
+        of, ids, runs, early_of, early_ids = state.get if state.exists else ([], [], [], [], [])
         # A run whose stop was asked for stays until its end, without its record.
-        still_open, early = dict(zip(ids, runs)), set(early)
-        started, ended, asked = {}, set(), False
+        still_open, early = dict(zip(zip(of, ids), runs)), set(zip(early_of, early_ids))
+        started, ended, asked = {}, set(), set()
         for rows in batches:
-            for kind, i, run in zip(rows["kind"], rows["execution_id"], rows["run"]):
+            for kind, c, i, run in zip(rows["kind"], rows["correlation_id"], rows["execution_id"], rows["run"]):
+                if kind == REQUEST:
+                    asked.add(c)
+                    continue
+                at = (c, int(i))
                 if kind == START:
-                    started[int(i)] = run
-                elif kind == END:
-                    ended.add(int(i))
+                    started[at] = "" if at in ended else run
                 else:
-                    asked = True
-        for i, run in started.items():
-            still_open.setdefault(i, run)
-        for i in ended:
-            if still_open.pop(i, None) is None:
-                early.add(i)
-        for i in early & set(still_open):
-            del still_open[i]
-            early.discard(i)
+                    ended.add(at)
+                    if at in started:  # its record is no longer needed
+                        started[at] = ""
+        for at, run in started.items():
+            still_open.setdefault(at, run)
+        for at in ended:
+            if still_open.pop(at, None) is None:
+                early.add(at)
+        for at in early & set(still_open):
+            del still_open[at]
+            early.discard(at)
         named = []
         if asked:
-            named = [(key[0], i, run) for i, run in still_open.items() if run]
-            still_open = dict.fromkeys(still_open, "")
+            named = [(*at, run) for at, run in still_open.items() if run and at[0] in asked]
+            still_open.update(dict.fromkeys([at for at in still_open if at[0] in asked], ""))
         if still_open or early:
-            state.update((list(still_open), list(still_open.values()), sorted(early)))
+            early = sorted(early)
+            state.update(([c for c, _ in still_open], [i for _, i in still_open], list(still_open.values()), [c for c, _ in early], [i for _, i in early]))
         elif state.exists:
             state.remove()
         yield pd.DataFrame(named, columns=["correlation_id", "execution_id", "run"])
@@ -88,7 +97,7 @@ def _stepper() -> Callable[[tuple, Iterator, GroupState], Iterator]:
     return step
 
 
-def stop_actions(events: DataFrame, requests: DataFrame, lanes: int = LANES) -> DataFrame:
+def stop_actions(events: DataFrame, requests: DataFrame, lanes: int = LANES, buckets: int = BUCKETS) -> DataFrame:
     """Streaming frame of the runs to stop, with the columns of ``events`` but ``kind``.
 
     ``events``: a stream of ``run_events`` rows; ``requests``: a stream with
@@ -103,6 +112,7 @@ def stop_actions(events: DataFrame, requests: DataFrame, lanes: int = LANES) ->
         "correlation_id", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), F.lit(REQUEST).alias("kind"),
         F.lit(None).cast("long").alias("execution_id"), F.lit(None).cast("string").alias("run"),
     )
-    both = told.union(asked).where(F.col("correlation_id").isNotNull())
-    found = both.groupBy("correlation_id", "lane").applyInPandasWithState(_stepper(), _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+    bucket = F.pmod(F.xxhash64("correlation_id", "lane"), F.lit(buckets)).cast("int")
+    both = told.union(asked).where(F.col("correlation_id").isNotNull()).select(bucket.alias("bucket"), "kind", "correlation_id", "execution_id", "run")
+    found = both.groupBy("bucket").applyInPandasWithState(_stepper(), _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
     return found.select(F.from_json("run", T.StructType(fields), _CLOCKS).alias("run")).select("run.*")
