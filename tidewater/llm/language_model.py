@@ -79,8 +79,9 @@ def byte_counts_and_head(train: DataFrame) -> tuple[np.ndarray, set[bytes]]:
     counts = np.zeros(256, np.int64)
     for r in told.filter("byte is not null").collect():  # 256 rows
         counts[r["byte"]] = r["n"]
-    top = told.filter("word is not null").orderBy(F.desc("n"), "word").limit(HEAD - 1).select("word").collect()
-    return counts, {bytes(r["word"]) for r in top} | {END_WORD}
+    # Settled before it is collected, so that the driver gets the head and not every task's candidates.
+    top = settle(told.filter("word is not null").orderBy(F.desc("n"), "word").limit(HEAD - 1).select("word"))
+    return counts, {bytes(r["word"]) for r in top.collect()} | {END_WORD}
 
 
 def _word_rows(head: set[bytes]):
