@@ -42,7 +42,7 @@ MIXED_ROWS = 2000
 #: A batch tells of the words that are at least one in so many of its words.
 TOLD = 1 << 19
 #: Bytes of text that wait, in a scoring task, for others of their length.
-WAITING = 24 << 20
+WAITING = 12 << 20
 #: Table slices travel alone; so many partial slices are summed at a time.
 SLICES = 32
 FAN_IN = 32
@@ -283,7 +283,7 @@ def score(
         # Texts wait for others of about their length, so that no long one runs alone.
         waiting, size = defaultdict(list), Counter()
         told = None
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, MIXED_ROWS)):
             if told is None:
                 told = pa.schema([("k", batch.column(0).type), ("sig", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("head_known", pa.int64()), ("head_logs", pa.float64()), ("n_bytes", pa.int64())])
             for k, sig, t, held in zip(*(c.to_pylist() for c in batch.columns)):
