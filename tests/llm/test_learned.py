@@ -185,3 +185,36 @@ def test_texts_that_wait_for_others_are_all_scored_alike(spark, monkeypatch):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert len(whole) == len(rows) and [p[:5] for p in parts] == [w[:5] for w in whole]
     assert [p[6] for p in parts] == pytest.approx([w[6] for w in whole], rel=1e-4)
+
+
+def test_equal_bytes_in_equal_contexts_are_handled_once():
+    rng = np.random.default_rng(11)
+    words = ["a", "of", "word", "words", "wordsmith", "wordsmiths", "naïveté", "\x00\x01", "x" * 40, "abcde", "abcdef"]
+    texts = ["", "a", "wordsmith", "x" * 9, *(" ".join(rng.choice(words, rng.integers(0, 30))) for _ in range(300))]
+    texts = [t.encode() for t in texts] * 3
+    code = mixer.code_tree(np.bincount(np.frombuffer(b"\n".join(texts), np.uint8), minlength=256))
+    met = list(mixer.distinct(texts))
+    assert sum(times.sum() for _, _, times in met) == sum(len(t) + 1 for t in texts)
+    assert sum(len(flat) for flat, _, _ in met) < sum(len(t) + 1 for t in texts) / 10
+    # Tables as by every decision on its own.
+    plain = np.zeros((mixer.INPUTS, 2 * mixer.SLOTS), np.uint32)
+    parts = [mixer.decisions([t], code) for t in texts]
+    for d in parts:
+        for table, slot in zip(plain, d.slot):
+            np.add.at(table, slot.astype(np.int64) * 2 + d.bit, np.uint32(1))
+    counts = mixer.Counts()
+    counts.add(texts, code)
+    assert (counts.table == plain).all()
+    tables, cells, want = mixer.logits(plain), mixer.left_out(plain), np.zeros(2 << mixer.CELL_BITS * mixer.INPUTS, np.uint64)
+    for d, got in zip(parts, mixer._all_words(texts, code, tables), strict=True):
+        at = 0
+        units = np.stack([t[s] for t, s in zip(tables, d.slot)], axis=1)
+        for i, s in enumerate(d.slot):
+            at = at * mixer.CELLS + cells[i][s.astype(np.int64) * 2 + d.bit].astype(np.int64)
+        np.add.at(want, at * 2 + d.bit, np.uint64(1))
+        rows = got.view(np.int8).reshape(-1, mixer.INPUTS + 1)
+        assert (rows[:, : mixer.INPUTS] == units).all()
+        assert (rows[:, mixer.INPUTS] == (mixer._gate(units) << 2 | 2 | d.bit)).all()
+    outcomes = mixer.Outcomes()
+    outcomes.add(texts, code, cells)
+    assert (outcomes.table == want).all()

@@ -21,12 +21,13 @@ from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,24 +54,41 @@ def _held_out(key: str, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
+def _tokens(texts: list[str]) -> tuple[list[bytes], pa.BinaryArray, np.ndarray, np.ndarray]:
+    """The texts as the mixer sees them, their different words with a space behind each; of every word its number and its text.
+
+    A text without words has one, which is the space alone.
+    """
+    joined = [b" ".join(ascii_words(t)) for t in texts]
+    flat = b" ".join([*joined, b""])
+    ends = np.r_[0, 1 + np.flatnonzero(np.frombuffer(flat, np.uint8) == 32)]
+    last = np.searchsorted(ends, np.cumsum([len(j) + 1 for j in joined]))  # of every text
+    text = np.repeat(np.arange(len(texts)), np.diff(np.r_[0, last]))
+    ends, kind = (ends, pa.large_binary()) if len(flat) > 1 << 30 else (ends.astype(np.int32), pa.binary())
+    found = pa.Array.from_buffers(kind, len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(flat)]).dictionary_encode()
+    return joined, found.dictionary, found.indices.to_numpy(), text
+
+
+def _spaced(words: Iterable[bytes], like: pa.Array) -> pa.Array:
+    return pa.array([w + b" " for w in words], like.type)
+
+
 def byte_counts_and_head(train: DataFrame) -> tuple[np.ndarray, set[bytes]]:
     """Bytes of all training texts as the mixer sees them, and the head: the words told of most often, and the end."""
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, SLICE_ROWS)):
-            words: Counter[bytes] = Counter()
-            seen = np.zeros(256, np.int64)
-            for text in batch.column(0):
-                own = ascii_words(text.as_py())
-                words.update(own)
-                seen += np.bincount(np.frombuffer(b" ".join(own) + END_WORD, np.uint8), minlength=256)
-            least = words.total() / TOLD
-            told = [(w, n) for w, n in words.items() if n >= least]
+            joined, words, which, _ = _tokens(batch.column(0).to_pylist())
+            seen = np.bincount(np.frombuffer(END_WORD.join([*joined, b""]), np.uint8), minlength=256)
+            n = np.bincount(which, minlength=len(words))
+            n[pc.binary_length(words).to_numpy(zero_copy_only=False) == 1] = 0
+            least = max(1.0, n.sum() / TOLD)
+            told = np.flatnonzero(n >= least)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([w for w, _ in told] + [None] * 256, pa.binary()),
+                    pa.array([w[:-1] for w in words.take(pa.array(told)).to_pylist()] + [None] * 256, pa.binary()),
                     pa.array([None] * len(told) + list(range(256)), pa.int32()),
-                    pa.array([n for _, n in told] + seen.tolist(), pa.int64()),
+                    pa.array(n[told].tolist() + seen.tolist(), pa.int64()),
                 ],
                 names=["word", "byte", "n"],
             )
@@ -98,32 +116,28 @@ def _word_rows(head: set[bytes]):
         for nth, batch in enumerate(part for whole in batches for part in slices(whole, SLICE_ROWS)):
             ids, sigs = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
             held = batch.column(3).to_numpy(zero_copy_only=False)
-            train: Counter[bytes] = Counter()
-            rare_word, rare_doc, rare_n = [], [], []
-            for i, text in enumerate(batch.column(2)):
-                words = ascii_words(text.as_py())
-                if not held[i]:
-                    train.update(words)
-                rare = Counter([w for w in words if w not in head])
-                rare_word += rare.keys()
-                rare_n += rare.values()
-                rare_doc += [i] * len(rare)
-            train[END_WORD] = batch.num_rows - int(held.sum())
+            _, words, which, doc = _tokens(batch.column(2).to_pylist())
+            train = np.bincount(which[~held[doc]], minlength=len(words))
+            is_word = pc.binary_length(words).to_numpy(zero_copy_only=False) > 1
+            is_head = pc.is_in(words, value_set=_spaced(head, words)).to_numpy(zero_copy_only=False)
             # The documents of each rare word, side by side.
-            number = {w: j for j, w in enumerate(dict.fromkeys(rare_word))}
-            column = np.fromiter((number[w] for w in rare_word), np.int64, len(rare_word))
-            order = np.argsort(column, kind="stable")
-            docs = np.concatenate([np.asarray(rare_doc, np.int64)[order], np.arange(batch.num_rows)])
-            ns = np.concatenate([np.asarray(rare_n, np.int64)[order], np.ones(batch.num_rows, np.int64)])
-            in_head = [w for w in train if w in head]
-            names = [*number, b" " + str(nth).encode(), *in_head]
-            sizes = np.r_[np.bincount(column, minlength=len(number)), batch.num_rows, np.zeros(len(in_head), np.int64)]
+            rare = (is_word & ~is_head)[which]
+            met, times = np.unique(which[rare].astype(np.int64) * batch.num_rows + doc[rare], return_counts=True)
+            column, rare_doc = np.divmod(met, batch.num_rows)
+            number, sizes = np.unique(column, return_counts=True)
+            docs = np.concatenate([rare_doc, np.arange(batch.num_rows)])
+            ns = np.concatenate([times, np.ones(batch.num_rows, np.int64)])
+            in_head = np.flatnonzero(is_word & is_head & (train > 0))
+            names = [w[:-1] for w in words.take(pa.array(np.concatenate([number, in_head]))).to_pylist()]
+            names = [*names[: len(number)], b" " + str(nth).encode(), *names[len(number) :], END_WORD]
+            n_train = np.concatenate([train[number], [0], train[in_head], [batch.num_rows - int(held.sum())]])
+            sizes = np.r_[sizes, batch.num_rows, np.zeros(len(in_head) + 1, np.int64)]
             offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(names, pa.binary()),
-                    pa.array([False] * (len(number) + 1) + [True] * len(in_head)),
-                    pa.array([train.get(w, 0) for w in names], pa.int64()),
+                    pa.array([False] * (len(number) + 1) + [True] * (len(in_head) + 1)),
+                    pa.array(n_train, pa.int64()),
                     pa.ListArray.from_arrays(offsets, ids.take(pa.array(docs))),
                     pa.ListArray.from_arrays(offsets, pa.array(sigs[docs], pa.int64())),
                     pa.ListArray.from_arrays(offsets, pa.array(ns, pa.int64())),
@@ -168,10 +182,6 @@ def word_shares(docs: DataFrame, head: set[bytes]) -> DataFrame:
     )
 
 
-def _streams(texts: list[str]) -> list[list[bytes]]:
-    return [ascii_words(t) for t in texts]
-
-
 def _summed(train: DataFrame, start: Callable[[], tuple[np.ndarray, Callable[[list[bytes]], None]]]) -> np.ndarray:
     """A table of fixed size over all training texts; ``start`` gives a task its empty table and what adds texts to it.
 
@@ -182,11 +192,19 @@ def _summed(train: DataFrame, start: Callable[[], tuple[np.ndarray, Callable[[li
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, part = None, None
+        waiting, size = [], 0
         for batch in (part for whole in batches for part in slices(whole, MIXED_ROWS)):
             if table is None:
                 table, add = start()
             part = batch.column(1)[0].as_py()
-            add([b" ".join(w) for w in _streams(batch.column(0).to_pylist())])
+            for t in batch.column(0).to_pylist():
+                waiting.append(b" ".join(ascii_words(t)))
+                size += len(waiting[-1])
+                if size >= mixer.GATHERED:
+                    add(waiting)
+                    waiting, size = [], 0
+        if waiting:
+            add(waiting)
         if part is not None:
             squeeze = zstandard.ZstdCompressor(level=1)
             flat = table.reshape(SLICES, -1)
@@ -287,19 +305,24 @@ def score(
             columns = [pa.array(c, f.type) for c, f in zip(list(zip(*rows))[1:], told)]
             return pa.RecordBatch.from_arrays([*columns, pa.array(bits)], names=[*told.names, "bits"])
 
+        # Of head words: their share of the base score.
+        heads, head_shares, no_head = None, np.array([*known.values(), *rest.values(), 0.0]), len(known) + len(rest)
         # Texts wait for others of about their length, so that no long one runs alone.
         waiting, size = defaultdict(list), Counter()
         told = None
         for batch in (part for whole in batches for part in slices(whole, MIXED_ROWS)):
             if told is None:
                 told = pa.schema([("k", batch.column(0).type), ("sig", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("head_known", pa.int64()), ("head_logs", pa.float64()), ("n_bytes", pa.int64())])
-            for k, sig, t, held in zip(*(c.to_pylist() for c in batch.columns)):
-                ws = ascii_words(t)
-                own = [known[w] for w in chain(ws, (END_WORD,)) if w in known]
-                logs = math.fsum(own) + math.fsum(rest[w] for w in chain(ws, (END_WORD,)) if w in rest) if rest else math.fsum(own)
-                joined = b" ".join(ws)
+            texts, words, which, doc = _tokens(batch.column(2).to_pylist())
+            if heads is None or heads.type != words.type:
+                heads = _spaced(chain(known, rest), words)
+            place = pc.fill_null(pc.index_in(words, value_set=heads), no_head).to_numpy(zero_copy_only=False)[which]
+            n_words = np.bincount(doc, (pc.binary_length(words).to_numpy(zero_copy_only=False) > 1)[which], len(texts)).astype(np.int64)
+            own = np.bincount(doc, place < len(known), len(texts)).astype(np.int64) + (END_WORD in known)
+            logs = np.bincount(doc, head_shares[place], len(texts)) + known.get(END_WORD, rest.get(END_WORD, 0.0))
+            for joined, k, sig, held, n, own_known, log in zip(texts, *(c.to_pylist() for c in (batch.column(0), batch.column(1), batch.column(3))), n_words.tolist(), own.tolist(), logs.tolist()):
                 of = len(joined).bit_length()
-                waiting[of].append((joined, k, sig, held, len(ws) + 1, len(own), logs, len(joined) + 1))
+                waiting[of].append((joined, k, sig, held, n + 1, own_known, log, len(joined) + 1))
                 size[of] += len(joined) + mixer.LANE_BYTES
                 if size[of] >= mixer.SIDE_BY_SIDE:
                     yield mixed(waiting.pop(of))

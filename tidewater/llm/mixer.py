@@ -20,8 +20,11 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 ORDERS = (3, 5)  # bytes of context; the last predictor's context is the word so far
 INPUTS = len(ORDERS) + 1
@@ -45,6 +48,8 @@ GROUP = 16
 #: the less the long texts among them run alone at the end.
 BLOCK = 1 << 14
 SIDE_BY_SIDE = 4 << 20
+#: Bytes of which equal ones in equal contexts are counted at once; half as many where they are looked up.
+GATHERED = 4 << 20
 #: What a lane holds beside its text, in bytes.
 LANE_BYTES = 512
 
@@ -114,30 +119,37 @@ class Decisions:
     steps: np.ndarray  # decisions per byte
 
 
-def decisions(texts: list[bytes], code: Code) -> Decisions:
-    """``texts``: word bytes joined by spaces, without the end sign."""
-    pad = bytes([END]) * PAD
-    flat = np.frombuffer(b"".join([pad + t + b"\n" for t in texts]), np.uint8)
-    n = len(flat)
-    sizes = np.array([len(t) + 1 for t in texts], np.int64)
-    firsts = np.cumsum(sizes + PAD) - (sizes + PAD)
-    steps = code.length.take(flat)
-    for p in range(PAD):
-        steps[firsts + p] = 0
-    wide = flat.astype(np.uint64)
-    shift = np.uint64(64 - TABLE_BITS)
+def _gram_contexts(grams: np.ndarray) -> list[np.ndarray]:
+    """Per order, the context of a byte, spread over the bits of a slot; ``grams``: the five bytes before it, the nearest highest."""
     contexts = []
-    value, order = np.zeros(n, np.uint64), 0
     for wanted, multiplier in zip(ORDERS, _MULTIPLIERS):
-        while order < wanted:
-            order += 1
-            value <<= np.uint64(8)
-            value[order:] |= wide[: max(n - order, 0)]
-        mixed = value + np.uint64(wanted)
+        mixed = grams << np.uint64(64 - 8 * PAD)
+        mixed >>= np.uint64(64 - 8 * wanted)
+        mixed += np.uint64(wanted)
         mixed *= multiplier
-        mixed >>= shift
+        mixed >>= np.uint64(64 - TABLE_BITS)
         contexts.append(mixed.astype(np.uint32))
+    return contexts
+
+
+def _word_context(word: np.ndarray) -> np.ndarray:
+    """The same of the word so far, from its polynomial, which is lost."""
+    word ^= word >> np.uint64(29)
+    word *= _MULTIPLIERS[-1]
+    word >>= np.uint64(64 - TABLE_BITS)
+    return word.astype(np.uint32)
+
+
+def _eights(flat: np.ndarray) -> np.ndarray:
+    """For every byte but the first ``PAD``, eight bytes from the fifth before it on, as one number; a view."""
+    return np.ndarray(max(len(flat) - PAD, 0), "<u8", flat.tobytes() + bytes(8), strides=(1,))
+
+
+def _contexts(flat: np.ndarray) -> list[np.ndarray]:
+    """Per predictor, the context of every byte of ``flat`` but the first ``PAD``, spread over the bits of a slot."""
+    n = len(flat)
     up, down = _power_tables(n)
+    wide = flat.astype(np.uint64)
     wide += np.uint64(1)
     wide *= up[:n]
     sums = np.zeros(n + 1, np.uint64)
@@ -146,14 +158,17 @@ def decisions(texts: list[bytes], code: Code) -> Decisions:
     gap = 1 + np.flatnonzero((flat[:-1] == 32) | (flat[:-1] == END))
     start[gap] = gap
     np.maximum.accumulate(start, out=start)
-    word = sums[:-1] - sums.take(start)
+    start = start[PAD:]
+    word = sums[PAD:-1] - sums.take(start)
     word *= down.take(start)
-    word ^= word >> np.uint64(29)
-    word *= _MULTIPLIERS[-1]
-    word >>= shift
-    contexts.append(word.astype(np.uint32))
+    return [*_gram_contexts(_eights(flat).astype(np.uint64)), _word_context(word)]
+
+
+def _decide(flat: np.ndarray, contexts: list[np.ndarray], code: Code) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """All decisions of the bytes ``flat``: outcome, slot per predictor, and which byte they belong to."""
+    steps = code.length.take(flat)
     ends = np.cumsum(steps)
-    byte = np.repeat(np.arange(n), steps)  # of every decision
+    byte = np.repeat(np.arange(len(flat)), steps)
     entry = (code.first.take(flat) - ends + steps).take(byte)
     entry += np.arange(len(entry))
     salt = code.salt.take(entry)
@@ -162,8 +177,99 @@ def decisions(texts: list[bytes], code: Code) -> Decisions:
         spread = c.take(byte)
         spread ^= salt
         slot.append(spread)
-    total = ends[firsts + PAD + sizes - 1] if len(texts) else np.zeros(0, np.int64)
-    return Decisions(code.bit.take(entry), slot, np.diff(np.r_[0, total]), steps[steps > 0])
+    return code.bit.take(entry), slot, byte
+
+
+def _padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts in one array, each after ``PAD`` end signs and with its own; and which of its bytes but the first ``PAD`` are a text's."""
+    pad = bytes([END]) * PAD
+    flat = np.frombuffer(b"".join([pad + t + b"\n" for t in texts]), np.uint8)
+    sizes = np.array([len(t) + 1 + PAD for t in texts], np.int64)
+    firsts = np.cumsum(sizes) - sizes
+    real = np.ones(len(flat), bool)
+    for p in range(PAD):
+        real[firsts + p] = False
+    return flat, real[PAD:]
+
+
+def decisions(texts: list[bytes], code: Code) -> Decisions:
+    """``texts``: word bytes joined by spaces, without the end sign."""
+    if not texts:
+        return Decisions(np.zeros(0, np.uint8), [np.zeros(0, np.uint32)] * INPUTS, np.zeros(0, np.int64), np.zeros(0, np.int64))
+    flat, real = _padded(texts)
+    own = flat[PAD:][real]
+    bit, slot, _ = _decide(own, [c[real] for c in _contexts(flat)], code)
+    steps = code.length.take(own)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return Decisions(bit, slot, np.add.reduceat(steps, np.r_[0, ends[:-1]]), steps)
+
+
+def _early_and_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.BinaryArray]:
+    """All bytes of the texts by what determines them and their contexts.
+
+    Within a word, from its sixth byte on (the gap after it counts as one), the
+    word so far holds the five bytes before.  Earlier, the five bytes hold the
+    word so far.  Returns the padded texts, which of their bytes but the first
+    ``PAD`` are a text's and which of these are early, the runs of six bytes
+    that end in early bytes, and all words with the gap after each.
+    """
+    flat, real = _padded(texts)
+    gap = (flat == 32) | (flat == END)
+    early = gap[PAD - 1 : -1].copy()  # one of the five bytes before is a gap
+    for p in range(PAD - 1):
+        early |= gap[p : p - PAD]
+    early &= real
+    grams = _eights(flat)[early].astype(np.uint64, copy=False)
+    grams &= np.uint64((1 << 8 * (PAD + 1)) - 1)
+    ends = np.r_[0, 1 + np.flatnonzero(gap)].astype(np.int32)
+    words = pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(flat)])
+    return flat, real, early, grams, words
+
+
+def _of_grams(grams: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """The last byte of every run, and its contexts; some runs at a time."""
+    for a in range(0, len(grams), BLOCK):
+        part = grams[a : a + BLOCK]
+        word, power = np.zeros(len(part), np.uint64), np.ones(len(part), np.uint64)
+        for p in range(PAD):
+            byte = part >> np.uint64(8 * p) & np.uint64(255)
+            on = ((byte != 32) & (byte != END)).astype(np.uint64)
+            word = (word + (byte + np.uint64(1)) * power) * on
+            power = power * (on * np.uint64(_ROOT)) + (np.uint64(1) - on)
+        yield (part >> np.uint64(8 * PAD)).astype(np.uint8), [*_gram_contexts(part), _word_context(word)]
+
+
+def _of_words(words: pa.BinaryArray, size: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
+    """All bytes of the words from the sixth on, their contexts, and which word they are from; some words at a time."""
+    begin = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words)]
+    cuts = np.flatnonzero(np.diff(np.r_[-1, np.cumsum(size) // BLOCK]))
+    for a, z in zip(cuts, np.r_[cuts[1:], len(words)]):
+        line = np.frombuffer(words.buffers()[2], np.uint8)[begin[a] : begin[z - 1] + size[z - 1]]
+        own = size[a:z]
+        inside = np.arange(len(line)) - np.repeat(np.cumsum(own) - own, own)
+        late = np.flatnonzero(inside[PAD:] >= PAD)
+        yield line[PAD:][late], [c[late] for c in _contexts(line)], np.repeat(np.arange(a, z), own)[PAD:][late]
+
+
+def _sizes(words: pa.BinaryArray) -> np.ndarray:
+    return pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def distinct(texts: list[bytes]) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
+    """Every byte with its contexts, equal ones mostly once: the bytes, their contexts per predictor, how often they occur."""
+    _, _, _, grams, words = _early_and_words(texts)
+    grams.sort()
+    new = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
+    times = np.diff(np.r_[new, len(grams)])
+    at = 0
+    for flat, contexts in _of_grams(grams[new]):
+        yield flat, contexts, times[at : at + len(flat)]
+        at += len(flat)
+    found = words.value_counts()
+    found = found.filter(pc.greater(pc.binary_length(found.field("values")), PAD))
+    often = found.field("counts").to_numpy()
+    for flat, contexts, word in _of_words(found.field("values"), _sizes(found.field("values"))):
+        yield flat, contexts, often.take(word)
 
 
 def blocks(texts: list[bytes], size: int) -> Iterator[tuple[int, int]]:
@@ -178,6 +284,14 @@ def blocks(texts: list[bytes], size: int) -> Iterator[tuple[int, int]]:
         yield a, len(texts)
 
 
+def _gathered(texts: list[bytes], code: Code) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
+    """All decisions of the texts, those of bytes equal in all contexts at once: outcome, slot per predictor, how often."""
+    for a, z in blocks(texts, GATHERED):
+        for flat, contexts, times in distinct(texts[a:z]):
+            bit, slot, byte = _decide(flat, contexts, code)
+            yield bit, slot, times.take(byte)
+
+
 class Counts:
     """How often each slot saw a no and a yes: ``table[predictor, 2 * slot + bit]``."""
 
@@ -186,12 +300,18 @@ class Counts:
 
     def add(self, texts: list[bytes], code: Code, known_word: list[np.ndarray] | None = None) -> None:
         """``known_word``: per text, for every byte and the end sign, whether its word may teach the word predictor (all by default)."""
+        if known_word is None:
+            for bit, slot, times in _gathered(texts, code):
+                times = times.astype(np.uint32)
+                for i in range(INPUTS):
+                    np.add.at(self.table[i], slot[i] << np.uint32(1) | bit, times)
+            return
         for a, z in blocks(texts, BLOCK):
             d = decisions(texts[a:z], code)
             for i, slot in enumerate(d.slot):
                 slot <<= np.uint32(1)
                 slot |= d.bit
-                if i == INPUTS - 1 and known_word is not None:
+                if i == INPUTS - 1:
                     slot = slot[np.repeat(np.concatenate(known_word[a:z]), d.steps)]
                 np.add.at(self.table[i], slot, np.uint32(1))
 
@@ -215,18 +335,58 @@ _LEVEL = np.array(
 )
 
 
-#: By predictor and logit byte: its part of a decision's 32-bit word, the logit bytes and above them ``gate << 2``.
-_PART = np.array([[(v << 8 * i) + (int(_LEVEL[i][v]) << 8 * INPUTS + 2) for v in range(256)] for i in range(INPUTS)], np.uint32)
+def _words(bit: np.ndarray, slots: list[np.ndarray], tables: np.ndarray) -> np.ndarray:
+    """One 32-bit word per decision: the predictors' logits in a byte each, above them the outcome and the gate, ``gate << 2``."""
+    out = bit.astype("<u4")
+    out |= np.uint32(2)  # a decision, unlike the padding of a lane's last group
+    for i in reversed(range(INPUTS)):
+        out <<= np.uint32(8)
+        out |= tables[i].take(slots[i].astype(np.int64)).view(np.uint8)
+    v = out.view(np.int8)
+    level = ((v != 0).view(np.int8) + ((v >= STRONG) | (v <= -STRONG)).view(np.int8)).view("<u4")
+    for i in range(INPUTS):
+        out += (level >> np.uint32(8 * i) & np.uint32(255)) * np.uint32(LEVELS**i << 8 * INPUTS + 2)
+    return out
 
 
-def _words(d: Decisions, tables: np.ndarray) -> np.ndarray:
-    """One 32-bit word per decision: the predictors' logits, and the gate with the outcome."""
-    out = d.bit.astype(np.uint32)
-    out |= np.uint32(2)  # a decision, unlike the padding of a lane's last group
-    out <<= np.uint32(8 * INPUTS)
-    for i, slot in enumerate(d.slot):
-        out += _PART[i].take(tables[i].take(slot.astype(np.int64)).view(np.uint8))
-    return out.astype("<u4", copy=False)
+def _all_words(texts: list[bytes], code: Code, tables: np.ndarray) -> Iterator[np.ndarray]:
+    """``_words`` of every text; bytes equal in all contexts are looked up once."""
+    for a, z in blocks(texts, GATHERED // 2):
+        yield from _words_of_block(texts[a:z], code, tables)
+
+
+def _words_of_block(texts: list[bytes], code: Code, tables: np.ndarray) -> Iterator[np.ndarray]:
+    flat, real, early, grams, words = _early_and_words(texts)
+    grams = pa.array(grams).dictionary_encode()
+    words = words.dictionary_encode()
+    size = _sizes(words.dictionary)
+    found, steps = [], []
+    for part in chain(_of_grams(grams.dictionary.to_numpy()), _of_words(words.dictionary, size)):
+        bit, slots, _ = _decide(part[0], part[1], code)
+        found.append(_words(bit, slots, tables))
+        steps.append(code.length.take(part[0]))
+    found, steps = np.concatenate(found), np.concatenate(steps)
+    # Where the decisions of every byte are found.
+    begin = np.cumsum(steps) - steps
+    at = np.empty(len(early), np.int32)
+    at[early] = grams.indices.to_numpy()
+    late = np.maximum(size - PAD, 0)  # bytes of each different word
+    words = words.indices.to_numpy()
+    own = late.take(words)
+    of_word = (len(grams.dictionary) + np.cumsum(late) - late).take(words)
+    at[real & ~early] = np.repeat(of_word - np.cumsum(own) + own, own) + np.arange(own.sum())
+    at, flat = at[real], flat[PAD:][real]
+    del real, early, grams, words, of_word, own, steps
+    a = 0
+    for i, j in blocks(texts, BLOCK):
+        sizes = [len(t) + 1 for t in texts[i:j]]
+        z = a + sum(sizes)
+        steps = code.length.take(flat[a:z])
+        ends = np.cumsum(steps)
+        which = np.repeat(begin.take(at[a:z]) - ends + steps, steps)
+        which += np.arange(len(which))
+        yield from np.split(found.take(which), ends[np.cumsum(sizes)[:-1] - 1])
+        a = z
 
 
 def _gate(inputs: np.ndarray) -> np.ndarray:
@@ -270,17 +430,14 @@ class Outcomes:
         self.table = np.zeros(2 << CELL_BITS * INPUTS, np.uint64)
 
     def add(self, texts: list[bytes], code: Code, cells: np.ndarray) -> None:
-        for a, z in blocks(texts, BLOCK):
-            d = decisions(texts[a:z], code)
-            at = np.zeros(len(d.bit), np.uint32)
-            for i, slot in enumerate(d.slot):
-                slot <<= np.uint32(1)
-                slot |= d.bit
+        for bit, slot, times in _gathered(texts, code):
+            at = np.zeros(len(bit), np.uint32)
+            for i in range(INPUTS):
                 at <<= np.uint32(CELL_BITS)
-                at |= cells[i].take(slot.astype(np.int64))
+                at |= cells[i].take((slot[i] << np.uint32(1) | bit).astype(np.int64))
             at <<= np.uint32(1)
-            at |= d.bit
-            np.add.at(self.table, at, np.uint64(1))
+            at |= bit
+            np.add.at(self.table, at, times.astype(np.uint64))
 
 
 def fit_weights(outcomes: np.ndarray, rounds: int = 8) -> np.ndarray:
@@ -333,33 +490,24 @@ def _side_by_side(texts: list[bytes], code: Code, tables: np.ndarray, weights: n
     size = np.add.reduceat(code.length.astype(np.uint8).take(flat), np.r_[0, ends[:-1]], dtype=np.int64)  # decisions of every text
     del flat
     groups = -(-size // GROUP)
+    first = (np.cumsum(groups) - groups) * GROUP
     # One lane a text, longest first, so that the lanes still running are always the first ones.
     order = np.argsort(-groups, kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
     running = np.searchsorted(-groups[order], -np.arange(1, int(groups.max(initial=0)) + 1), side="right")  # lanes with a t-th group
-    first = np.r_[0, np.cumsum(running)]
-    # Groups run in step: all lanes' first ones, all lanes' second ones, and so on.
-    moved = np.zeros((int(first[-1]), GROUP), "<u4")
-    for a, z in blocks(texts, BLOCK):
-        words, at = _words(decisions(texts[a:z], code), tables), 0
-        for r, n in zip(rank[a:z].tolist(), size[a:z].tolist()):
-            full, rest = divmod(n, GROUP)
-            moved[first[:full] + r] = words[at : at + n - rest].reshape(full, GROUP)
-            if rest:
-                moved[first[full] + r, :rest] = words[at + n - rest : at + n]
-            at += n
-    cost = _run(moved.view(np.int8).reshape(-1, INPUTS + 1), running, (first * GROUP).tolist(), weights, len(order))
-    return cost[rank]
-
-
-def _run(rows: np.ndarray, running: np.ndarray, first: list[int], weights: np.ndarray, lanes: int) -> np.ndarray:
-    """Bits of every lane, all lanes a group of decisions at a time."""
+    rows = np.zeros(int(groups.sum()) * GROUP, "<u4")
+    for a, words in zip(first.tolist(), _all_words(texts, code, tables)):
+        rows[a : a + len(words)] = words
+    cost = np.empty(len(texts))
+    cost[order] = _run(rows.view(np.int8).reshape(-1, INPUTS + 1), running, first[order], weights, len(order))
+    return cost
+
+
+def _run(rows: np.ndarray, running: np.ndarray, first: np.ndarray, weights: np.ndarray, lanes: int) -> np.ndarray:
+    """Bits of every lane, all lanes a group of decisions at a time; ``first``: the row where a lane begins."""
     unit = np.float32(LOGIT_UNIT)
     # Weights that came in a pickle have a float32 type of their own, which makes np.add.at below four times slower.
     weights = np.ascontiguousarray(weights).view(np.float32)
-    held = np.concatenate([np.tile(weights[:, i] * unit, lanes) for i in range(INPUTS)])  # of (predictor, lane, gate), for logits in units
-    shelf = np.arange(INPUTS)[:, None, None] * (lanes * GATES)  # where a predictor's begin
+    held = [np.tile(weights[:, i] * unit, lanes) for i in range(INPUTS)]  # per predictor, of (lane, gate), for logits in units
     base = np.arange(lanes, dtype=np.int64)[:, None] * GATES
     centers = (np.arange(MAP_BINS) + 0.5 - MAP_BINS / 2).astype(np.float32)
     adapted = np.tile((1.0 / (1.0 + np.exp(-centers))).astype(np.float32), lanes)
@@ -368,15 +516,22 @@ def _run(rows: np.ndarray, running: np.ndarray, first: list[int], weights: np.nd
     rate, map_rate = np.float32(RATE) * unit * unit, np.float32(MAP_RATE)
     half, quarter, one = np.float32(MAP_BINS / 2), np.float32(0.25), np.float32(1)
     most = np.float32(MAP_BINS / 2 - 0.5)
+    groups = np.ascontiguousarray(rows).view("<u4").reshape(-1, GROUP)
+    turn = np.asarray(first[:lanes]) // GROUP
     for t, n in enumerate(running.tolist()):
-        a, z = first[t], first[t + 1]
-        x = rows[a:z, :INPUTS].T.astype(np.float32, order="C").reshape(INPUTS, n, GROUP)
-        sign = rows[a:z, INPUTS].reshape(n, GROUP)
-        bit = (sign & 1).astype(np.float32)
-        row = (sign >> 2) + base[:n] + shelf  # every decision's own weight set
-        pull = held.take(row)
-        pull *= x
-        logit = np.add.reduce(pull, axis=0)
+        now = groups.take(turn[:n] + t, axis=0)
+        units = now.view(np.int8).reshape(n, GROUP, INPUTS + 1)
+        x = [units[:, :, i].astype(np.float32) for i in range(INPUTS)]
+        now >>= np.uint32(8 * INPUTS)
+        bit = (now & np.uint32(1)).astype(np.float32)
+        row = (now >> np.uint32(2)).astype(np.int64)  # every decision's own weight set
+        row += base[:n]
+        logit = held[0].take(row)
+        logit *= x[0]
+        for i in range(1, INPUTS):
+            pull = held[i].take(row)
+            pull *= x[i]
+            logit += pull
         np.minimum(logit, most, out=logit)
         np.maximum(logit, -most, out=logit)
         p = np.negative(logit)
@@ -385,8 +540,10 @@ def _run(rows: np.ndarray, running: np.ndarray, first: list[int], weights: np.nd
         np.reciprocal(p, out=p)
         error = bit - p
         error *= rate
-        x *= error
-        np.add.at(held, row.ravel(), x.ravel())
+        row = row.ravel()
+        for i in range(INPUTS):
+            x[i] *= error
+            np.add.at(held[i], row, x[i].ravel())
         logit += half
         cell = logit.astype(np.int64)
         cell += map_base[:n]
@@ -400,6 +557,9 @@ def _run(rows: np.ndarray, running: np.ndarray, first: list[int], weights: np.nd
         np.subtract(one, p, out=p)
         np.log2(p, out=p)
         if t + 1 == len(running) or running[t + 1] < n:  # some lanes may end here
-            p *= sign >> 1 & 1
-        cost[:n] -= p.sum(axis=1)
+            p *= (now >> np.uint32(1) & np.uint32(1)).astype(np.float32)
+        p = (p[:, : GROUP // 2] + p[:, GROUP // 2 :]).ravel()
+        while len(p) > n:
+            p = p[0::2] + p[1::2]
+        cost[:n] -= p
     return cost
