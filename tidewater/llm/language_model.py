@@ -168,8 +168,9 @@ def word_shares(docs: DataFrame, head: set[bytes]) -> DataFrame:
     is_doc = F.col("word").substr(1, 1) == F.lit(b" ")
     # Document rows of different batches must not meet: their name gets the partition.
     found = found.withColumn("word", F.when(is_doc, F.concat("word", F.encode(F.concat(F.lit("/"), F.spark_partition_id().cast("string")), "utf-8"))).otherwise(F.col("word")))
-    by_word = Window.partitionBy("word")
-    counted = found.withColumn("c", F.sum("n_train").over(by_word)).withColumn("nth", F.row_number().over(by_word.orderBy("n_train")))
+    by_word = Window.partitionBy("word").orderBy("n_train")  # one order for both, so that rows are sorted once
+    whole = by_word.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    counted = found.withColumn("c", F.sum("n_train").over(whole)).withColumn("nth", F.row_number().over(by_word))
     each = counted.select("word", "head", "c", "nth", is_doc.alias("is_doc"), F.posexplode_outer(F.arrays_zip("ids", "sigs", "ns")))
     each = each.select("word", "head", "c", "is_doc", F.col("col.ids").alias("id"), F.col("col.sigs").alias("sig"), F.col("col.ns").alias("n"), ((F.col("nth") == 1) & (F.coalesce("pos", F.lit(0)) == 0)).alias("first"))
     share = ~F.col("is_doc") & F.col("n").isNotNull()
